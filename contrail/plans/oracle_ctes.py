@@ -43,3 +43,82 @@ fs AS (
 
 def with_ctes(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts)
+
+
+# --- SQL forms of the lenient parsers (contrail.functions.numeric) ----------
+_DIGITS = r"\d(?:_?\d)*"
+NUMBER_RE = rf"^[+-]?(?:(?:{_DIGITS})(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+SPECIAL_RE = r"^[+-]?(?:nan|inf|infinity)$"
+
+
+def sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def sql_safe_number(x: str) -> str:
+    s = sql_strip(x)
+    return (f"(CASE WHEN regexp_matches({s}, '{NUMBER_RE}') OR regexp_matches(lower({s}), '{SPECIAL_RE}') "
+            f"THEN TRY_CAST(replace({s}, '_', '') AS DOUBLE) END)")
+
+
+def sql_finite(x: str) -> str:
+    return f"(CASE WHEN isnan({x}) OR isinf({x}) THEN NULL ELSE {x} END)"
+
+
+_ICAO = "lpad(CAST(user_id AS VARCHAR), 6, '0')"
+
+RAW = f"""
+raw AS (
+  SELECT event_id,
+    CASE WHEN event_id % 101 = 0 THEN '  '
+         WHEN event_id % 127 = 0 THEN chr(9) || upper({_ICAO}) || ' '
+         ELSE ' ' || upper({_ICAO}) END AS hex,
+    {_CALLSIGN} || '  ' AS flight,
+    CASE WHEN event_id % 103 = 0 THEN 'x'
+         WHEN event_id % 17 <> 0 THEN CAST((event_id * 7919) % 18000 - 9000 AS VARCHAR) || 'e-2' END AS lat,
+    CASE WHEN event_id % 211 = 0 THEN 'NaN'
+         WHEN event_id % 17 <> 0 THEN CAST((event_id * 104729) % 36000 - 18000 AS VARCHAR) || 'e-2' END AS lon,
+    CASE WHEN event_type = 'purchase' THEN 'ground' WHEN event_id % 107 = 0 THEN 'n/a'
+         WHEN event_type <> 'signup' THEN CAST(CAST(floor(value * CAST(100 AS DOUBLE)) AS BIGINT) AS VARCHAR) END AS alt_baro,
+    CASE WHEN event_id % 109 = 0 THEN 'bad' WHEN event_id % 113 = 0 THEN '1_000'
+         ELSE CAST(CAST(floor(value * CAST(110 AS DOUBLE)) AS BIGINT) AS VARCHAR) END AS alt_geom,
+    CAST(event_id % 500 AS VARCHAR) AS gs,
+    CASE event_type WHEN 'click' THEN '1000' WHEN 'error' THEN '-1200' WHEN 'view' THEN '40' WHEN 'purchase' THEN '0' END AS baro_rate,
+    CAST(event_id % 360 AS VARCHAR) AS track,
+    lpad(CAST(event_id % 7777 AS VARCHAR), 4, '0') AS squawk,
+    CASE event_id % 6 WHEN 0 THEN 'A3' WHEN 1 THEN 'A7' WHEN 2 THEN 'B1' WHEN 3 THEN 'B2' WHEN 4 THEN 'B6' END AS category
+  FROM events
+),
+parsed AS (
+  SELECT event_id,
+    NULLIF(lower({sql_strip('hex')}), '') AS icao24,
+    NULLIF({sql_strip('flight')}, '') AS callsign,
+    {sql_safe_number('lat')} AS lat_n,
+    {sql_safe_number('lon')} AS lon_n,
+    COALESCE(alt_baro = 'ground', FALSE) AS on_ground,
+    alt_baro,
+    {sql_safe_number('alt_baro')} AS alt_n,
+    {sql_safe_number('alt_geom')} AS geo_n,
+    {sql_safe_number('gs')} AS gs_n,
+    {sql_safe_number('track')} AS track_n,
+    {sql_safe_number('baro_rate')} AS rate_n,
+    squawk, category
+  FROM raw
+),
+norm AS (
+  SELECT event_id, icao24, callsign,
+    {sql_finite('lat_n')} AS latitude,
+    {sql_finite('lon_n')} AS longitude,
+    CASE WHEN NOT on_ground THEN {sql_finite('alt_n * CAST(0.3048 AS DOUBLE)')} END AS baro_altitude,
+    {sql_finite('geo_n * CAST(0.3048 AS DOUBLE)')} AS geo_altitude,
+    on_ground,
+    {sql_finite('gs_n * CAST(0.514444 AS DOUBLE)')} AS velocity,
+    {sql_finite('track_n')} AS true_track,
+    {sql_finite('rate_n * CAST(0.00508 AS DOUBLE)')} AS vertical_rate,
+    squawk, category,
+    CASE WHEN icao24 IS NULL THEN 'missing_hex'
+         WHEN lat_n IS NULL OR lon_n IS NULL THEN 'bad_position'
+         WHEN alt_baro IS NOT NULL AND NOT on_ground AND alt_n IS NULL THEN 'bad_alt_baro' END AS reject_reason,
+    lat_n, lon_n
+  FROM parsed
+)"""
