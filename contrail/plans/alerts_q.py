@@ -1 +1,97 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: subscriptions and landing alerts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contrail.operators import alerts as A
+from contrail.operators import latest as L
+from contrail.plans import params as P
+from contrail.plans.oracle_ctes import AS_OF_SQL, CAND, FS, SUBS, sql_instant, sql_strip, with_ctes
+from contrail.plans.registry import register
+from contrail.plans.routes_q import cached_routes
+from contrail.plans.trails_q import history
+from contrail.sources.standins import subscription_requests, unsubscribe_requests
+from contrail.sources.tables import table
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subscription_requests(table(spark, sf_dir, "customer"), P.AS_OF)
+
+
+def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upserted subscriptions after the delete requests."""
+    subs = A.upsert_subscriptions(requests(spark, sf_dir), P.SUBSCRIPTION_TTL)
+    return A.delete_subscriptions(subs, unsubscribe_requests(table(spark, sf_dir, "customer")))
+
+
+_SUB_OUT = "email, icao24, callsign, notified, created_at, expires_at"
+
+
+# ---------------------------------------------------------------- K8 F22
+@register("subscription_upsert", with_ctes(SUBS) + f"\nSELECT {_SUB_OUT} FROM subs")
+def subscription_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.upsert_subscriptions(requests(spark, sf_dir), P.SUBSCRIPTION_TTL)
+
+
+# ---------------------------------------------------------------- K9
+@register("subscription_delete", with_ctes(SUBS) + f"\nSELECT {_SUB_OUT} FROM kept")
+def subscription_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subscriptions(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- S7
+@register("subscriptions_active", with_ctes(SUBS) + f"\nSELECT {_SUB_OUT} FROM active")
+def subscriptions_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.active_subscriptions(subscriptions(spark, sf_dir), P.AS_OF)
+
+
+# ---------------------------------------------------------------- J2 J3 P15 F10 K7 T7
+_DUE_SQL = with_ctes(FS, CAND, SUBS, f"""
+live AS (SELECT icao24, callsign FROM (
+  SELECT icao24, callsign, ROW_NUMBER() OVER (PARTITION BY icao24 ORDER BY time DESC, event_id DESC) AS rk FROM fs) WHERE rk = 1),
+s AS (
+  SELECT a.email, a.icao24, a.notified, a.created_at, a.expires_at,
+         COALESCE(NULLIF({sql_strip('a.callsign')}, ''), NULLIF({sql_strip('l.callsign')}, '')) AS callsign
+  FROM active a LEFT JOIN live l ON a.icao24 = l.icao24
+  WHERE NOT a.notified
+),
+j AS (
+  SELECT s.*, r.flight_number, r.origin_iata_code, r.destination_iata_code, r.destination_municipality,
+         r.actual_on, {sql_instant("COALESCE(NULLIF(r.estimated_on, ''), NULLIF(r.scheduled_on, ''))")} AS eta
+  FROM s JOIN valid_routes r ON s.callsign = r.callsign
+  WHERE NULLIF(r.actual_on, '') IS NULL
+),
+m AS (SELECT *, CAST(date_diff('microsecond', {AS_OF_SQL}, eta) AS DOUBLE) / CAST(60000000 AS DOUBLE) AS mins FROM j)""") + """
+SELECT email, icao24, callsign, COALESCE(NULLIF(flight_number, ''), callsign) AS flight_number,
+       COALESCE(origin_iata_code, '???') AS origin_iata, COALESCE(destination_iata_code, '???') AS dest_iata,
+       COALESCE(destination_municipality, '') AS dest_city, CAST(trunc(mins) AS INTEGER) AS minutes, eta, created_at
+FROM m WHERE mins > 0 AND mins <= 65"""
+
+
+@register("due_alerts", _DUE_SQL)
+def due_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = L.latest_per_key(history(spark, sf_dir).select("icao24", "callsign", "time", "event_id"),
+                            "icao24", ("time", "event_id"))
+    return A.due_alerts(subscriptions(spark, sf_dir), live, cached_routes(spark, sf_dir), P.AS_OF, P.ALERT_WINDOW_MIN)
+
+
+# ---------------------------------------------------------------- T8
+_IMM_SQL = with_ctes(CAND, SUBS, f"""
+rq AS (SELECT seq, email, icao24, {sql_strip('callsign')} AS callsign FROM req WHERE contains(email, '@')),
+due AS (
+  SELECT rq.seq FROM rq JOIN valid_routes r ON rq.callsign = r.callsign
+  WHERE NULLIF(r.actual_on, '') IS NULL
+    AND CAST(date_diff('microsecond', {AS_OF_SQL}, {sql_instant("COALESCE(NULLIF(r.estimated_on, ''), NULLIF(r.scheduled_on, ''))")}) AS DOUBLE)
+        / CAST(60000000 AS DOUBLE) > 0
+    AND CAST(date_diff('microsecond', {AS_OF_SQL}, {sql_instant("COALESCE(NULLIF(r.estimated_on, ''), NULLIF(r.scheduled_on, ''))")}) AS DOUBLE)
+        / CAST(60000000 AS DOUBLE) <= 65
+)""") + """
+SELECT rq.seq, rq.email, lower(rq.icao24) AS icao24, rq.callsign, (due.seq IS NOT NULL) AS sent_immediately
+FROM rq LEFT JOIN due ON rq.seq = due.seq"""
+
+
+@register("subscribe_immediate", _IMM_SQL)
+def subscribe_immediate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.subscribe_immediate(requests(spark, sf_dir), cached_routes(spark, sf_dir), P.AS_OF, P.ALERT_WINDOW_MIN)

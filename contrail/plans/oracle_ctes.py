@@ -122,3 +122,103 @@ norm AS (
     lat_n, lon_n
   FROM parsed
 )"""
+
+
+def _rcs(u: str) -> str:
+    return (f"(CASE {u} % 5 WHEN 0 THEN 'DLH' WHEN 1 THEN 'AAL' WHEN 2 THEN 'ANZ' WHEN 3 THEN 'XX' WHEN 4 THEN 'SWA' END)"
+            f" || lpad(CAST({u} AS VARCHAR), 4, '0')")
+
+
+CAND = f"""
+ord AS (SELECT *, o_custkey // 10 AS u, lpad(CAST(o_custkey % 97 AS VARCHAR), 3, '0') AS ocode,
+               lpad(CAST(o_orderkey % 89 AS VARCHAR), 3, '0') AS dcode
+        FROM orders),
+cand AS (
+  SELECT {_rcs('u')} AS callsign,
+    o_orderkey AS pos,
+    CASE WHEN o_orderstatus = 'F' OR (o_orderstatus = 'P' AND u % 3 <> 1) THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS actual_off,
+    CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%SZ') END AS actual_on,
+    CASE WHEN o_orderkey % 11 = 0 THEN ''
+         ELSE strftime({AS_OF_SQL} + to_minutes(CAST(o_orderkey % 300 - 100 AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') END AS estimated_on,
+    CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 2 = 0
+         THEN strftime({AS_OF_SQL} + to_minutes(CAST(o_orderkey % 240 - 60 AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') END AS scheduled_on,
+    CASE o_orderstatus WHEN 'O' THEN 'Scheduled' WHEN 'P' THEN 'En Route / On Time' WHEN 'F' THEN 'Landed' END AS status,
+    o_orderkey % 23 <> 0 AS has_origin,
+    CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'O' || substring(ocode, 2, 2) END AS o_code_iata,
+    'K' || ocode AS o_code, 'City' || ocode AS o_city,
+    CASE WHEN o_orderkey % 13 <> 0 THEN 'Airport ' || ocode END AS o_name,
+    'D' || substring(dcode, 2, 2) AS d_code_iata, 'K' || dcode AS d_code,
+    CASE WHEN o_orderkey % 5 <> 0 THEN 'Town' || dcode END AS d_city, 'Field ' || dcode AS d_name,
+    CASE WHEN o_orderkey % 13 <> 0 THEN CAST((o_orderkey % 7 - 3) * 600 AS INTEGER) END AS departure_delay,
+    CAST((o_orderkey % 9 - 4) * 15 AS INTEGER) AS arrival_delay,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'A320' ELSE 'B738' END AS aircraft_type,
+    CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE substring({_rcs('u')}, 1, 2) || CAST(o_orderkey % 1000 AS VARCHAR) END AS ident_iata,
+    {_rcs('u')} || '-' || CAST(o_orderkey AS VARCHAR) AS ident,
+    CAST(o_orderkey % 3000 AS INTEGER) AS route_distance,
+    'fa-' || CAST(o_orderkey AS VARCHAR) AS fa_flight_id
+  FROM ord WHERE NOT (u % 3 = 2 AND o_orderstatus = 'P')
+),
+pri AS (
+  SELECT *, CASE WHEN NULLIF(actual_off, '') IS NOT NULL AND NULLIF(actual_on, '') IS NULL THEN 1
+                 WHEN COALESCE(contains(status, 'En Route'), FALSE) THEN 2
+                 WHEN NULLIF(actual_off, '') IS NOT NULL THEN 3 END AS priority
+  FROM cand
+),
+best AS (
+  SELECT * FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY callsign ORDER BY priority,
+              CASE WHEN priority = 3 THEN actual_off END DESC NULLS LAST, pos) AS rk
+    FROM pri WHERE priority IS NOT NULL) WHERE rk = 1
+),
+routes AS (
+  SELECT callsign,
+    COALESCE(NULLIF(o_code_iata, ''), o_code, '') AS origin_iata_code, COALESCE(o_city, '') AS origin_municipality,
+    COALESCE(o_name, '') AS origin_name,
+    COALESCE(NULLIF(d_code_iata, ''), d_code, '') AS destination_iata_code, COALESCE(d_city, '') AS destination_municipality,
+    COALESCE(d_name, '') AS destination_name,
+    aircraft_type, COALESCE(NULLIF(ident_iata, ''), ident) AS flight_number, status,
+    COALESCE(departure_delay, 0) AS departure_delay, COALESCE(arrival_delay, 0) AS arrival_delay,
+    route_distance, estimated_on, actual_on, scheduled_on, fa_flight_id,
+    {AS_OF_SQL} - to_hours(CAST((pos * 7) % 24 AS INTEGER)) - INTERVAL 30 MINUTE AS cached_at
+  FROM best WHERE has_origin
+),
+valid_routes AS (SELECT * FROM routes WHERE cached_at > {AS_OF_SQL} - INTERVAL '12 hours')"""
+
+SUBS = f"""
+cust AS (SELECT c_custkey AS c, c_custkey // 10 AS u,
+                'u' || CAST(c_custkey // 10 AS VARCHAR) || 'c' || CAST(c_custkey AS VARCHAR) || '@example.com' AS em,
+                {AS_OF_SQL} - to_hours(CAST(c_custkey % 30 AS INTEGER)) AS created
+         FROM customer),
+req AS (
+  SELECT CASE WHEN c % 2 = 0 THEN upper(em) ELSE em END AS email, lpad(CAST(u AS VARCHAR), 6, '0') AS icao24,
+         CASE WHEN c % 4 = 0 THEN '  ' ELSE {_rcs('u')} || ' ' END AS callsign,
+         c % 7 = 0 AS notified, created AS created_at, c * 3 AS seq
+  FROM cust
+  UNION ALL
+  SELECT CASE WHEN c % 2 = 0 THEN em ELSE upper(em) END, upper(lpad(CAST(u AS VARCHAR), 6, '0')),
+         {_rcs('u')}, FALSE, created + INTERVAL 30 MINUTE, c * 3 + 1
+  FROM cust WHERE c % 5 = 0
+  UNION ALL
+  SELECT replace(em, '@', '.'), lpad(CAST(u AS VARCHAR), 6, '0'), '', FALSE, created, c * 3 + 2
+  FROM cust WHERE c % 13 = 0
+),
+subs AS (
+  SELECT email, icao24, callsign, notified, created_at, expires_at FROM (
+    SELECT email, lower(icao24) AS icao24, {sql_strip('callsign')} AS callsign, COALESCE(notified, FALSE) AS notified,
+           created_at, created_at + INTERVAL 24 HOUR AS expires_at,
+           ROW_NUMBER() OVER (PARTITION BY lower(icao24), lower(email) ORDER BY created_at DESC, seq DESC) AS rk
+    FROM req WHERE contains(email, '@')) WHERE rk = 1
+),
+dels AS (
+  SELECT DISTINCT lower(icao24) AS i, lower(email) AS e FROM (
+    SELECT upper(lpad(CAST(u AS VARCHAR), 6, '0')) AS icao24,
+           'U' || CAST(u AS VARCHAR) || 'C' || CAST(c AS VARCHAR) || '@EXAMPLE.COM' AS email FROM cust WHERE c % 9 = 0
+    UNION ALL
+    SELECT 'ffffff', 'U' || CAST(u AS VARCHAR) || 'C' || CAST(c AS VARCHAR) || '@EXAMPLE.COM' FROM cust WHERE c % 27 = 0)
+),
+kept AS (SELECT s.* FROM subs s WHERE NOT EXISTS (SELECT 1 FROM dels d WHERE d.i = s.icao24 AND d.e = lower(s.email))),
+active AS (SELECT * FROM kept WHERE expires_at > {AS_OF_SQL})"""
+
+
+def sql_instant(x: str) -> str:
+    return f"TRY_CAST(regexp_replace(NULLIF({x}, ''), '(Z|\\+00:00)$', '') AS TIMESTAMP)"
