@@ -222,3 +222,45 @@ active AS (SELECT * FROM kept WHERE expires_at > {AS_OF_SQL})"""
 
 def sql_instant(x: str) -> str:
     return f"TRY_CAST(regexp_replace(NULLIF({x}, ''), '(Z|\\+00:00)$', '') AS TIMESTAMP)"
+
+
+TRACKED = """
+log AS (SELECT event_id AS seq, CASE WHEN event_type = 'click' THEN 'track' ELSE 'untrack' END AS action,
+               lpad(CAST(user_id AS VARCHAR), 6, '0') AS icao24
+        FROM events WHERE event_type IN ('click', 'error')),
+rm AS (SELECT icao24, max(CASE WHEN action = 'untrack' THEN seq END) AS last_rm FROM log GROUP BY icao24),
+tracked AS (SELECT l.icao24, min(l.seq) AS position FROM log l JOIN rm r ON l.icao24 = r.icao24
+            WHERE l.action = 'track' AND (r.last_rm IS NULL OR l.seq > r.last_rm) GROUP BY l.icao24)"""
+
+DIM = f"""
+dim AS (SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS icao24, 'N' || CAST(user_id AS VARCHAR) AS registration,
+               CASE WHEN user_id % 3 = 0 THEN 'A320' WHEN user_id % 3 = 1 THEN 'B738' ELSE 'E190' END AS model,
+               CASE user_id % 5 WHEN 0 THEN 'DLH' WHEN 1 THEN 'AAL' WHEN 2 THEN 'ANZ' WHEN 3 THEN 'XX' END AS airline,
+               {AS_OF_SQL} AS updated_at
+        FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0))"""
+
+SEARCHES = f"""
+searches AS (
+  SELECT DISTINCT query FROM (
+    SELECT CASE WHEN c_custkey % 10 = 0 THEN ' ' || lower({_CALLSIGN.replace('user_id', '(c_custkey // 10)')}) || ' '
+                WHEN c_custkey % 10 = 1 THEN lpad(CAST(c_custkey // 10 AS VARCHAR), 6, '0')
+                WHEN c_custkey % 10 = 2 THEN 'zz' || CAST(c_custkey AS VARCHAR)
+                WHEN c_custkey % 10 = 3 THEN lower(substring({_CALLSIGN.replace('user_id', '(c_custkey // 10)')}, 1, 3))
+                WHEN c_custkey % 10 = 4 THEN substring(lpad(CAST(c_custkey // 10 AS VARCHAR), 6, '0'), 1, 4)
+                WHEN c_custkey % 10 = 5 THEN ' x'
+                WHEN c_custkey % 10 = 6 THEN lower(substring({_CALLSIGN.replace('user_id', '(c_custkey // 10)')}, 1, 2)) || ' '
+           END AS query
+    FROM customer) WHERE query IS NOT NULL)"""
+
+PTS_SEG = """
+pts AS (SELECT icao24, time, event_id, latitude AS lat, longitude AS lon FROM fs
+        WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+sg AS (SELECT icao24, time, event_id, LAG(lat) OVER w AS lat1, LAG(lon) OVER w AS lon1, lat AS lat2, lon AS lon2
+       FROM pts WINDOW w AS (PARTITION BY icao24 ORDER BY time, event_id)),
+seg AS (SELECT *, sqrt((lat2 - lat1) * (lat2 - lat1) + (lon2 - lon1) * (lon2 - lon1)) AS seg_len,
+               fmod(degrees(atan2(sin(radians(lon2 - lon1)) * cos(radians(lat2)),
+                                  cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1))))
+                    + CAST(360 AS DOUBLE), CAST(360 AS DOUBLE)) AS bearing
+        FROM sg WHERE lat1 IS NOT NULL),
+cum AS (SELECT *, SUM(CAST(seg_len AS DECIMAL(26,12))) OVER (PARTITION BY icao24 ORDER BY time, event_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_end FROM seg)"""
