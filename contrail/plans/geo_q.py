@@ -1 +1,65 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: bearings, path length, interpolation, deadband."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contrail.operators import geo as G
+from contrail.operators.trails import hourly
+from contrail.plans.oracle_ctes import FS, PTS_SEG, with_ctes
+from contrail.plans.registry import register
+from contrail.plans.trails_q import history
+
+FRACTIONS = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.segments(history(spark, sf_dir), bucket=hourly())
+
+
+# ---------------------------------------------------------------- W6
+@register("bearing_segments", with_ctes(FS, PTS_SEG) + "\nSELECT icao24, event_id, round(bearing, 6) AS bearing FROM seg")
+def bearing_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir).select("icao24", "event_id", F.round("bearing", 6).alias("bearing"))
+
+
+# ---------------------------------------------------------------- W7
+@register("path_length", with_ctes(FS, PTS_SEG) + """
+SELECT icao24, event_id, round(seg_len, 6) AS seg_len, round(CAST(cum_end AS DOUBLE), 6) AS cum_len FROM cum""")
+def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pl = G.path_lengths(_segments(spark, sf_dir), bucket=F.date_trunc("day", "time"))
+    return pl.select("icao24", "event_id", F.round("seg_len", 6).alias("seg_len"),
+                     F.round(F.col("cum_end").cast("double"), 6).alias("cum_len"))
+
+
+# ---------------------------------------------------------------- J10 F20
+_FRAC_SQL = ", ".join(f"(CAST({f} AS DOUBLE))" for f in FRACTIONS)
+
+
+@register("route_interpolation", with_ctes(FS, PTS_SEG, f"""
+c2 AS (SELECT *, CAST(cum_end - CAST(seg_len AS DECIMAL(26,12)) AS DOUBLE) AS s, CAST(cum_end AS DOUBLE) AS e,
+              ROW_NUMBER() OVER (PARTITION BY icao24 ORDER BY time, event_id) AS k FROM cum),
+tot AS (SELECT icao24, max(e) AS total FROM c2 GROUP BY icao24),
+fr AS (SELECT * FROM (VALUES {_FRAC_SQL}) AS t(fraction)),
+pos AS (SELECT tot.icao24, fr.fraction, tot.total * fr.fraction AS pos FROM tot, fr),
+hit AS (
+  SELECT p.icao24, p.fraction, c.event_id AS segment_end_event,
+         CASE WHEN c.seg_len > 0 THEN (p.pos - c.s) / c.seg_len ELSE CAST(0 AS DOUBLE) END AS t,
+         c.lat1, c.lat2, c.lon1, c.lon2, c.bearing
+  FROM pos p JOIN c2 c ON p.icao24 = c.icao24
+  WHERE (c.s < p.pos AND p.pos <= c.e) OR (p.pos = 0 AND c.k = 1)
+)""") + """
+SELECT icao24, fraction, segment_end_event, round(lat1 + (lat2 - lat1) * t, 6) AS lat,
+       round(lon1 + (lon2 - lon1) * t, 6) AS lon, round(bearing, 6) AS heading FROM hit""")
+def route_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = G.path_lengths(_segments(spark, sf_dir), bucket=F.date_trunc("day", "time"))
+    out = G.interpolate_along(lengths, FRACTIONS, bucket_width=50.0)
+    return out.select("icao24", "fraction", "segment_end_event", F.round("lat", 6).alias("lat"),
+                      F.round("lon", 6).alias("lon"), F.round("heading", 6).alias("heading"))
+
+
+# ---------------------------------------------------------------- P17 (rows-only: a sequential fold)
+@register("deadband")
+def deadband(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.deadband(history(spark, sf_dir), threshold=0.001)
