@@ -33,7 +33,8 @@ def path_lengths(segs: DataFrame, bucket: Column | None = None, order: Sequence[
     """Running path length per aircraft (exact decimal running total),
     plus where each segment starts along the path."""
     run = with_running_sum(segs, ["icao24"], order, "seg_len", "cum_end", bucket)
-    return run.withColumn("cum_start", F.col("cum_end") - F.col("seg_len").cast("decimal(26,12)"))
+    return run.withColumn("cum_start", (F.col("cum_end").cast("decimal(34,12)")
+                                        - F.col("seg_len").cast("decimal(24,12)")).cast("decimal(38,12)"))
 
 
 def interpolate_along(lengths: DataFrame, fractions: Sequence[float], bucket_width: float = 50.0) -> DataFrame:

@@ -78,17 +78,20 @@ def with_running_sum(
     the order in which partial sums are combined (float addition does).
     """
     keys, order = list(keys), list(order)
-    v = F.col(value).cast(f"decimal(26,{scale})")
+    # value: 12 integer digits; partial sums are kept at precision 34 so
+    # that adding the carry stays within 38 digits at full scale.
+    v = F.col(value).cast(f"decimal(24,{scale})")
+    part = f"decimal(34,{scale})"
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(v).over(w))
+        return df.withColumn(out, F.sum(v).over(w).cast(f"decimal(38,{scale})"))
 
     b = df.withColumn(_B, bucket)
     w = Window.partitionBy(*keys, _B).orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    inner = b.withColumn("_in_sum", F.sum(v).over(w))
-    totals = b.groupBy(*keys, _B).agg(F.sum(v).alias("_tot"))
+    inner = b.withColumn("_in_sum", F.sum(v).over(w).cast(part))
+    totals = b.groupBy(*keys, _B).agg(F.sum(v).cast(part).alias("_tot"))
     wb = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, _B, F.coalesce(F.sum("_tot").over(wb), F.lit(0)).alias("_carry"))
+    carry = totals.select(*keys, _B, F.coalesce(F.sum("_tot").over(wb), F.lit(0)).cast(part).alias("_carry"))
     joined = inner.join(carry, on=[*keys, _B], how="left")
     total = (F.col("_in_sum") + F.col("_carry")).cast(f"decimal(38,{scale})")
     return joined.select(*[F.col(c) for c in df.columns], total.alias(out))

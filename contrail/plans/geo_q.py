@@ -38,7 +38,7 @@ _FRAC_SQL = ", ".join(f"(CAST({f} AS DOUBLE))" for f in FRACTIONS)
 
 
 @register("route_interpolation", with_ctes(FS, PTS_SEG, f"""
-c2 AS (SELECT *, CAST(cum_end - CAST(seg_len AS DECIMAL(26,12)) AS DOUBLE) AS s, CAST(cum_end AS DOUBLE) AS e,
+c2 AS (SELECT *, CAST(cum_end - CAST(seg_len AS DECIMAL(24,12)) AS DOUBLE) AS s, CAST(cum_end AS DOUBLE) AS e,
               ROW_NUMBER() OVER (PARTITION BY icao24 ORDER BY time, event_id) AS k FROM cum),
 tot AS (SELECT icao24, max(e) AS total FROM c2 GROUP BY icao24),
 fr AS (SELECT * FROM (VALUES {_FRAC_SQL}) AS t(fraction)),

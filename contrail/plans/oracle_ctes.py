@@ -262,5 +262,5 @@ seg AS (SELECT *, sqrt((lat2 - lat1) * (lat2 - lat1) + (lon2 - lon1) * (lon2 - l
                                   cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1))))
                     + CAST(360 AS DOUBLE), CAST(360 AS DOUBLE)) AS bearing
         FROM sg WHERE lat1 IS NOT NULL),
-cum AS (SELECT *, SUM(CAST(seg_len AS DECIMAL(26,12))) OVER (PARTITION BY icao24 ORDER BY time, event_id
+cum AS (SELECT *, SUM(CAST(seg_len AS DECIMAL(24,12))) OVER (PARTITION BY icao24 ORDER BY time, event_id
                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_end FROM seg)"""

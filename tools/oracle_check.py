@@ -5,51 +5,22 @@ usage: python tools/oracle_check.py [sf_dir] [name ...]
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 
-import duckdb
-
 sys.path.insert(0, __file__.rsplit("/tools/", 1)[0])
 
 from contrail.plans.registry import oracle_sql, queries  # noqa: E402
 from contrail.session import local_session  # noqa: E402
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
-def norm(v):
-    if v is None:
-        return None
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "NaN"
-        return v
-    if hasattr(v, "to_pydatetime"):
-        return v.to_pydatetime()
-    if hasattr(v, "tolist"):
-        v = v.tolist()
-    if isinstance(v, (list, tuple)):
-        return tuple(norm(x) for x in v)
-    if isinstance(v, dict):
-        return tuple(sorted((k, norm(x)) for k, x in v.items()))
-    return v
-
-
-def rows_of(columns, records):
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    out = [tuple(norm(r[i]) for i in order) for r in records]
-    return sorted(out, key=lambda t: repr(t))
+from tests._compare import duck, rows_of  # noqa: E402
 
 
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 and sys.argv[1].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in sys.argv[1:] if not a.startswith("/")]
     spark = local_session("oracle-check")
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    con = duck(sf_dir)
     qs, sqls = queries(), oracle_sql()
     bad = 0
     for name in (names or sorted(qs)):
