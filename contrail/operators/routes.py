@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from contrail.functions.numeric import strip_ws
 from contrail.functions.text import blank_to_null, first_non_empty
 from contrail.functions.time import ntz
 from contrail.operators.latest import latest_per_key
@@ -32,7 +33,7 @@ def candidate_documents(spark: SparkSession, path: str) -> DataFrame:
     flat = docs.select("callsign", F.posexplode_outer("flights").alias("pos", "f")).filter(F.col("f").isNotNull())
     f = F.col("f")
     return flat.select(
-        F.regexp_replace("callsign", r"^\s+|\s+$", "").alias("callsign"), F.col("pos").cast("bigint").alias("pos"),
+        strip_ws(F.col("callsign")).alias("callsign"), F.col("pos").cast("bigint").alias("pos"),
         *[f[n].alias(n) for n in ("actual_off", "actual_on", "estimated_on", "scheduled_on", "status",
                                   "origin", "destination")],
         f["departure_delay"].try_cast("int").alias("departure_delay"),

