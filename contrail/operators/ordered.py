@@ -5,8 +5,9 @@ key holding a third of the data would then be a third of the job in one
 task. Here the window runs per (key, bucket), where the bucket is a coarse,
 order-monotone expression (e.g. the hour of the timestamp). Only the last
 row of each bucket — a table of keys x buckets — crosses bucket borders,
-and it is joined back on (key, bucket), the partitioning the window already
-produced. Results equal the single-window form for any bucket width.
+taken from the same window pass (the row with no successor) and joined back
+on (key, bucket), the partitioning the window already produced (the shuffle
+is shared). Results equal the single-window form for any bucket width.
 """
 
 from __future__ import annotations
@@ -43,15 +44,16 @@ def with_previous(
 
     b = df.withColumn(_B, bucket)
     w = Window.partitionBy(*keys, _B).orderBy(*_order_cols(order))
+    # One window pass gives the in-bucket previous row and marks the last row
+    # of each bucket (no following row): those rows are the bucket tails, so
+    # no second scan or aggregate of the data is needed.
     inner = b.select(
         "*",
         F.row_number().over(w).alias("_rn"),
+        F.lead(F.lit(1)).over(w).isNull().alias("_is_last"),
         *[F.lag(c).over(w).alias("_in_" + c) for c in cols],
     )
-    # Last row of every (key, bucket), then the previous bucket's last row.
-    tails = b.groupBy(*keys, _B).agg(
-        F.max_by(F.struct(*[F.col(c).alias(c) for c in cols]), F.struct(*order)).alias("_last")
-    )
+    tails = inner.filter("_is_last").select(*keys, _B, F.struct(*[F.col(c).alias(c) for c in cols]).alias("_last"))
     wb = Window.partitionBy(*keys).orderBy(_B)
     carry = tails.select(*keys, _B, F.lag("_last").over(wb).alias("_carry"))
     joined = inner.join(carry, on=[*keys, _B], how="left")
@@ -87,9 +89,12 @@ def with_running_sum(
         return df.withColumn(out, F.sum(v).over(w).cast(f"decimal(38,{scale})"))
 
     b = df.withColumn(_B, bucket)
-    w = Window.partitionBy(*keys, _B).orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    inner = b.withColumn("_in_sum", F.sum(v).over(w).cast(part))
-    totals = b.groupBy(*keys, _B).agg(F.sum(v).cast(part).alias("_tot"))
+    wo = Window.partitionBy(*keys, _B).orderBy(*_order_cols(order))
+    w = wo.rowsBetween(Window.unboundedPreceding, 0)
+    inner = b.select("*", F.sum(v).over(w).cast(part).alias("_in_sum"),
+                     F.lead(F.lit(1)).over(wo).isNull().alias("_is_last"))
+    # the running sum at a bucket's last row is the bucket total
+    totals = inner.filter("_is_last").select(*keys, _B, F.col("_in_sum").alias("_tot"))
     wb = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, _B, F.coalesce(F.sum("_tot").over(wb), F.lit(0)).cast(part).alias("_carry"))
     joined = inner.join(carry, on=[*keys, _B], how="left")
