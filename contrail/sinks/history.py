@@ -13,18 +13,29 @@ from pyspark.sql import functions as F
 from contrail.schema import HISTORY_COLUMNS_WITH_CATEGORY
 
 
-def append_batch(df: DataFrame, root: str, batch_id: int) -> None:
+def append_batch(df: DataFrame, root: str, batch_id: int, partitions: int | None = None,
+                 max_records_per_file: int = 5_000_000) -> None:
+    """Write one micro-batch (or one backfill chunk) of history.
+
+    Range-partitioned on (date, icao24, time): files hold contiguous key
+    ranges sorted by time (the layout the keyed and time scans prune on), and
+    a hot aircraft's day is split across tasks because ``time`` is part of
+    the range key. ``partitions`` defaults to the session's shuffle
+    partitions; AQE does not coalesce an explicit range repartition.
+    """
+    spark = df.sparkSession
+    n = int(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
     out = (
         df.select(*HISTORY_COLUMNS_WITH_CATEGORY)
         .filter(F.col("icao24").isNotNull() & F.col("time").isNotNull())
         .withColumn("date", F.to_date("time"))
         .withColumn("batch_id", F.lit(int(batch_id)))
-        # one task per date: few, large files, rows of a key close together
-        .repartition("date")
-        .sortWithinPartitions("icao24", "time")
+        .repartitionByRange(n, "date", "icao24", "time")
+        .sortWithinPartitions("date", "icao24", "time")
     )
     (out.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy("batch_id", "date")
         .parquet(root))
 
