@@ -87,12 +87,12 @@ def _updates_sink(root: str):
 
 
 @register("stream_latest")
-def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_latest(spark: SparkSession, sf_dir: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """Keyed latest-state processor over the stream; the end state is
     the last update per key."""
     src = land_wire_files(spark, sf_dir)
     base = shared_dir(spark, "latest")
-    enriched = states_from_wire(S.wire_file_stream(spark, src, FILES_PER_TRIGGER)).select(
+    enriched = states_from_wire(S.wire_file_stream(spark, src, files_per_trigger)).select(
         "icao24", "callsign", "latitude", "longitude", "on_ground", "flight_phase", "time", "offset")
     out = ST.latest_state(enriched, "icao24", ("time", "offset"))
     q = (out.writeStream.outputMode("update").foreachBatch(_updates_sink(f"{base}/updates"))
@@ -103,12 +103,12 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("stream_trail")
-def stream_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_trail(spark: SparkSession, sf_dir: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """T4: rolling 20-point trail state; the end state per key is its last
     emitted trail."""
     src = land_wire_files(spark, sf_dir)
     base = shared_dir(spark, "trail")
-    enriched = states_from_wire(S.wire_file_stream(spark, src, FILES_PER_TRIGGER))
+    enriched = states_from_wire(S.wire_file_stream(spark, src, files_per_trigger))
     out = ST.rolling_trail(enriched, 20, "offset")
     q = (out.writeStream.outputMode("update").foreachBatch(_updates_sink(f"{base}/updates"))
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())

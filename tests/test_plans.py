@@ -23,6 +23,11 @@ def test_airline_lookup_broadcasts_bounded_dimension(spark):
     assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
 
 
+def test_aircraft_dimension_broadcast_behind_row_check(spark):
+    p = plan(queries()["aircraft_dim_join"](spark, SF_SMALL))
+    assert "BroadcastHashJoin" in p
+
+
 def test_time_filter_reaches_parquet_scan(spark):
     df = queries()["full_flight_points"](spark, SF_SMALL)
     p = df._jdf.queryExecution().executedPlan().toString()

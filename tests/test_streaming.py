@@ -1,5 +1,6 @@
 """Batch = stream, and replay after a failure leaves history whole."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from contrail.operators.latest import latest_per_key
@@ -18,6 +19,16 @@ def test_stream_latest_equals_batch(spark):
     assert streamed.count() == batch.count()
 
 
+@pytest.mark.parametrize("per_trigger", [1, 3, 100])
+def test_stream_state_independent_of_batching(spark, per_trigger):
+    latest = streams_q.stream_latest(spark, SF_SMALL, files_per_trigger=per_trigger)
+    ws = snapshot_q.wire_states(spark, SF_SMALL).filter(F.col("icao24").isNotNull())
+    want = latest_per_key(ws.select(*latest.columns), "icao24", ("time", "offset"))
+    assert spark_rows(latest) == spark_rows(want)
+    trail = streams_q.stream_trail(spark, SF_SMALL, files_per_trigger=per_trigger)
+    assert spark_rows(trail) == spark_rows(queries()["rolling_trail"](spark, SF_SMALL).select(*trail.columns))
+
+
 def test_stream_trail_equals_batch_end_state(spark):
     streamed = streams_q.stream_trail(spark, SF_SMALL)
     batch = queries()["rolling_trail"](spark, SF_SMALL)
