@@ -13,6 +13,7 @@ from contrail.plans import params as P
 from contrail.plans.oracle_ctes import AS_OF_SQL, FS, with_ctes
 from contrail.plans.registry import register
 from contrail.plans.trails_q import history
+from contrail.session import materialize
 from contrail.sources.standins import wire_rows
 from contrail.sources.tables import table
 from contrail.sources.wire import states_from_wire
@@ -24,8 +25,9 @@ _CLIENT_SQL = ("icao24, callsign, latitude AS lat, longitude AS lon, baro_altitu
 
 
 def wire_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed wire messages (junk rows are all-null and carry no key)."""
-    return states_from_wire(wire_rows(table(spark, sf_dir, "events")))
+    """Parsed wire messages (junk rows are all-null and carry no key), landed
+    once: later filters would otherwise re-run the JSON parse per branch."""
+    return materialize(states_from_wire(wire_rows(table(spark, sf_dir, "events"))))
 
 
 # Wire messages in DuckDB: same rows, minus the malformed ones (they parse to

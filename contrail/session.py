@@ -75,3 +75,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = spark.sparkContext.getCheckpointDir() or base
     base = base.rstrip("/")
     return f"{base}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder
+    (never a local checkpoint): used when an expensive derived table feeds
+    several branches of one plan."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base:
+            spark.sparkContext.setCheckpointDir(base)
+        else:
+            shared_dir(spark, "materialize")  # sets a fallback directory
+    return df.checkpoint(eager=True)
