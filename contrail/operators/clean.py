@@ -31,39 +31,50 @@ def normalise(raw: DataFrame, keep: tuple = ("event_id",), as_of=None) -> DataFr
     or unparseable; ``alt_baro`` present, not "ground" and not a number.
     Other unparseable numbers only become null. Units: ft -> m, kt -> m/s,
     ft/min -> m/s. NaN and infinity come out as null (their JSON form).
+
+    Two projections: every raw field is parsed exactly once in the first;
+    the second only combines parsed values (Catalyst keeps them apart because
+    the parsed values are referenced several times).
     """
     keep = [c for c in keep if c in raw.columns]
-    icao = clean_icao24(F.col("hex"))
-    lat, lon = N.safe_number(F.col("lat")), N.safe_number(F.col("lon"))
     alt_raw = F.col("alt_baro")
-    on_ground = F.coalesce(alt_raw == F.lit("ground"), F.lit(False))
-    alt_num = N.safe_number(alt_raw)
-
-    def scaled(c: Column, factor: float) -> Column:
-        return N.finite_or_null(N.safe_number(c) * F.lit(factor))
-
+    parsed = raw.select(
+        *keep,
+        clean_icao24(F.col("hex")).alias("icao24"),
+        clean_callsign(F.col("flight")).alias("callsign"),
+        N.safe_number(F.col("lat")).alias("_lat"),
+        N.safe_number(F.col("lon")).alias("_lon"),
+        F.coalesce(alt_raw == F.lit("ground"), F.lit(False)).alias("on_ground"),
+        alt_raw.isNotNull().alias("_alt_present"),
+        N.safe_number(alt_raw).alias("_alt"),
+        N.safe_number(F.col("alt_geom")).alias("_geo"),
+        N.safe_number(F.col("gs")).alias("_gs"),
+        N.safe_number(F.col("track")).alias("_track"),
+        N.safe_number(F.col("baro_rate")).alias("_rate"),
+        F.col("squawk"),
+        F.col("category"),
+    )
+    lat, lon, og = F.col("_lat"), F.col("_lon"), F.col("on_ground")
     reason = (
-        F.when(icao.isNull(), F.lit("missing_hex"))
+        F.when(F.col("icao24").isNull(), F.lit("missing_hex"))
         .when(lat.isNull() | lon.isNull(), F.lit("bad_position"))
-        .when(alt_raw.isNotNull() & ~on_ground & alt_num.isNull(), F.lit("bad_alt_baro"))
+        .when(F.col("_alt_present") & ~og & F.col("_alt").isNull(), F.lit("bad_alt_baro"))
     )
-    out = raw.select(
+    out = parsed.select(
         *keep,
-        icao.alias("icao24"),
-        clean_callsign(F.col("flight")).alias("callsign"),
+        "icao24", "callsign",
         N.finite_or_null(lat).alias("latitude"),
         N.finite_or_null(lon).alias("longitude"),
-        F.when(~on_ground, N.finite_or_null(alt_num * F.lit(N.FT_TO_M))).alias("baro_altitude"),
-        scaled(F.col("alt_geom"), N.FT_TO_M).alias("geo_altitude"),
-        on_ground.alias("on_ground"),
-        scaled(F.col("gs"), N.KT_TO_MS).alias("velocity"),
-        N.finite_or_null(N.safe_number(F.col("track"))).alias("true_track"),
-        scaled(F.col("baro_rate"), N.FTMIN_TO_MS).alias("vertical_rate"),
-        F.col("squawk"),
-        F.col("category"),
+        F.when(~og, N.finite_or_null(F.col("_alt") * F.lit(N.FT_TO_M))).alias("baro_altitude"),
+        N.finite_or_null(F.col("_geo") * F.lit(N.FT_TO_M)).alias("geo_altitude"),
+        og.alias("on_ground"),
+        N.finite_or_null(F.col("_gs") * F.lit(N.KT_TO_MS)).alias("velocity"),
+        N.finite_or_null(F.col("_track")).alias("true_track"),
+        N.finite_or_null(F.col("_rate") * F.lit(N.FTMIN_TO_MS)).alias("vertical_rate"),
+        "squawk", "category",
         reason.alias("reject_reason"),
         # raw coordinates before NaN->null, for the box test (NaN is outside)
-        lat.alias("_lat"), lon.alias("_lon"),
+        "_lat", "_lon",
     )
     if as_of is not None:
         out = out.withColumn("ingested_at", iso_text(ntz(as_of)))
@@ -71,7 +82,12 @@ def normalise(raw: DataFrame, keep: tuple = ("event_id",), as_of=None) -> DataFr
 
 
 def accepted(norm: DataFrame) -> DataFrame:
-    return norm.filter(F.col("reject_reason").isNull()).drop("reject_reason", "_lat", "_lon")
+    """Rows without a reject reason. Selected with a generator rather than a
+    filter: a filter would be pushed below the parsing projection and parse
+    every field a second time."""
+    cols = [c for c in norm.columns if c not in ("reject_reason", "_lat", "_lon")]
+    one = F.array(F.struct(*[F.col(c) for c in cols]))
+    return norm.select(F.inline(F.when(F.col("reject_reason").isNull(), one)))
 
 
 def within_box(lat: Column, lon: Column, box: tuple[float, float, float, float]) -> Column:
