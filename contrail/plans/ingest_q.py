@@ -23,7 +23,7 @@ _BOX_SQL = "lat_n BETWEEN {0} AND {1} AND lon_n BETWEEN {2} AND {3} AND NOT isna
 
 
 def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.normalise(raw_aircraft(table(spark, sf_dir, "events")))
+    return C.normalise(raw_aircraft(table(spark, sf_dir, "events", spread=True)))
 
 
 # ---------------------------------------------------------------- S2 P1 F1-F5

@@ -27,7 +27,7 @@ _CLIENT_SQL = ("icao24, callsign, latitude AS lat, longitude AS lon, baro_altitu
 def wire_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed wire messages (junk rows are all-null and carry no key), landed
     once: later filters would otherwise re-run the JSON parse per branch."""
-    return materialize(states_from_wire(wire_rows(table(spark, sf_dir, "events"))))
+    return materialize(states_from_wire(wire_rows(table(spark, sf_dir, "events", spread=True))))
 
 
 # Wire messages in DuckDB: same rows, minus the malformed ones (they parse to

@@ -28,7 +28,7 @@ def land_wire_files(spark: SparkSession, sf_dir: str) -> str:
     """Write the wire messages as JSON files, hash-partitioned by key (one
     key -> one file, like one topic partition)."""
     root = shared_dir(spark, "wire")
-    w = wire_rows(table(spark, sf_dir, "events")).select("key", "value", "partition", "offset", "timestamp")
+    w = wire_rows(table(spark, sf_dir, "events", spread=True)).select("key", "value", "partition", "offset", "timestamp")
     w.repartition(FILES, "key").write.json(root)
     return root
 

@@ -7,8 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from contrail.session import prepare
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """One given table. Column pruning and filters reach the parquet scan
-    because the plan stays declarative from here on."""
+    because the plan stays declarative from here on.
+
+    ``spread=True`` is for CPU-heavy per-row work (text parsing): see
+    ``spread_if_narrow``.
+    """
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_if_narrow(df) if spread else df
+
+
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's default parallelism when the
+    scan yields fewer splits than that (a single-row-group file is one
+    split). On a large table the scan already has more splits than cores and
+    this is a no-op, so no shuffle is added at scale."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
