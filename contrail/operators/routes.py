@@ -10,6 +10,7 @@ from contrail.functions.numeric import strip_ws
 from contrail.functions.text import blank_to_null, first_non_empty
 from contrail.functions.time import ntz
 from contrail.operators.latest import latest_per_key
+from contrail.operators.ordered import top_n_per_key
 
 _AIRPORT = StructType([StructField(n, StringType()) for n in ("code_iata", "code", "city", "name")])
 CANDIDATE_SCHEMA = StructType([
@@ -57,19 +58,19 @@ def pick_route(candidates: DataFrame, key: str = "callsign") -> DataFrame:
     """A5: the best candidate per callsign.
 
     Lowest class wins; in classes 1 and 2 the first candidate, in class 3 the
-    greatest ``actual_off`` (text order), first on ties. One ``max_by`` over
-    an ordering struct: a hash aggregate with map-side partial results, so a
-    callsign with millions of candidates never gathers in one place.
-    ``valid`` is false when origin or destination is missing (no route).
+    greatest ``actual_off`` (text order), first on ties. ``row_number() = 1``
+    under that order: planned with a partial window group limit before the
+    shuffle, so a callsign with millions of candidates forwards one row per
+    map task. ``valid`` is false when origin or destination is missing (no
+    route).
     """
     c = candidates.withColumn("priority", route_priority()).filter(F.col("priority").isNotNull())
-    order = F.struct(
-        (-F.col("priority")).alias("p"),
-        F.when(F.col("priority") == 3, F.col("actual_off")).alias("off"),
-        (-F.col("pos")).alias("first"),
-    )
-    rest = [x for x in c.columns if x != key]
-    best = c.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_b")).select(key, "_b.*")
+    order = [
+        F.col("priority").asc(),
+        F.when(F.col("priority") == 3, F.col("actual_off")).desc_nulls_last(),
+        F.col("pos").asc(),
+    ]
+    best = top_n_per_key(c, [key], order, 1, "_rk").drop("_rk")
     return best.withColumn("valid", F.col("origin").isNotNull() & F.col("destination").isNotNull())
 
 

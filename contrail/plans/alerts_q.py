@@ -95,3 +95,17 @@ FROM rq LEFT JOIN due ON rq.seq = due.seq"""
 @register("subscribe_immediate", _IMM_SQL)
 def subscribe_immediate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.subscribe_immediate(requests(spark, sf_dir), cached_routes(spark, sf_dir), P.AS_OF, P.ALERT_WINDOW_MIN)
+
+
+# ---------------------------------------------------------------- T7 fire once
+@register("alerts_after_fire", "SELECT * FROM (" + _DUE_SQL + ") AS due WHERE FALSE")
+def alerts_after_fire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second tick after the first one fired and marked its subscriptions
+    notified: nothing fires again (the same question as `due_alerts`)."""
+    live = L.latest_per_key(history(spark, sf_dir).select("icao24", "callsign", "time", "event_id"),
+                            "icao24", ("time", "event_id"))
+    subs = subscriptions(spark, sf_dir)
+    routes = cached_routes(spark, sf_dir)
+    first = A.due_alerts(subs, live, routes, P.AS_OF, P.ALERT_WINDOW_MIN)
+    after = A.mark_notified(subs, first, P.AS_OF)
+    return A.due_alerts(after, live, routes, P.AS_OF, P.ALERT_WINDOW_MIN, fired=first)

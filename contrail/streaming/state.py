@@ -72,13 +72,15 @@ def rolling_trail(stream: DataFrame, n: int = 20, order: str = "offset") -> Data
         "icao24", stream[order].alias("ord"), stream["longitude"].alias("lon"), stream["latitude"].alias("lat"))
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = []
+        cur = pd.DataFrame({"ord": pd.Series([], dtype="int64"), "lon": pd.Series([], dtype="float64"),
+                            "lat": pd.Series([], dtype="float64")})
         if state.exists:
             ords, lons, lats = state.get
-            parts.append(pd.DataFrame({"ord": list(ords), "lon": list(lons), "lat": list(lats)}))
+            cur = pd.DataFrame({"ord": list(ords), "lon": list(lons), "lat": list(lats)})
         for pdf in batches:
-            parts.append(pdf[["ord", "lon", "lat"]])
-        cur = pd.concat(parts).sort_values("ord", kind="mergesort").tail(n)
+            # fold chunk by chunk: never more than n + one Arrow batch in memory
+            both = pd.concat([cur, pdf[["ord", "lon", "lat"]]], ignore_index=True)
+            cur = both.sort_values("ord", kind="mergesort").tail(n)
         state.update((cur["ord"].astype("int64").tolist(), cur["lon"].tolist(), cur["lat"].tolist()))
         out = cur.iloc[::-1].reset_index(drop=True)
         yield pd.DataFrame({"icao24": k[0], "rn": range(1, len(out) + 1), "lon": out["lon"], "lat": out["lat"],

@@ -45,6 +45,6 @@ def test_no_python_in_the_hot_path(spark, name):
     assert not any(n in p for n in PYTHON_NODES), name
 
 
-def test_route_pick_is_an_aggregate_not_a_window(spark):
+def test_route_pick_limits_before_the_shuffle(spark):
     p = plan(queries()["route_pick"](spark, SF_SMALL))
-    assert "Window" not in p
+    assert "WindowGroupLimit" in p and "Partial" in p
