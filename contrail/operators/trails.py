@@ -112,16 +112,23 @@ def full_flight_summary(history: DataFrame, points: DataFrame, as_of, lookback:
     )
 
 
-def path_pieces(points: DataFrame, bucket: Column | None = None) -> DataFrame:
-    """A4 (nested): the path as ordered [lon, lat] arrays, one row per
-    (aircraft, time bucket) so that no row has to hold a whole history."""
+def path_pieces(points: DataFrame, bucket: Column | None = None, max_points: int = 1000) -> DataFrame:
+    """A4 (nested): the path as ordered [lon, lat] arrays in pieces of at most
+    ``max_points`` points: one row per (aircraft, time bucket, chunk), so no
+    row — and no task — ever holds a whole history. Concatenating the pieces
+    in (piece_start, chunk) order gives the full path."""
+    from pyspark.sql import Window
+
     b = bucket if bucket is not None else hourly()
+    w = Window.partitionBy("icao24", "piece_start").orderBy("time", "event_id")
+    numbered = points.withColumn("piece_start", b).withColumn(
+        "chunk", F.floor((F.row_number().over(w) - 1) / F.lit(max_points)).cast("bigint"))
     pts = F.array_sort(F.collect_list(F.struct("time", "event_id", "lon", "lat")))
     return (
-        points.withColumn("piece_start", b)
-        .groupBy("icao24", "piece_start")
+        numbered.groupBy("icao24", "piece_start", "chunk")
         .agg(pts.alias("_p"))
-        .select("icao24", "piece_start", F.transform("_p", lambda x: F.array(x["lon"], x["lat"])).alias("path"))
+        .select("icao24", "piece_start", "chunk",
+                F.transform("_p", lambda x: F.array(x["lon"], x["lat"])).alias("path"))
     )
 
 

@@ -125,3 +125,17 @@ def test_rolling_trail_rows_bucketed_equals_plain_and_brute_force(spark):
     for k, off, lon, lat in obs:
         prev = [(o, lo, la) for kk, o, lo, la in obs if kk == k and o <= off][-5:]
         assert got[(k, off)] == [[lo, la] for _, lo, la in prev]
+
+
+def test_path_pieces_reassemble(spark):
+    h = history(spark, SF_SMALL)
+    pts = T.full_flight_points(h, "2024-01-31 00:00:00", "30 days", "30 days")
+    pieces = T.path_pieces(pts, max_points=3).collect()
+    assert max(len(r.path) for r in pieces) <= 3
+    by_key = {}
+    for r in sorted(pieces, key=lambda r: (r.icao24, r.piece_start, r.chunk)):
+        by_key.setdefault(r.icao24, []).extend(r.path)
+    want = {}
+    for r in pts.orderBy("icao24", "time", "event_id").collect():
+        want.setdefault(r.icao24, []).append([r.lon, r.lat])
+    assert by_key == want
