@@ -139,3 +139,36 @@ def test_path_pieces_reassemble(spark):
     for r in pts.orderBy("icao24", "time", "event_id").collect():
         want.setdefault(r.icao24, []).append([r.lon, r.lat])
     assert by_key == want
+
+
+def test_ingest_counters_observed_in_flight(spark):
+    from pyspark.sql import Observation
+
+    from contrail.sources.standins import raw_aircraft
+    from contrail.sources.tables import table
+
+    norm = C.normalise(raw_aircraft(table(spark, SF_SMALL, "events")))
+    obs = Observation("ingest")
+    C.observe_counters(norm, (24.0, 50.0, -125.0, -66.0), obs).write.format("noop").mode("overwrite").save()
+    counts = {r.outcome: r.n for r in C.ingest_counters(norm, (24.0, 50.0, -125.0, -66.0)).collect()}
+    assert obs.get["published"] == counts["published"]
+    assert obs.get["skipped"] == sum(counts.values()) - counts["published"]
+
+
+def test_dimension_files(spark):
+    from contrail.operators import dims as D
+
+    d = _local(shared_dir(spark, "dims"))
+    os.makedirs(d)
+    with open(os.path.join(d, "airlines.csv"), "w") as f:
+        f.write("prefix,name,iata\nDLH,Lufthansa,LH\nXX,Example Air,XX\n")
+    with open(os.path.join(d, "aircraft.csv"), "w") as f:
+        f.write("icao24,registration,model,airline,updated_at\nabc123,D-AIXA,A350,DLH,2024-01-30 00:00:00\n")
+    airlines = D.read_dimension(spark, os.path.join(d, "airlines.csv"), D.AIRLINE_SCHEMA)
+    states = spark.createDataFrame([("abc123", " dlh400 "), ("def456", "XX12"), ("ghi789", "ANZ1"), ("jkl000", None)],
+                                   "icao24 string, callsign string")
+    got = {r.icao24: r.airline_name for r in D.airline_lookup(states, airlines).collect()}
+    assert got == {"abc123": "Lufthansa", "def456": "Example Air", "ghi789": None, "jkl000": None}
+    dim = D.read_dimension(spark, os.path.join(d, "aircraft.csv"), D.AIRCRAFT_DIM_SCHEMA)
+    joined = {r.icao24: r.registration for r in D.enrich_aircraft(states, dim).collect()}
+    assert joined["abc123"] == "D-AIXA" and joined["def456"] is None
