@@ -46,13 +46,19 @@ def main() -> None:
             times.append(time.perf_counter() - t0)
         out[name] = round(statistics.median(times), 3)
 
-    # Streaming throughput: wire records through parse/enrich and the fan-out.
+    # Streaming throughput: land the wire messages as files (the stand-in
+    # producer), then stream them through parse/enrich and the fan-out.
     from contrail.plans import streams_q
+    from contrail.sinks.history import read_history
     t0 = time.perf_counter()
-    hist = streams_q.stream_enrich(spark, sf_dir)
-    n = hist.count()
-    dt = time.perf_counter() - t0
-    out["stream_enrich"] = round(dt, 3)
+    src = streams_q.land_wire_files(spark, sf_dir)
+    t1 = time.perf_counter()
+    hist, _, _ = streams_q._ingest(spark, sf_dir, src=src)
+    t2 = time.perf_counter()
+    n = read_history(spark, hist).count()
+    out["stream_enrich"] = round(t2 - t0, 3)
+    stream_rate = round(n / (t2 - t1), 1) if t2 > t1 else None
+    end_to_end_rate = round(n / (t2 - t0), 1) if t2 > t0 else None
 
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({
@@ -60,7 +66,8 @@ def main() -> None:
         "value": round(sum(out.values()), 3),
         "unit": "sec",
         "queries": out,
-        "stream_enrich_records_per_sec": round(n / dt, 1) if dt > 0 else None,
+        "stream_enrich_records_per_sec": stream_rate,
+        "stream_enrich_records_per_sec_incl_landing": end_to_end_rate,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
     }))
 

@@ -39,8 +39,8 @@ def _run(q) -> None:
         raise q.exception()
 
 
-def _ingest(spark: SparkSession, sf_dir: str, extra=None):
-    src = land_wire_files(spark, sf_dir)
+def _ingest(spark: SparkSession, sf_dir: str, extra=None, src: str | None = None):
+    src = src or land_wire_files(spark, sf_dir)
     base = shared_dir(spark, "ingest")
     hist, state, quar, ck = (f"{base}/{p}" for p in ("history", "state", "quarantine", "checkpoint"))
     stream = S.wire_file_stream(spark, src, FILES_PER_TRIGGER)
