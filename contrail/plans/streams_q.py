@@ -20,8 +20,8 @@ from contrail.streaming import pipeline as S
 from contrail.streaming import state as ST
 from contrail.plans.registry import register
 
-FILES = 8
-FILES_PER_TRIGGER = 2
+FILES = 32
+FILES_PER_TRIGGER = 8
 
 
 def land_wire_files(spark: SparkSession, sf_dir: str) -> str:

@@ -15,17 +15,23 @@ KAFKA_META = ("key", "partition", "offset", "timestamp")
 
 
 def kafka_stream(spark: SparkSession, bootstrap: str, topic: str, max_offsets: int = 10_000,
-                 starting: str = "latest") -> DataFrame:
-    """The state topic as a stream (needs the Kafka connector jar)."""
-    return (
+                 starting: str = "latest", min_partitions: int | None = None) -> DataFrame:
+    """The state topic as a stream (needs the Kafka connector jar).
+
+    ``min_partitions`` splits large topic partitions into more Spark tasks
+    (a topic with few partitions would otherwise bound the parallelism of
+    every micro-batch)."""
+    r = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", bootstrap)
         .option("subscribe", topic)
         .option("startingOffsets", starting)
         .option("failOnDataLoss", "false")
         .option("maxOffsetsPerTrigger", max_offsets)
-        .load()
     )
+    if min_partitions:
+        r = r.option("minPartitions", int(min_partitions))
+    return r.load()
 
 
 def parse_states(df: DataFrame, value_col: str = "value", keep: Sequence[str] = KAFKA_META) -> DataFrame:
@@ -44,10 +50,14 @@ def enrich(parsed: DataFrame, **phase_params) -> DataFrame:
     ).withColumn("ingested_at", F.col("time"))
 
 
+def is_malformed():
+    """No usable key: junk JSON (all-null row) or a missing/blank id."""
+    return F.col("icao24").isNull() | (F.col("icao24") == "")
+
+
 def split_malformed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Quarantine: rows without a key (junk JSON, missing id) go aside."""
-    good = F.col("icao24").isNotNull() & (F.col("icao24") != "")
-    return parsed.filter(good), parsed.filter(~good | F.col("icao24").isNull())
+    return parsed.filter(~is_malformed()), parsed.filter(is_malformed())
 
 
 def states_from_wire(wire: DataFrame, keep: Sequence[str] = KAFKA_META) -> DataFrame:

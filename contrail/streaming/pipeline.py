@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from contrail.operators.latest import latest_per_key
 from contrail.schema import HISTORY_COLUMNS_WITH_CATEGORY
 from contrail.sinks import history as H
-from contrail.sources.wire import split_malformed, states_from_wire
+from contrail.sources.wire import is_malformed, split_malformed, states_from_wire
 
 log = logging.getLogger("contrail.streaming")
 
@@ -76,21 +76,28 @@ def read_state(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def fan_out(history_root: str, state_root: str, quarantine_root: str | None = None,
-            extra: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """K4: the ``foreachBatch`` function. Cache once; skip empty batches;
-    latest state first, then history; failures propagate."""
+            extra: Callable[[DataFrame, int], None] | None = None,
+            rows_per_task: int = 2_000_000) -> Callable[[DataFrame, int], None]:
+    """K4: the ``foreachBatch`` function. Cache once; one aggregate gives the
+    batch size and the malformed count (A10: an empty batch writes nothing);
+    quarantine, then latest state, then history; failures propagate. The
+    history write gets one task per ``rows_per_task`` rows, so a small
+    micro-batch writes one file per date and a backfill spreads wide."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            if batch.isEmpty():  # A10
+            stats = batch.agg(F.count(F.lit(1)).alias("n"),
+                              F.count(F.when(is_malformed(), 1)).alias("bad")).first()
+            if stats["n"] == 0:
                 return
             good, bad = split_malformed(batch)
-            if quarantine_root:
+            if quarantine_root and stats["bad"]:
                 bad.withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite").parquet(
                     f"{quarantine_root}/batch_id={batch_id}")
             state_table_write(good, state_root, batch_id)
-            H.append_batch(good.select(*HISTORY_COLUMNS_WITH_CATEGORY), history_root, batch_id)
+            tasks = max(1, -(-(stats["n"] - stats["bad"]) // rows_per_task))
+            H.append_batch(good.select(*HISTORY_COLUMNS_WITH_CATEGORY), history_root, batch_id, partitions=tasks)
             if extra is not None:
                 extra(good, batch_id)
         finally:
