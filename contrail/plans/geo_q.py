@@ -19,14 +19,14 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- W6
-@register("bearing_segments", with_ctes(FS, PTS_SEG) + "\nSELECT icao24, event_id, round(bearing, 6) AS bearing FROM seg")
+@register("bearing_segments", with_ctes(FS, PTS_SEG) + "\nSELECT icao24, event_id, (round(bearing, 6) + CAST(0 AS DOUBLE)) AS bearing FROM seg")
 def bearing_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir).select("icao24", "event_id", F.round("bearing", 6).alias("bearing"))
 
 
 # ---------------------------------------------------------------- W7
 @register("path_length", with_ctes(FS, PTS_SEG) + """
-SELECT icao24, event_id, round(seg_len, 6) AS seg_len, round(CAST(cum_end AS DOUBLE), 6) AS cum_len FROM cum""")
+SELECT icao24, event_id, (round(seg_len, 6) + CAST(0 AS DOUBLE)) AS seg_len, (round(CAST(cum_end AS DOUBLE), 6) + CAST(0 AS DOUBLE)) AS cum_len FROM cum""")
 def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     pl = G.path_lengths(_segments(spark, sf_dir), bucket=F.date_trunc("day", "time"))
     return pl.select("icao24", "event_id", F.round("seg_len", 6).alias("seg_len"),
@@ -34,6 +34,8 @@ def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- J10 F20
+# (DuckDB's round can return -0.0 where Spark's returns 0.0; the oracle adds
+# 0.0 to its rounded columns, which changes no other value.)
 _FRAC_SQL = ", ".join(f"(CAST({f} AS DOUBLE))" for f in FRACTIONS)
 
 
@@ -50,8 +52,8 @@ hit AS (
   FROM pos p JOIN c2 c ON p.icao24 = c.icao24
   WHERE (c.s < p.pos AND p.pos <= c.e) OR (p.pos = 0 AND c.k = 1)
 )""") + """
-SELECT icao24, fraction, segment_end_event, round(lat1 + (lat2 - lat1) * t, 6) AS lat,
-       round(lon1 + (lon2 - lon1) * t, 6) AS lon, round(bearing, 6) AS heading FROM hit""")
+SELECT icao24, fraction, segment_end_event, (round(lat1 + (lat2 - lat1) * t, 6) + CAST(0 AS DOUBLE)) AS lat,
+       (round(lon1 + (lon2 - lon1) * t, 6) + CAST(0 AS DOUBLE)) AS lon, (round(bearing, 6) + CAST(0 AS DOUBLE)) AS heading FROM hit""")
 def route_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = G.path_lengths(_segments(spark, sf_dir), bucket=F.date_trunc("day", "time"))
     out = G.interpolate_along(lengths, FRACTIONS, bucket_width=50.0)

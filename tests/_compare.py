@@ -21,7 +21,11 @@ def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return "NaN" if math.isnan(v) else v
+        if math.isnan(v):
+            return "NaN"
+        if v == 0.0 and math.copysign(1.0, v) < 0:
+            return "-0.0"  # a text-based value hash would tell -0.0 from 0.0
+        return v
     if hasattr(v, "to_pydatetime"):
         return v.to_pydatetime()
     if hasattr(v, "tolist"):
