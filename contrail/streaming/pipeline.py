@@ -77,12 +77,15 @@ def read_state(spark: SparkSession, root: str) -> DataFrame | None:
 
 def fan_out(history_root: str, state_root: str, quarantine_root: str | None = None,
             extra: Callable[[DataFrame, int], None] | None = None,
-            rows_per_task: int = 2_000_000) -> Callable[[DataFrame, int], None]:
+            rows_per_task: int = 2_000_000,
+            state_order: Sequence[str] = ("time", "offset")) -> Callable[[DataFrame, int], None]:
     """K4: the ``foreachBatch`` function. Cache once; one aggregate gives the
     batch size and the malformed count (A10: an empty batch writes nothing);
     quarantine, then latest state, then history; failures propagate. The
     history write gets one task per ``rows_per_task`` rows, so a small
-    micro-batch writes one file per date and a backfill spreads wide."""
+    micro-batch writes one file per date and a backfill spreads wide.
+    ``state_order``: event time with the offset as tie-break (default), or
+    ``("offset",)`` for pure arrival order (a late row overwrites, T10)."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -95,7 +98,7 @@ def fan_out(history_root: str, state_root: str, quarantine_root: str | None = No
             if quarantine_root and stats["bad"]:
                 bad.withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite").parquet(
                     f"{quarantine_root}/batch_id={batch_id}")
-            state_table_write(good, state_root, batch_id)
+            state_table_write(good, state_root, batch_id, order=state_order)
             tasks = max(1, -(-(stats["n"] - stats["bad"]) // rows_per_task))
             H.append_batch(good.select(*HISTORY_COLUMNS_WITH_CATEGORY), history_root, batch_id, partitions=tasks)
             if extra is not None:
