@@ -123,17 +123,23 @@ def positions_rows(snap: DataFrame, as_of) -> DataFrame:
     )
 
 
-def positions_document(snap: DataFrame, as_of) -> DataFrame:
-    """K6, single document. Gathers every aircraft into one row: use it only
-    for a bounded snapshot (one tick of live aircraft), never for history."""
+def positions_document(snap: DataFrame, as_of, page_size: int = 5000) -> DataFrame:
+    """K6, document form: ``{type, timestamp, count, page, pages, aircraft[]}``.
+
+    The snapshot is split into ``pages = ceil(count / page_size)`` messages
+    by hashing the aircraft id (unique within a snapshot, so pages are
+    balanced); no message, group or task holds more than about
+    ``page_size`` aircraft, however large the fleet. ``count`` is the total.
+    """
+    n = snap.select(F.count(F.lit(1))).scalar()
+    pages = F.greatest(F.ceil(n / F.lit(float(page_size))), F.lit(1)).cast("int")
+    paged = snap.withColumn("page", F.pmod(F.xxhash64("icao24"), pages).cast("int"))
     ac = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in snap.columns])))
-    return snap.agg(
-        F.lit("positions").alias("type"),
-        ntz(as_of).alias("timestamp"),
-        F.count(F.lit(1)).alias("count"),
-        ac.alias("aircraft"),
-    ).select(F.to_json(F.struct("type", "timestamp", "count", "aircraft"),
-                       {"ignoreNullFields": "false"}).alias("message"))
+    docs = paged.groupBy("page").agg(ac.alias("aircraft")).select(
+        F.lit("positions").alias("type"), ntz(as_of).alias("timestamp"), n.alias("count"),
+        "page", pages.alias("pages"), "aircraft")
+    return docs.select("page", F.to_json(F.struct("type", "timestamp", "count", "page", "pages", "aircraft"),
+                                         {"ignoreNullFields": "false"}).alias("message"))
 
 
 POSITIONS_ENVELOPE = "type string, timestamp string, count bigint, aircraft array<struct<icao24:string, callsign:string, lat:double, lon:double, altitude:double, velocity:double, heading:double, vertical_rate:double, on_ground:boolean, flight_phase:string, category:string>>"

@@ -172,3 +172,15 @@ def test_dimension_files(spark):
     dim = D.read_dimension(spark, os.path.join(d, "aircraft.csv"), D.AIRCRAFT_DIM_SCHEMA)
     joined = {r.icao24: r.registration for r in D.enrich_aircraft(states, dim).collect()}
     assert joined["abc123"] == "D-AIXA" and joined["def456"] is None
+
+
+def test_positions_document_pages(spark):
+    snap = spark.range(23).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("icao24"),
+                                  F.col("id").cast("double").alias("lat"), F.lit(0.0).alias("lon"))
+    docs = L.positions_document(snap, "2024-01-31 00:00:00", page_size=5).collect()
+    parsed = [json.loads(d.message) for d in docs]
+    assert {p["pages"] for p in parsed} == {5} and all(p["count"] == 23 for p in parsed)
+    ids = sorted(a["icao24"] for p in parsed for a in p["aircraft"])
+    assert ids == [f"{i:06d}" for i in range(23)]
+    back = L.positions_messages_only(spark.createDataFrame([(d.message,) for d in docs], "value string"))
+    assert back.count() == 23
