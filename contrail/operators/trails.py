@@ -162,19 +162,19 @@ def full_flight_for(history: DataFrame, icao24: str, as_of, lookback: str = "48
     return full_flight_points(one, as_of, lookback, default_span, ordered=True)
 
 
-def full_flight_document(points: DataFrame, icao24: str) -> DataFrame:
-    """A4 for one aircraft: ``{icao24, path, phase}``; phase of the newest
-    point, CRUISE (and an empty path) when there is none."""
-    pts = F.array_sort(F.collect_list(F.struct("time", "event_id", "lon", "lat")))
-    agg = points.agg(
-        pts.alias("_p"),
-        F.max_by("flight_phase", F.struct("time", "event_id")).alias("_ph"),
-    )
-    return agg.select(
-        F.lit(icao24).alias("icao24"),
-        F.transform("_p", lambda x: F.array(x["lon"], x["lat"])).alias("path"),
-        F.coalesce("_ph", F.lit(CRUISE)).alias("phase"),
-    )
+def full_flight_document(points: DataFrame, icao24: str, max_points: int = 1000) -> DataFrame:
+    """A4 for one aircraft: ``{icao24, path, phase}`` as ordered pieces of at
+    most ``max_points`` points (see ``path_pieces``); ``phase`` is that of the
+    newest point on every piece. No points: one row with an empty path and
+    phase CRUISE."""
+    phase = points.agg(F.max_by("flight_phase", F.struct("time", "event_id")).alias("p")).select(
+        F.coalesce("p", F.lit(CRUISE)).alias("phase"))
+    pieces = path_pieces(points, max_points=max_points).drop("icao24")
+    empty = phase.select(F.lit(None).cast("timestamp_ntz").alias("piece_start"), F.lit(0).cast("bigint").alias("chunk"),
+                         F.array().cast("array<array<double>>").alias("path"), "phase").filter(~points.exists())
+    # the phase is a one-row table: attach it as a scalar
+    with_phase = pieces.withColumn("phase", phase.select("phase").scalar())
+    return with_phase.unionByName(empty).select(F.lit(icao24).alias("icao24"), "piece_start", "chunk", "path", "phase")
 
 
 def rolling_trail_rows(observations: DataFrame, n: int = 20, order: tuple = ("offset",),
