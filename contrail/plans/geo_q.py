@@ -61,7 +61,28 @@ def route_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round("lon", 6).alias("lon"), F.round("heading", 6).alias("heading"))
 
 
-# ---------------------------------------------------------------- P17 (rows-only: a sequential fold)
-@register("deadband")
+# ---------------------------------------------------------------- P17
+# The fold as a recursive CTE: step k of every aircraft at once, carrying the
+# last kept point (recursion depth = the longest path, not the row count).
+_MOVED = ("(abs(p.longitude - f.ref_lon) >= CAST(0.001 AS DOUBLE) "
+          "OR abs(p.latitude - f.ref_lat) >= CAST(0.001 AS DOUBLE))")
+_DEADBAND_SQL = "WITH RECURSIVE " + with_ctes(FS, f"""
+pts AS (SELECT icao24, time, event_id, latitude, longitude,
+               ROW_NUMBER() OVER (PARTITION BY icao24 ORDER BY time, event_id) AS k
+        FROM fs WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+fold AS (
+  SELECT icao24, k, latitude AS ref_lat, longitude AS ref_lon, TRUE AS kept FROM pts WHERE k = 1
+  UNION ALL
+  SELECT p.icao24, p.k,
+         CASE WHEN {_MOVED} THEN p.latitude ELSE f.ref_lat END,
+         CASE WHEN {_MOVED} THEN p.longitude ELSE f.ref_lon END,
+         {_MOVED}
+  FROM fold f JOIN pts p ON p.icao24 = f.icao24 AND p.k = f.k + 1
+)""")[len("WITH "):] + """
+SELECT p.icao24, p.time, p.event_id, p.latitude, p.longitude FROM fold f JOIN pts p ON p.icao24 = f.icao24 AND p.k = f.k
+WHERE f.kept"""
+
+
+@register("deadband", _DEADBAND_SQL)
 def deadband(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.deadband(history(spark, sf_dir), threshold=0.001)

@@ -247,10 +247,13 @@ def retention_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- W5
-@register("rolling_trail", with_ctes(FS, WIRE, """
+ROLLING_TRAIL_SQL = with_ctes(FS, WIRE, """
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY icao24 ORDER BY "offset" DESC) AS rn FROM wire
       WHERE latitude IS NOT NULL AND longitude IS NOT NULL)""") + f"""
-SELECT icao24, CAST(rn AS BIGINT) AS rn, longitude AS lon, latitude AS lat FROM r WHERE rn <= {P.ROLLING_TRAIL_POINTS}""")
+SELECT icao24, CAST(rn AS BIGINT) AS rn, longitude AS lon, latitude AS lat FROM r WHERE rn <= {P.ROLLING_TRAIL_POINTS}"""
+
+
+@register("rolling_trail", ROLLING_TRAIL_SQL)
 def rolling_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = wire_states(spark, sf_dir).filter(F.col("icao24").isNotNull())
     return T.rolling_trail_end_state(s, P.ROLLING_TRAIL_POINTS, ("offset",))

@@ -1,8 +1,11 @@
-"""Registered streaming queries (rows-only checks; covered by golden tests).
+"""Registered streaming queries.
 
 Each one lands the keyed wire messages derived from `events` as JSON files,
 runs the streaming job over them with ``availableNow`` (several
-micro-batches), and returns the table the job wrote.
+micro-batches), and returns the table the job wrote. The end state of a
+stream does not depend on how the input is cut into micro-batches, so each
+one except the per-batch ticks has a SQL oracle: the batch answer over the
+same messages.
 """
 
 from __future__ import annotations
@@ -11,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.operators.latest import latest_per_key
+from contrail.plans.oracle_ctes import FS, with_ctes
+from contrail.plans.snapshot_q import ROLLING_TRAIL_SQL, WIRE
+from contrail.schema import HISTORY_COLUMNS_WITH_CATEGORY
 from contrail.session import shared_dir
 from contrail.sinks import history as H
 from contrail.sources.standins import wire_rows
@@ -23,6 +29,16 @@ from contrail.plans.registry import register
 FILES = 32
 FILES_PER_TRIGGER = 8
 
+# History as the fan-out writes it: every keyed, stamped message once (the
+# malformed ones go to quarantine), with its `date` partition column.
+HISTORY_SQL = with_ctes(FS) + f"""
+SELECT {", ".join(HISTORY_COLUMNS_WITH_CATEGORY)}, CAST(time AS DATE) AS date FROM fs WHERE event_id % 113 <> 0"""
+
+_LATEST_COLS = ("icao24", "callsign", "latitude", "longitude", "on_ground", "flight_phase", "time", "offset")
+LATEST_SQL = with_ctes(FS, WIRE, """
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY icao24 ORDER BY time DESC, "offset" DESC) AS rn FROM wire)""") + f"""
+SELECT {", ".join('"offset"' if c == "offset" else c for c in _LATEST_COLS)} FROM r WHERE rn = 1"""
+
 
 def land_wire_files(spark: SparkSession, sf_dir: str) -> str:
     """Write the wire messages as JSON files, hash-partitioned by key (one
@@ -48,14 +64,14 @@ def _ingest(spark: SparkSession, sf_dir: str, extra=None, src: str | None = None
     return hist, state, quar
 
 
-@register("stream_enrich")
+@register("stream_enrich", HISTORY_SQL)
 def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History written by the streaming fan-out."""
     hist, _, _ = _ingest(spark, sf_dir)
     return H.read_history(spark, hist)
 
 
-@register("history_append_replay")
+@register("history_append_replay", HISTORY_SQL)
 def history_append_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 K4 A10: the sink fails once right after writing history for batch 1;
     the restarted query replays batch 1 and history ends without duplicates."""
@@ -86,14 +102,13 @@ def _updates_sink(root: str):
     return write
 
 
-@register("stream_latest")
+@register("stream_latest", LATEST_SQL)
 def stream_latest(spark: SparkSession, sf_dir: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """Keyed latest-state processor over the stream; the end state is
     the last update per key."""
     src = land_wire_files(spark, sf_dir)
     base = shared_dir(spark, "latest")
-    enriched = states_from_wire(S.wire_file_stream(spark, src, files_per_trigger)).select(
-        "icao24", "callsign", "latitude", "longitude", "on_ground", "flight_phase", "time", "offset")
+    enriched = states_from_wire(S.wire_file_stream(spark, src, files_per_trigger)).select(*_LATEST_COLS)
     out = ST.latest_state(enriched, "icao24", ("time", "offset"))
     q = (out.writeStream.outputMode("update").foreachBatch(_updates_sink(f"{base}/updates"))
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
@@ -102,7 +117,7 @@ def stream_latest(spark: SparkSession, sf_dir: str, files_per_trigger: int = FIL
     return latest_per_key(ups, "icao24", ("batch_id",)).drop("batch_id")
 
 
-@register("stream_trail")
+@register("stream_trail", ROLLING_TRAIL_SQL)
 def stream_trail(spark: SparkSession, sf_dir: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """T4: rolling 20-point trail state; the end state per key is its last
     emitted trail."""
