@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from contrail.session import prepare
 
 
+# The given tables are immutable, so the (lazy) DataFrame of each one is
+# built once per session: reading the footers for the schema and probing the
+# split count cost a few gateway round trips and a file listing each time.
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """One given table. Column pruning and filters reach the parquet scan
     because the plan stays declarative from here on.
@@ -14,9 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     ``spread=True`` is for CPU-heavy per-row work (text parsing): see
     ``spread_if_narrow``.
     """
-    prepare(spark)
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_if_narrow(df) if spread else df
+    key = (id(spark), sf_dir.rstrip("/"), name, spread)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        prepare(spark)
+        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        df = spread_if_narrow(df) if spread else df
+        _TABLES[key] = df
+    return df
 
 
 def spread_if_narrow(df: DataFrame) -> DataFrame:
