@@ -70,3 +70,25 @@ def test_latest_per_key_limits_before_shuffle(spark):
     limits = [l for l in plan.splitlines() if "WindowGroupLimit" in l]
     assert any("Partial" in l for l in limits)
     assert out.filter(F.col("icao24") == "hot").first()["event_id"] == 29_997
+
+
+def test_deadband_split_by_chunk_equals_single_pass(spark):
+    """P17 split by (aircraft, time chunk) is exact: a hot key, parked
+    stretches (whole chunks inside the reference box) and slow motion whose
+    kept points fall out of step with a chunk's own first point."""
+    from contrail.operators import geo as G
+
+    n = 6_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 20).cast("string")))
+        .alias("icao24"),
+        (F.lit(T0) + F.make_dt_interval(secs=(F.col("id") * 7).cast("int"))).cast("timestamp_ntz").alias("time"),
+        F.col("id").alias("event_id"),
+        F.when((F.col("id") / 500).cast("int") % 4 == 1, F.lit(10.0) + (F.col("id") % 3) * 0.0001)
+        .otherwise(F.lit(10.0) + F.col("id") * 0.00013).alias("latitude"),
+        (F.lit(20.0) + F.sin(F.col("id") / 50.0) * 0.0004).alias("longitude"),
+    )
+    want = spark_rows(G.deadband_single_pass(df, 0.001))
+    ten_min = F.floor(F.unix_micros(F.col("time").cast("timestamp")) / 600_000_000)
+    for chunk in (None, ten_min, F.col("event_id")):
+        assert spark_rows(G.deadband(df, 0.001, chunk=chunk)) == want
