@@ -92,3 +92,6 @@ def test_deadband_split_by_chunk_equals_single_pass(spark):
     ten_min = F.floor(F.unix_micros(F.col("time").cast("timestamp")) / 600_000_000)
     for chunk in (None, ten_min, F.col("event_id")):
         assert spark_rows(G.deadband(df, 0.001, chunk=chunk)) == want
+    # the single-pass fold gives the hot aircraft to one task; the chunked one spreads it
+    assert _max_share_of_hot(G.deadband_single_pass(df, 0.001), "latitude") == 1.0
+    assert _max_share_of_hot(G.deadband(df, 0.001), "latitude") < 0.5
