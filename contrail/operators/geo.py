@@ -218,9 +218,6 @@ def _resolve(summary: DataFrame, thr: float, n: int) -> DataFrame:
     return ordered.mapInPandas(fold, _REFS)
 
 
-_ROUNDS: list[int] = []  # extra resolve rounds taken (observed by tests)
-
-
 def deadband(history: DataFrame, threshold: float = 0.001, order: Sequence[str] = ORDER,
              chunk: Column | None = None, partitions: int | None = None) -> DataFrame:
     """Keep a point only when it moved at least ``threshold`` degrees in
@@ -269,4 +266,3 @@ def deadband(history: DataFrame, threshold: float = 0.001, order: Sequence[str]
         if wrong.isEmpty():
             return folded.filter(F.col("_kind") == 0).select("icao24", *order, "latitude", "longitude")
         known = ends
-        _ROUNDS.append(1)
