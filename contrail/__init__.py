@@ -6,4 +6,12 @@ batch, in ``foreachBatch`` and, where the operator is stateless, directly
 on a streaming DataFrame.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers carry their helpers with them, so that
+# executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

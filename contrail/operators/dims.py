@@ -1,4 +1,4 @@
-"""Dimensions: S8 S9 J1 J5, with a size-checked broadcast."""
+"""Dimensions: S8 S9 J1 J5."""
 
 from __future__ import annotations
 
@@ -33,25 +33,11 @@ def read_dimension(spark: SparkSession, path: str, schema: StructType, fmt: str
     return r.format(fmt).load(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast only with a proven bound: counts at most ``max_rows + 1``
-    rows (a bounded scan) and hints broadcast only when within the bound;
-    otherwise the join stays a shuffle join (AQE may still pick broadcast
-    at runtime from real sizes)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-# Airline keys are 2 or 3 letters: at most 26^3 + 26^2 rows, a hard bound.
-AIRLINE_KEY_BOUND = 26 ** 3 + 26 ** 2
-
-
 def airline_lookup(df: DataFrame, airlines: DataFrame, callsign: str = "callsign") -> DataFrame:
     """``upper(strip(callsign))``; the 3-letter prefix, else the 2-letter
-    prefix, else no airline. Two left joins against the (bounded) airline
-    table, broadcast."""
+    prefix, else no airline. Two plain left joins; the airline table is small,
+    so Spark broadcasts it from its measured size."""
     a = airlines.select(F.col("prefix"), F.col("name"), F.col("iata"))
-    a = broadcast_if_small(a, AIRLINE_KEY_BOUND)
     clean = F.upper(strip_ws(F.col(callsign)))
     base = df.withColumn("_p3", F.substring(clean, 1, 3)).withColumn("_p2", F.substring(clean, 1, 2))
     a3 = a.select(F.col("prefix").alias("_k3"), F.col("name").alias("_n3"), F.col("iata").alias("_i3"))
@@ -65,8 +51,8 @@ def airline_lookup(df: DataFrame, airlines: DataFrame, callsign: str = "callsign
     )
 
 
-def enrich_aircraft(df: DataFrame, dim: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def enrich_aircraft(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Left join with the aircraft dimension on ``icao24``. The dimension
-    grows with the fleet, so broadcast only behind a row bound."""
-    d = broadcast_if_small(dim, max_broadcast_rows)
-    return df.join(d, "icao24", "left")
+    grows with the fleet, so the strategy is left to Spark, which broadcasts
+    it only below its byte threshold (at run time under AQE)."""
+    return df.join(dim, "icao24", "left")

@@ -8,38 +8,26 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings every contrail job expects. Zone-less timestamp text is UTC and
+# The one setting results depend on: zone-less timestamp text is UTC and
 # NTZ<->LTZ casts must not shift, so the session zone is pinned to UTC.
-REQUIRED_CONF = {
-    "spark.sql.session.timeZone": "UTC",
-    # Constraint inference over the long CASE chains of the state record
-    # (JSON round trip, phase rule, stamps) made optimisation of a union
-    # plan take ~10 s; the operators state every filter they need.
-    "spark.sql.constraintPropagation.enabled": "false",
-}
+REQUIRED_CONF = {"spark.sql.session.timeZone": "UTC"}
 
-# Runtime re-planning: coalesce small shuffle partitions, split skewed join
-# partitions, pick broadcast at runtime when a side turns out small.
-RECOMMENDED_CONF = {
+# Settings of a session that we build ourselves. Adaptive execution and its
+# skew-join splitting are Spark's defaults; the last one is static (PySpark
+# otherwise records the Python call site of every Column call) and so can
+# only be given to the builder, never to a session made elsewhere.
+LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.localShuffleReader.enabled": "true",
-    # PySpark otherwise records the Python call site of every DataFrame and
-    # Column call (two extra gateway round trips each, ~40% of the time to
-    # build a plan of a few hundred expressions). Only error messages use
-    # it; it must be set before the first DataFrame call of the process.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators need (idempotent)."""
+    """Apply the runtime settings the operators need to any session
+    (idempotent; static settings are left as the session has them)."""
     for k, v in REQUIRED_CONF.items():
-        if spark.conf.get(k, None) != v:
-            spark.conf.set(k, v)
-    for k, v in RECOMMENDED_CONF.items():
-        if spark.conf.get(k, None) is None:
+        if spark.conf.get(k, None) != v and spark.conf.isModifiable(k):
             spark.conf.set(k, v)
     return spark
 
@@ -55,31 +43,39 @@ def local_session(app: str = "contrail", cores: str = "*", shuffle_partitions: i
         .config("spark.driver.memory", os.environ.get("CONTRAIL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for k, v in {**REQUIRED_CONF, **RECOMMENDED_CONF}.items():
+    for k, v in {**REQUIRED_CONF, **LOCAL_CONF}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh directory under the cluster's shared checkpoint folder.
-
-    The cluster names its shared folder in ``spark.checkpoint.dir``; we read
-    it from the session. Only when it is unset (tests, local runs) do we set
-    our own, once, under the system temp folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder for intermediates, from ``spark.checkpoint.dir`` (or
+    the context's checkpoint folder). Only a local master may fall back to a
+    temporary folder of this machine: there driver and executors are one
+    process. On a cluster an unset folder is an error, because executors
+    would write to disks that nobody else can read."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        # `spark.checkpoint.dir` cannot be changed at runtime; the context's
-        # checkpoint directory can, and is what we read back next time.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="contrail-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir() or base
-    base = base.rstrip("/")
-    return f"{base}/{purpose}-{uuid.uuid4().hex[:12]}"
+        sc.setCheckpointDir(base)
+        base = sc.getCheckpointDir() or base
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh directory under the shared checkpoint folder, removed when the
+    driver's JVM ends in good order."""
+    path = f"{checkpoint_root(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
 
 
 def materialize(df):
@@ -88,9 +84,5 @@ def materialize(df):
     several branches of one plan."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if base:
-            spark.sparkContext.setCheckpointDir(base)
-        else:
-            shared_dir(spark, "materialize")  # sets a fallback directory
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     return df.checkpoint(eager=True)

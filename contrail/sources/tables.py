@@ -7,35 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from contrail.session import prepare
 
 
-# The given tables are immutable, so the (lazy) DataFrame of each one is
-# built once per session: reading the footers for the schema and probing the
-# split count cost a few gateway round trips and a file listing each time.
-_TABLES: dict[tuple, DataFrame] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """One given table. Column pruning and filters reach the parquet scan
-    because the plan stays declarative from here on.
-
-    ``spread=True`` is for CPU-heavy per-row work (text parsing): see
-    ``spread_if_narrow``.
-    """
-    key = (id(spark), sf_dir.rstrip("/"), name, spread)
-    df = _TABLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        prepare(spark)
-        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        df = spread_if_narrow(df) if spread else df
-        _TABLES[key] = df
-    return df
-
-
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's default parallelism when the
-    scan yields fewer splits than that (a single-row-group file is one
-    split). On a large table the scan already has more splits than cores and
-    this is a no-op, so no shuffle is added at scale."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One given table, listed anew at every call so that a rewritten table
+    is seen. Column pruning and filters reach the parquet scan because the
+    plan stays declarative from here on."""
+    return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
