@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from contrail.llm import byte_bpe, token_counts
+from contrail.llm import byte_bpe, mixing, quality, token_counts, warc
 from contrail.llm.common import read_table
+from contrail.session import shared_dir
 
 RANKS_50K = "byte_bpe_50k.tiktoken"
 TOKENIZER_50K = "byte_bpe_50k.json"
@@ -18,9 +20,45 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(coded)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_50K))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op6_token_counts)}
-ORACLE: dict[str, str] = {}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(read_table(spark, sf_dir, "documents"))
+    return judged.withColumnRenamed("key", "doc_id").withColumn("broken_fences", F.array_join("broken_fences", ","))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_warc, op6_token_counts, op7_quality, op10_mixing)}
+ORACLE: dict[str, str] = {
+    "op4_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN f.first_id <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first_id <> d.page_id THEN f.first_id END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)""",
+    "op10_mixing": """
+WITH RECURSIVE s AS (
+  SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS sz FROM documents GROUP BY 1),
+r AS (SELECT source, sqrt(sz) / sz * ((SELECT sum(sz) FROM s) / (SELECT sum(sqrt(sz)) FROM s)) AS rate FROM s),
+m AS (SELECT source, rate / greatest(ceil(rate / 16.0), 1) AS mean, greatest(ceil(rate / 16.0), 1)::INT AS draws FROM r),
+c AS (SELECT source, mean, draws, 0 AS k, exp(-mean) AS p, exp(-mean) AS cum FROM m
+      UNION ALL SELECT source, mean, draws, k + 1, p * mean / (k + 1), cum + p * mean / (k + 1) FROM c WHERE k < 96),
+cdf AS (SELECT source, any_value(draws) AS draws, list(cum ORDER BY k) AS cums FROM c GROUP BY 1),
+d AS (SELECT documents.*, draws, cums, '0|' || coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, '')) AS seed
+      FROM documents JOIN cdf ON documents.source IS NOT DISTINCT FROM cdf.source),
+u AS (SELECT * EXCLUDE (cums, draws), list_sum(list_transform(range(1, draws + 1), lambda j: len(list_filter(cums,
+        lambda x: x <= (('0x' || md5(seed || '|' || j)[1:13])::BIGINT)::DOUBLE / 4503599627370496.0))))::INT AS n FROM d),
+e AS (SELECT * EXCLUDE (n), unnest(range(1, n + 1))::INT AS mix_copy FROM u)
+SELECT * EXCLUDE (seed), md5('order|' || seed || '|' || mix_copy) AS mix_order FROM e""",
+}
