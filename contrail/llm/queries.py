@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import byte_bpe, mixing, quality, token_counts, warc
+from contrail.llm import byte_bpe, mixing, ngram_join, quality, token_counts, warc
 from contrail.llm.common import read_table
 from contrail.session import shared_dir
 
@@ -33,11 +33,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("key", "doc_id").withColumn("broken_fences", F.array_join("broken_fences", ","))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_warc, op6_token_counts, op7_quality, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_warc, op6_token_counts, op7_quality, op8_ngram_join,
+                                   op10_mixing)}
 ORACLE: dict[str, str] = {
     "op4_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
