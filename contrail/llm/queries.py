@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import byte_bpe, mixing, ngram_join, quality, token_counts, warc
+from contrail.llm import byte_bpe, mixing, ngram_join, pii, quality, token_counts, warc
 from contrail.llm.common import read_table
 from contrail.session import shared_dir
 
@@ -20,6 +20,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(coded)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(read_table(spark, sf_dir, "documents"))
+    counts = [pii.of_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"),
+                        pii.as_text(F.col("spans")).alias("spans"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
 
@@ -41,7 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_warc, op6_token_counts, op7_quality, op8_ngram_join,
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op4_warc, op6_token_counts, op7_quality, op8_ngram_join,
                                    op10_mixing)}
 ORACLE: dict[str, str] = {
     "op4_warc": """
