@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import byte_bpe, mixing, ngram_join, pii, quality, token_counts, warc
+from contrail.llm import byte_bpe, language, mixing, ngram_join, pii, quality, token_counts, warc
 from contrail.llm.common import read_table
 from contrail.session import shared_dir
 
@@ -44,11 +44,15 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op4_warc, op6_token_counts, op7_quality, op8_ngram_join,
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op4_warc, op6_token_counts, op7_quality, op8_ngram_join, op9_language,
                                    op10_mixing)}
 ORACLE: dict[str, str] = {
     "op4_warc": """
