@@ -46,5 +46,18 @@ def by_rows(df: DataFrame, fn: Callable[[list[dict]], dict], schema: str, rows:
     return df.mapInArrow(run, schema)
 
 
-def least(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    return df.groupBy(*group).agg(F.min(value).alias(value))
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Consecutive rows of equal keys (a block, so of bounded size)."""
+    at, rows = None, []
+    for batch in batches:
+        cols = [batch.column(k).to_pylist() for k in keys]
+        other = {f.name: batch.column(f.name) for f in batch.schema if f.name not in keys}
+        for i, k in enumerate(zip(*cols)):
+            if k != at:
+                if rows:
+                    yield at, rows
+                at, rows = k, []
+            rows.append({name: c[i].values.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) else c[i].as_py()
+                         for name, c in other.items()})
+    if rows:
+        yield at, rows

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contrail.llm.common import by_rows, landed
+from contrail.llm.common import by_rows, groups, landed
 from contrail.llm.components import components
 
 WORDS = 5
@@ -147,23 +147,6 @@ def families(prefix: DataFrame) -> DataFrame:
             .filter("hub != node").select("hub", "node").distinct())
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
-    """Consecutive rows of equal keys (a block, so of bounded size)."""
-    at, rows = None, []
-    for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in keys]
-        other = {f.name: batch.column(f.name) for f in batch.schema if f.name not in keys}
-        for i, k in enumerate(zip(*cols)):
-            if k != at:
-                if rows:
-                    yield at, rows
-                at, rows = k, []
-            rows.append({name: c[i].values.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) else c[i].as_py()
-                         for name, c in other.items()})
-    if rows:
-        yield at, rows
-
-
 def _linked(overlap, n, m, percent: int):
     return 100 * overlap >= percent * (n + m - overlap)
 
@@ -172,7 +155,7 @@ def _with_hub(percent: int):
     schema = pa.schema([("hub", pa.int64()), ("node", pa.int64()), ("linked", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (hub, _), rows in _groups(batches, ["hub", "part"]):
+        for (hub, _), rows in groups(batches, ["hub", "part"]):
             head = next(r for r in rows if r["node"] == hub)
             out = [{"hub": hub, "node": r["node"], "linked": bool(_linked(
                 len(np.intersect1d(head["cols"], r["cols"], assume_unique=True)), head["n"], r["n"], percent))}
@@ -212,7 +195,7 @@ def _in_blocks(percent: int):
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, ["hub", "i", "j"]):
+        for _, rows in groups(batches, ["hub", "i", "j"]):
             left, right = [r for r in rows if r["left"]], [r for r in rows if not r["left"]]
             if not left or not right:
                 continue

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import byte_bpe, language, mixing, ngram_join, pii, quality, token_counts, warc
+from contrail.llm import byte_bpe, embedding_dedup, language, mixing, ngram_join, pii, quality, token_counts, warc
 from contrail.llm.common import read_table
 from contrail.session import shared_dir
 
@@ -31,6 +31,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.deduplicate(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_50K))
 
@@ -52,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op4_warc, op6_token_counts, op7_quality, op8_ngram_join, op9_language,
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op4_warc, op5_embedding_dedup, op6_token_counts, op7_quality, op8_ngram_join, op9_language,
                                    op10_mixing)}
 ORACLE: dict[str, str] = {
     "op4_warc": """
