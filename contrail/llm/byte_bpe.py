@@ -1,10 +1,10 @@
 """Operator 2: byte-level BPE encoding and decoding with Spark functions only.
 
 Words (matches of the tokenizer's split pattern) are arrays of byte pieces,
-each written as hex digits. A fold over such an array merges the adjacent pair
-of lowest rank, leftmost first, as often as the word has bytes. Ranks are
-looked up in a literal map, cut by CRC into small maps because Spark searches
-a map from its start.
+each held as its identifier, which is its rank. A fold over such an array
+merges the adjacent pair of lowest rank, leftmost first, as often as the word
+has bytes. The rank map is a literal: an array in which a pair of identifiers
+is at one of two places (Spark would search a map value from its start).
 
 The most frequent words are encoded once, as distinct words, and become a
 literal too; the number and length of those words is bounded. Any other word
@@ -22,11 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NONE = 2**31 - 1  # no such pair
-RANK_BUCKETS = 8192
-WORD_BUCKETS = 8192
+ID_BITS = 20      # identifiers are below 2 ** ID_BITS
+WORD_BUCKETS = 65_536
 #: Distinct words held in the literal: at most this many, each of at most so many characters.
-FREQUENT_WORDS = 65_536
+FREQUENT_WORDS = 131_072
 FREQUENT_CHARS = 32
+#: Around each word and its identifiers in a bucket (private-use characters;
+#: a word that holds one is folded instead).
+MARK, SEP = "\ue000", "\ue001"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,15 +43,48 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
 
 
-def _bucketed(entries: dict[str, object], buckets: int) -> list[dict]:
-    out: list[dict] = [{} for _ in range(buckets)]
-    for k, v in entries.items():
-        out[zlib.crc32(k.encode("utf-8")) % buckets][k] = v
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of every pair of pieces whose bytes together are a piece, by the
+    two identifiers in one number."""
+    out = {}
+    for whole, rank in ranks.items():
+        for cut in range(1, len(whole)):
+            a, b = ranks.get(whole[:cut]), ranks.get(whole[cut:])
+            if a is not None and b is not None:
+                out[a << ID_BITS | b] = rank
     return out
 
 
-def _look_up(maps: Column, buckets: int, k: Column) -> Column:
-    return F.try_element_at(F.get(maps, (F.crc32(k.cast("binary")) % buckets).cast("int")), k)
+def _primes_from(n: int) -> tuple[int, int]:
+    found = []
+    while len(found) < 2:
+        n += 1
+        if all(n % d for d in range(2, int(n**0.5) + 1)):
+            found.append(n)
+    return found[0], found[1]
+
+
+def two_place_table(entries: dict[int, int]) -> tuple[list[int], int, int]:
+    """Array in which key k, with its value in the low ID_BITS, is at k % p or
+    at p + k % q (cuckoo hashing)."""
+    size = max(16, 2 * len(entries))
+    while True:
+        p, q = _primes_from(size)
+        table, ok = [-1] * (p + q), True
+        for k, v in entries.items():
+            item, at = k << ID_BITS | v, k % p
+            for _ in range(500):
+                item, table[at] = table[at], item
+                if item < 0:
+                    break
+                k2 = item >> ID_BITS
+                at = p + k2 % q if at == k2 % p else k2 % p
+            else:
+                ok = False
+                break
+        if ok:
+            return table, p, q
+        size = size * 3 // 2
 
 
 def _let(value: Column, body) -> Column:
@@ -56,38 +92,9 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _rank(ranks: Column, piece: Column) -> Column:
-    return F.coalesce(_look_up(ranks, RANK_BUCKETS, piece), F.lit(NONE))
-
-
-def _fold(ranks: Column, word: Column) -> Column:
-    """Token identifiers of one word (array of int)."""
-
-    def start(raw: Column) -> Column:
-        one = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.hex(F.substring(raw, i, F.lit(1))))
-        return _let(one, lambda s: F.struct(s.alias("s"), F.transform(
-            F.slice(s, F.lit(1), F.size(s) - 1), lambda p, i: _rank(ranks, F.concat(p, F.get(s, i + 1)))).alias("r")))
-
-    def merged(st: Column, at: Column) -> Column:  # at: 1-based place of the left symbol
-        s, r, none = st["s"], st["r"], F.array().cast("array<int>")
-
-        def put(new: Column) -> Column:
-            before = F.when(at > 1, F.array(_rank(ranks, F.concat(F.try_element_at(s, F.greatest(at - 1, F.lit(1))), new))))
-            after = F.when(at + 1 < F.size(s), F.array(_rank(ranks, F.concat(new, F.try_element_at(s, at + 2)))))
-            return F.struct(
-                F.concat(F.slice(s, F.lit(1), at - 1), F.array(new), F.slice(s, at + 2, F.size(s))).alias("s"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), F.coalesce(before, none),
-                         F.coalesce(after, none), F.slice(r, at + 2, F.size(r) + 1)).alias("r"))
-
-        return _let(F.concat(F.element_at(s, at), F.element_at(s, at + 1)), put)
-
-    def step(st: Column, _: Column) -> Column:
-        return _let(F.coalesce(F.array_min(st["r"]), F.lit(NONE)), lambda low: F.when(low == NONE, st).otherwise(
-            _let(F.array_position(st["r"], low).cast("int"), lambda at: merged(st, at))))
-
-    return _let(word.cast("binary"), lambda raw: F.aggregate(
-        F.array_repeat(F.lit(0), F.length(raw) - 1), start(raw), step,
-        lambda st: F.transform(st["s"], lambda p: _rank(ranks, p))))
+def _joined(*parts: Column) -> Column:
+    """Arrays one after the other (cheaper than concat inside a lambda)."""
+    return F.flatten(F.array(*parts))
 
 
 class ByteBpe:
@@ -95,36 +102,81 @@ class ByteBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = "(?U)" + pattern  # (?U): white space as in Unicode
-        self.ranks = _literal(_bucketed({b.hex().upper(): n for b, n in ranks.items()}, RANK_BUCKETS),
-                              "array<map<string,int>>")
-        pieces = [""] * (max(ranks.values(), default=-1) + 1)
+        table, self.p, self.q = two_place_table(pair_ranks(ranks))
+        self.pairs = _literal(table, "array<long>")
+        self.bytes = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
+        pieces = [""] * (max(ranks.values()) + 1)
         for piece, n in ranks.items():
             pieces[n] = piece.hex()
         self.pieces = _literal(pieces, "array<string>")
-        self.frequent = _literal([], "array<map<string,array<int>>>")
+        self.frequent = _literal([], "array<string>")
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
+    def _rank(self, pairs: Column, a: Column, b: Column) -> Column:
+        def at(place: Column, k: Column, other: Column) -> Column:
+            return _let(F.get(pairs, place.cast("int")), lambda v: F.when(
+                F.shiftright(v, ID_BITS) == k, v.bitwiseAND((1 << ID_BITS) - 1).cast("int")).otherwise(other))
+
+        return _let(a.cast("long") * (1 << ID_BITS) + b,
+                    lambda k: at(k % self.p, k, at(k % self.q + self.p, k, F.lit(NONE))))
+
+    def _fold(self, known: Column, word: Column) -> Column:
+        """Identifiers of one word (array of int). ``known`` has the literals."""
+        pairs, none = known["pairs"], F.array().cast("array<int>")
+
+        def start(ids: Column) -> Column:
+            return F.struct(ids.alias("s"), F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1),
+                                                        lambda a, i: self._rank(pairs, a, F.get(ids, i + 1))).alias("r"))
+
+        def merged(st: Column, low: Column, at: Column) -> Column:  # at: 1-based place of the left piece
+            s, r = st["s"], st["r"]
+            before = F.when(at > 1, F.array(self._rank(pairs, F.get(s, at - 2), low))).otherwise(none)
+            after = F.when(at + 1 < F.size(s), F.array(self._rank(pairs, low, F.get(s, at + 1)))).otherwise(none)
+            return F.struct(
+                _joined(F.slice(s, F.lit(1), at - 1), F.array(low), F.slice(s, at + 2, F.size(s))).alias("s"),
+                _joined(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after,
+                        F.slice(r, at + 2, F.size(r) + 1)).alias("r"))
+
+        def step(st: Column, _: Column) -> Column:
+            return _let(F.coalesce(F.array_min(st["r"]), F.lit(NONE)), lambda low: F.when(low == NONE, st).otherwise(
+                _let(F.array_position(st["r"], low).cast("int"), lambda at: merged(st, low, at))))
+
+        letters = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")  # one letter per byte
+        ids = F.transform(letters, lambda c: F.get(known["bytes"], F.ascii(c)))
+        return _let(ids, lambda x: F.aggregate(F.slice(x, F.lit(2), F.size(x)), start(x), step, lambda st: st["s"]))
+
+    def _known(self) -> Column:
+        return F.struct(self.pairs.alias("pairs"), self.bytes.alias("bytes"), self.frequent.alias("frequent"))
+
     def encode_word(self, word: Column) -> Column:
-        return _let(self.ranks, lambda ranks: _fold(ranks, word))
+        return _let(self._known(), lambda k: self._fold(k, word))
 
     def learn_frequent(self, texts: DataFrame, column: str, most: int = FREQUENT_WORDS) -> ByteBpe:
         """Encode the most frequent distinct words of all texts once (one
         aggregated pass); they become a literal of bounded size."""
         word = texts.select(F.explode(self.words(texts[column])).alias("word"))
-        top = (word.filter(F.length("word") <= FREQUENT_CHARS).groupBy("word").count()
-               .orderBy(F.desc("count"), "word").limit(most))
-        coded = top.select("word", self.encode_word(F.col("word")).alias("ids"))
-        entries = {r["word"]: list(r["ids"]) for r in coded.toLocalIterator()}
-        self.frequent = _literal(_bucketed(entries, WORD_BUCKETS), "array<map<string,array<int>>>")
+        top = (word.filter((F.length("word") <= FREQUENT_CHARS) & ~F.col("word").rlike(f"[{MARK}{SEP}]"))
+               .groupBy("word").count().orderBy(F.desc("count"), "word").limit(most))
+        coded = top.select("word", F.array_join(self.encode_word(F.col("word")).cast("array<string>"), " ").alias("ids"))
+        buckets = [""] * WORD_BUCKETS
+        for r in coded.toLocalIterator():
+            buckets[zlib.crc32(r["word"].encode("utf-8")) % WORD_BUCKETS] += f"{MARK}{r['word']}{SEP}{r['ids']}"
+        self.frequent = _literal(buckets, "array<string>")
         return self
 
     def encode(self, text: Column) -> Column:
         """Token identifiers of a whole text (array of int)."""
-        known = F.struct(self.ranks.alias("ranks"), self.frequent.alias("frequent"))
-        return _let(known, lambda k: F.flatten(F.transform(self.words(text), lambda w: F.coalesce(
-            _look_up(k["frequent"], WORD_BUCKETS, w), _fold(k["ranks"], w)))))
+        def one(k: Column, w: Column) -> Column:
+            bucket = F.coalesce(F.get(k["frequent"], (F.crc32(w.cast("binary")) % WORD_BUCKETS).cast("int")), F.lit(""))
+            marked = F.concat(F.lit(MARK), w, F.lit(SEP))
+            folded = F.array_join(self._fold(k, w).cast("array<string>"), " ")
+            return F.when(F.contains(bucket, marked) & ~F.contains(w, F.lit(MARK)) & ~F.contains(w, F.lit(SEP)),
+                          F.substring_index(F.substring_index(bucket, marked, -1), MARK, 1)).otherwise(folded)
+
+        joined = _let(self._known(), lambda k: F.array_join(F.transform(self.words(text), lambda w: one(k, w)), " "))
+        return F.when(F.length(text) > 0, F.split(joined, " ").cast("array<int>")).otherwise(F.array().cast("array<int>"))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of a sequence of identifiers: the pieces, joined as hex digits
