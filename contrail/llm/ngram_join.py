@@ -8,7 +8,8 @@ down, without losing a link, before any pair is looked at:
 1. In any fixed order of columns, linked rows x and y share at least l columns
    among their first |x| - ceil(t|x|) + l ones. With the order of the column
    hashes this needs no counts: rows of which too few of those columns occur
-   twice have no link and go.
+   twice have no link and go. A second pass over what is left, now with all
+   columns, keeps rows of which a share of t occurs twice.
 2. Among the rest, columns are ordered from rare to frequent. Linked rows share
    one of their first |x| - ceil(t|x|) + 1 columns, which are rare ones.
 3. The rows that share such a column form a family, named by its hub, the row
@@ -37,7 +38,8 @@ from contrail.llm.components import components
 
 WORDS = 5
 PERCENT = 75
-SPARE = 20           # step 1 looks at one column in SPARE more than a bound of 1 needs
+SPARE = 8            # the first pass looks at one column in SPARE more than a bound of 1 needs
+MAP_COLUMNS = 1 << 19  # columns that a map task gathers before it deals them to blocks
 BLOCK_ROWS = 128
 BLOCK_COLUMNS = 4096
 CACHE_WORDS = 400_000
@@ -86,24 +88,105 @@ def least_overlap(n, percent: int):
 
 
 def _head(s: np.ndarray, percent: int) -> np.ndarray:
-    """First columns by hash, as 48-bit numbers, for step 1."""
+    """The columns that the first pass looks at."""
     n = len(s)
-    return s[:n - least_overlap(n, percent) + 1 + n // SPARE].view(np.uint64) >> np.uint64(16)
+    return s[:n - least_overlap(n, percent) + 1 + n // SPARE]
 
 
-def _profile(words: int, percent: int):
+PROFILE = "doc_id long, n long, a long, b long, shared long"
+
+
+def _incidence(words: int, blocks: int, chosen):
+    """Map side: row profiles, and the incidence of the chosen columns dealt to
+    blocks. A column that several rows of a task have counts for them at once
+    and travels once, so a very common column is no load for its block."""
     cache = WordHash()
+    schema = pa.schema([("block", pa.int32()), ("rows", pa.list_(pa.int64())), ("sizes", pa.binary()), ("columns", pa.binary()),
+                        ("n", pa.list_(pa.int64())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
+
+    def flush(docs: list) -> pa.RecordBatch:
+        ids = [d[0] for d in docs]
+        keyed = [i for i, d in enumerate(docs) if d[0] is not None]
+        heads = [chosen(docs[i][1]).view(np.uint64) >> np.uint64(16) for i in keyed]
+        owner = np.repeat(np.arange(len(keyed)), [len(h) for h in heads])
+        flat = np.concatenate([np.empty(0, np.uint64), *heads])
+        _, first, back, times = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+        shared = np.zeros(len(docs), np.int64)
+        shared[keyed] = np.bincount(owner, weights=times[back] > 1, minlength=len(keyed))[:len(keyed)]
+        # what is sent: every column once; -1 in place of a row says that it is counted already
+        sent_owner = np.where(times > 1, -1, owner[first])
+        sent = flat[first]
+        block = (sent % np.uint64(blocks)).astype(np.int64)
+        order = np.lexsort((sent_owner, block))
+        sent, sent_owner, block = sent[order], sent_owner[order], block[order]
+        bounds = np.searchsorted(block, np.arange(blocks + 1))
+        out = [{"block": int(abs(hash(ids[0])) % blocks) if ids[0] is not None else 0, "rows": ids, "n": [len(d[1]) for d in docs],
+                "a": [d[2][0] for d in docs], "b": [d[2][1] for d in docs], "shared": shared.tolist()}]
+        for k in range(blocks):
+            o = sent_owner[bounds[k]:bounds[k + 1]]
+            if not len(o):
+                continue
+            who, size = np.unique(o, return_counts=True)
+            out.append({"block": k, "rows": [None if w < 0 else ids[keyed[w]] for w in who], "sizes": size.astype("<u4").tobytes(),
+                        "columns": sent[bounds[k]:bounds[k + 1]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()})
+        return pa.RecordBatch.from_pylist(out, schema=schema)
 
-    def run(cols: dict) -> dict:
-        sets = [shingles(t, cache, words) for t in cols["text"]]
-        prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"\0" * 16 for s in sets]
-        two = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
-        return {"doc_id": cols["doc_id"], "n": [len(s) for s in sets], "a": two[:, 0], "b": two[:, 1],
-                "head": [_head(s, percent).astype(np.int64) for s in sets]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, columns = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64).to_pydict()
+                for i, t in zip(part["doc_id"], part["text"]):
+                    s = shingles(t, cache, words)
+                    own = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"\0" * 16
+                    docs.append((i, s, np.frombuffer(own, "<i8").tolist()))
+                    columns += len(s)
+                if columns >= MAP_COLUMNS:
+                    yield flush(docs)
+                    docs, columns = [], 0
+        if docs:
+            yield flush(docs)
 
     return run
 
 
+def _occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reduce side, one block of columns: how many of them each row shares."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64())])
+    columns, owners, known = [], [], []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["columns"] is None:
+                yield pa.RecordBatch.from_pydict({"doc_id": r["rows"], "n": r["n"], "a": r["a"], "b": r["b"], "shared": r["shared"]}, schema=schema)
+                continue
+            size = np.frombuffer(r["sizes"], "<u4")
+            raw = np.zeros((int(size.sum()), 8), np.uint8)
+            raw[:, :6] = np.frombuffer(r["columns"], np.uint8).reshape(-1, 6)
+            columns.append(raw.view("<u8").ravel())
+            owners.append(np.repeat(np.array([0 if x is None else x for x in r["rows"]], np.int64), size))
+            known.append(np.repeat(np.array([x is None for x in r["rows"]]), size))
+    if not columns:
+        return
+    column, owner, is_known = np.concatenate(columns), np.concatenate(owners), np.concatenate(known)
+    _, back, times = np.unique(column, return_inverse=True, return_counts=True)
+    often = times > 1
+    often[back[is_known]] = True
+    rows, shared = np.unique(owner[often[back] & ~is_known], return_counts=True)
+    if len(rows):
+        none = pa.nulls(len(rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(rows), none, none, none, pa.array(shared.astype(np.int64))], schema=schema)
+
+
+def occurrences(rows: DataFrame, words: int, chosen) -> DataFrame:
+    """doc_id, n, a, b (size and print of the set) per row; and, in rows with
+    null n, shared: numbers of chosen columns that other rows have too."""
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = ("block int, rows array<long>, sizes binary, columns binary, n array<long>, a array<long>, "
+            "b array<long>, shared array<long>")
+    dealt = rows.select("doc_id", "text").mapInArrow(_incidence(words, blocks, chosen), kind).repartition(blocks, "block")
+    return dealt.mapInArrow(_occurring, PROFILE)
+
+
 def _sets(words: int):
     cache = WordHash()
 
@@ -115,16 +198,19 @@ def _sets(words: int):
     return run
 
 
-def surviving(profile: DataFrame, percent: int) -> DataFrame:
-    """Step 1: a, b, doc_id (one of the class) of classes that may have a link."""
-    posting = profile.filter("n > 0 and doc_id is not null").select("doc_id", F.explode("head").alias("h"))
-    twice = posting.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("h")
-    shared = posting.join(twice, "h", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)
-    live = profile.select("doc_id", "n", "a", "b").join(shared, "doc_id").filter(F.col("shared") >= least)
+def surviving(profile: DataFrame, least) -> DataFrame:
+    """a, b, doc_id (one of the class) of classes with enough shared columns."""
+    shared = profile.filter("doc_id is not null").groupBy("doc_id").agg(F.sum("shared").alias("all_shared"))
+    live = profile.filter("n > 0").select("doc_id", "n", "a", "b").join(shared, "doc_id").filter(F.col("all_shared") >= least)
     return live.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"))
 
 
+def _only(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """doc_id, node, text of the rows of surviving classes."""
+    wanted = live.select("doc_id", F.col("a").alias("node"))
+    return rows.join(F.broadcast(wanted) if live.count() <= BROADCAST_IDS else wanted, "doc_id")
+
+
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """Step 2: h, node, share for the rare first columns of each row."""
     posting = sets.select("node", "n", F.explode("cols").alias("h"))
@@ -256,21 +342,20 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     read; an empty table gives an empty one. Columns are told apart by 64-bit
     hashes, classes by 128-bit ones.
     """
-    spark = docs.sparkSession
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    profile = landed(by_rows(rows, _profile(words, percent), "doc_id long, n long, a long, b long, head array<long>"), "ngram-profile")
-    live = landed(surviving(profile, percent), "ngram-live")
-    n_live = live.count()
-    wanted = live.select("doc_id", F.col("a").alias("node"))
-    if n_live <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets = landed(by_rows(rows.join(wanted, "doc_id").select("node", "text"), _sets(words),
-                          "node long, own long, n long, cols array<long>").filter("own = node").drop("own"), "ngram-sets")
-    if sets.count() != n_live:  # repeated rows
+    profile = landed(occurrences(rows, words, lambda s: _head(s, percent)), "ngram-profile")
+    bound = F.ceil(F.col("n") * percent / 100)
+    live = landed(surviving(profile, 1 + F.floor(bound / SPARE)), "ngram-live")
+    again = landed(occurrences(_only(rows, live), words, lambda s: s), "ngram-again")
+    live = landed(surviving(again, bound).join(live.select("a", "b"), ["a", "b"], "left_semi"), "ngram-live")
+    sets = landed(by_rows(_only(rows, live).select("node", "text"), _sets(words), "node long, own long, n long, cols array<long>")
+                  .filter("own = node").drop("own"), "ngram-sets")
+    if sets.count() != live.count():  # repeated rows
         sets = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("cols").alias("cols"))
     members = landed(families(prefixes(sets, percent)), "ngram-families")
     found = links(sets, members, percent)
 
+    profile = profile.filter("n is not null")
     classes = profile.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("first_id"))
     ids = live.select(F.col("a").alias("node"), F.col("doc_id").alias("id"))
     ends = (found.join(ids.withColumnsRenamed({"node": "x", "id": "x_id"}), "x")
