@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,7 +174,7 @@ class ByteBpe:
             marked = F.concat(F.lit(MARK), w, F.lit(SEP))
             folded = F.array_join(self._fold(k, w).cast("array<string>"), " ")
             return F.when(F.contains(bucket, marked) & ~F.contains(w, F.lit(MARK)) & ~F.contains(w, F.lit(SEP)),
-                          F.substring_index(F.substring_index(bucket, marked, -1), MARK, 1)).otherwise(folded)
+                          F.substring_index(F.call_function("substring_index", bucket, marked, F.lit(-1)), MARK, 1)).otherwise(folded)
 
         joined = _let(self._known(), lambda k: F.array_join(F.transform(self.words(text), lambda w: one(k, w)), " "))
         return F.when(F.length(text) > 0, F.split(joined, " ").cast("array<int>")).otherwise(F.array().cast("array<int>"))
@@ -198,9 +199,9 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, key: str = "
     return coded.withColumn("decoded", bpe.decode(F.col("token_ids")))
 
 
-def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
+def digests(encoded: DataFrame, key: str = "doc_id", more: Sequence[str] = ()) -> DataFrame:
     """n_tokens and SHA-256 digests of identifiers and decoded bytes."""
     return encoded.select(
         key, F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), *more)

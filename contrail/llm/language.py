@@ -20,11 +20,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contrail.llm.common import by_rows
+from contrail.llm.common import ROWS_AT_ONCE, by_rows
 
 LANGUAGES = 64
 DOCS_PER_LANG = 200
@@ -252,6 +253,24 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return by_rows(rows, run, "key long, held_out boolean, lang_pred string, score double").withColumnRenamed("key", key)
 
 
+def identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
+               field: Field | None = None) -> DataFrame:
+    """The rows of ``docs`` (all columns as they are) that get a language:
+    rows with a null text or no letter go. Nothing is shuffled."""
+    field = field or Field.fit(training_sample(docs, key, text, lang))
+    shared = docs.sparkSession.sparkContext.broadcast((field.labels, field.table, field.transition))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(Field(*shared.value))
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                names, _ = labeller.label(part.column(text).to_pylist())
+                yield part.filter(pa.array([n != UNKNOWN for n in names]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def segments(text: str, labeller: Labeller) -> Iterator[tuple[str, str, float]]:
     """Word, label and probability along one text: the code-switched view."""
     ids = labeller._ids(text)

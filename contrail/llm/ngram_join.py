@@ -61,10 +61,11 @@ class WordHash(dict):
         return h
 
 
-def word_hashes(text: str | None, cache: WordHash) -> np.ndarray:
+def word_hashes(text: str | None, cache: WordHash, lower: bool = True) -> np.ndarray:
     """Hashes of the words of a text; only A-Z are lower-cased, only the six
     ASCII white-space characters part words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    words = (raw.lower() if lower else raw).split()
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
@@ -366,3 +367,19 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return joined.select(
         F.col("doc_id").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "first_id")).alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
+                        percent: int = PERCENT) -> DataFrame:
+    """``docs`` (all columns) with one document of each component: that of the
+    least key. Of rows that share a key the one with the least text stays (a
+    null text last); rows with a null key all stay."""
+    again = landed(docs.groupBy(docs[key].alias("_key")).count().filter("count > 1 and _key is not null").select("_key"), "ngram-repeated")
+    if not again.isEmpty():
+        order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last(), *[c for c, t in docs.dtypes if c not in (key, text) and not t.startswith("map")])
+        first = (docs.join(again, docs[key] == again["_key"], "left_semi").withColumn("_at", F.row_number().over(order))
+                 .filter("_at = 1").drop("_at"))
+        docs = docs.join(again, docs[key] == again["_key"], "left_anti").unionByName(first)
+    classes = jaccard_classes(docs, key, text, words, percent)
+    gone = landed(classes.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_key")).distinct(), "ngram-gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs[key] == gone["_key"], "left_anti")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import byte_bpe, embedding_dedup, language, mixing, ngram_join, pii, quality, token_counts, warc
+from contrail.llm import byte_bpe, embedding_dedup, language, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, warc
 from contrail.llm.common import read_table
 from contrail.session import shared_dir
 
@@ -14,6 +14,10 @@ RANKS_50K = "byte_bpe_50k.tiktoken"
 TOKENIZER_50K = "byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS_50K),
                                       public_tokenizers.PATTERN)
@@ -56,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op4_warc, op5_embedding_dedup, op6_token_counts, op7_quality, op8_ngram_join, op9_language,
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_pii, op4_warc, op5_embedding_dedup, op6_token_counts, op7_quality, op8_ngram_join, op9_language,
                                    op10_mixing)}
 ORACLE: dict[str, str] = {
     "op4_warc": """
