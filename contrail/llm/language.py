@@ -84,8 +84,9 @@ def marginals(scores: np.ndarray, transition: np.ndarray, lengths: np.ndarray) -
     # product over each chunk: from the label before it to its last label
     prod = np.broadcast_to(np.eye(k), (total, k, k)).copy()
     for t in range(CHUNK):
-        nxt = (prod @ step) * padded[:, t, None, :]
-        nxt /= nxt.max(axis=(1, 2), keepdims=True)
+        nxt = (prod.reshape(-1, k) @ step).reshape(total, k, k) * padded[:, t, None, :]
+        if t % 8 == 7:  # no word scales by less than exp(FLOOR)
+            nxt /= nxt.max(axis=(1, 2), keepdims=True)
         prod = np.where(real[:, t, None, None], nxt, prod)
 
     # carried along the texts, all texts side by side
