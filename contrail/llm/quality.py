@@ -24,7 +24,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: fence from the quartile (fixed values): a narrow group must not fence off
 #: documents that differ by little.
 RATIOS = (("mean_word_chars", "low", 1.5), ("mean_word_chars", "high", 2.0), ("symbols_per_word", "high", 0.10),
-          ("dup_line_share", "high", 0.30), ("repeat_word_share", "high", 0.30))
+          ("dup_line_share", "high", 0.50), ("repeat_word_share", "high", 0.45))
 #: A fence lies this many quartile ranges beyond the quartile.
 REACH = 6.0
 #: Documents that a group needs for a fence of its own.
