@@ -25,8 +25,10 @@ def ntz(value) -> Column:
 
 def lenient_instant(text: Column) -> Column:
     """ISO text -> instant; ``Z``/offsets honoured, zone-less is UTC,
-    empty or unparseable -> null."""
-    return F.try_to_timestamp(blank_to_null(text)).cast("timestamp_ntz")
+    empty or unparseable -> null. The text must begin with a whole date: a
+    year, a month or a time of day alone (which would mean today) is none."""
+    whole = F.when(text.rlike(r"^\s*\d{4}-\d{2}-\d{2}"), text)
+    return F.try_to_timestamp(blank_to_null(whole)).cast("timestamp_ntz")
 
 
 def iso_text(ts: Column) -> Column:

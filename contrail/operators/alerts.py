@@ -39,6 +39,20 @@ def delete_subscriptions(subs: DataFrame, deletes: DataFrame) -> DataFrame:
     return subs.join(d, (F.col("icao24") == F.col("_i")) & (F.lower("email") == F.col("_e")), "left_anti")
 
 
+def replay_subscriptions(requests: DataFrame, deletes: DataFrame, ttl: str = "24 hours") -> DataFrame:
+    """K8 + K9 as one ordered log: a delete is a tombstone at its own time
+    (``created_at``, then ``seq``), so a later request subscribes again."""
+    live = requests.filter(F.col("email").contains("@")).select(
+        "email", F.lower("icao24").alias("icao24"), strip_ws(F.col("callsign")).alias("callsign"),
+        F.coalesce("notified", F.lit(False)).alias("notified"), "created_at", "seq", F.lit(False).alias("gone"))
+    gone = deletes.select("email", F.lower("icao24").alias("icao24"), F.lit(None).cast("string").alias("callsign"),
+                          F.lit(False).alias("notified"), "created_at", "seq", F.lit(True).alias("gone"))
+    last = latest_per_key(live.unionByName(gone).withColumn("sub_email", F.lower("email")),
+                          ["icao24", "sub_email"], ("created_at", "seq"))
+    return last.filter("not gone").withColumn(
+        "expires_at", F.col("created_at") + F.expr(f"INTERVAL {ttl}")).select(*SUB_COLS)
+
+
 def active_subscriptions(subs: DataFrame, as_of) -> DataFrame:
     """Keys that have not expired."""
     return subs.filter(F.col("expires_at") > ntz(as_of))
@@ -116,3 +130,12 @@ def subscribe_immediate(requests: DataFrame, routes: DataFrame, as_of, window_mi
     return req.join(due, "seq", "left").select(
         "seq", "email", F.lower("icao24").alias("icao24"), "callsign",
         F.coalesce("_now", F.lit(False)).alias("sent_immediately"))
+
+
+def subscribe(requests: DataFrame, routes: DataFrame, as_of, ttl: str = "24 hours", window_min: int = 65) -> DataFrame:
+    """T8 into K8: whoever is mailed at subscribe time is stored as notified,
+    so the next tick (T7) does not mail again."""
+    sent = subscribe_immediate(requests, routes, as_of, window_min).select("seq", "sent_immediately")
+    marked = requests.join(sent, "seq", "left").withColumn(
+        "notified", F.coalesce("notified", F.lit(False)) | F.coalesce("sent_immediately", F.lit(False)))
+    return upsert_subscriptions(marked.drop("sent_immediately"), ttl)

@@ -76,12 +76,13 @@ def full_flight_points(history: DataFrame, as_of, lookback: str = "48 hours", de
     """S5 + J9 + L2: positioned rows since the last take-off, else since
     ``as_of - default_span``, for every aircraft at once.
 
-    Both bounds lie after ``as_of - lookback`` (a take-off is found inside
-    the look-back, and the default is shorter), so the scan is limited to
-    the look-back before the join — the filter reaches the parquet scan.
+    Both bounds lie within the longer of the two spans (a take-off is found
+    inside the look-back), so the scan is limited to that before the join —
+    the filter reaches the parquet scan.
     """
     takeoffs = last_takeoff(history, as_of, lookback, bucket)
-    pts = with_position(within_window(history, as_of, lookback))
+    start = F.least(*[ntz(as_of) - F.expr(f"INTERVAL {span}") for span in (lookback, default_span)])
+    pts = with_position(history.filter(F.col("time") > start))
     lower = F.coalesce(F.col("takeoff_time"), ntz(as_of) - F.expr(f"INTERVAL {default_span}"))
     out = (
         pts.join(takeoffs, "icao24", "left")

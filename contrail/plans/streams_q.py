@@ -19,7 +19,7 @@ from contrail.plans.snapshot_q import ROLLING_TRAIL_SQL, WIRE
 from contrail.schema import HISTORY_COLUMNS_WITH_CATEGORY
 from contrail.session import shared_dir
 from contrail.sinks import history as H
-from contrail.sources.standins import wire_rows
+from contrail.sources.standins import untimed, wire_rows
 from contrail.sources.tables import table
 from contrail.sources.wire import states_from_wire
 from contrail.streaming import pipeline as S
@@ -40,11 +40,11 @@ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY icao24 ORDER BY time DESC, "offs
 SELECT {", ".join('"offset"' if c == "offset" else c for c in _LATEST_COLS)} FROM r WHERE rn = 1"""
 
 
-def land_wire_files(spark: SparkSession, sf_dir: str) -> str:
+def land_wire_files(spark: SparkSession, sf_dir: str, change=lambda w: w) -> str:
     """Write the wire messages as JSON files, hash-partitioned by key (one
     key -> one file, like one topic partition)."""
     root = shared_dir(spark, "wire")
-    w = wire_rows(table(spark, sf_dir, "events")).select("key", "value", "partition", "offset", "timestamp")
+    w = change(wire_rows(table(spark, sf_dir, "events"))).select("key", "value", "partition", "offset", "timestamp")
     w.repartition(FILES, "key").write.json(root)
     return root
 
@@ -96,6 +96,24 @@ def history_append_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.read_history(spark, hist)
 
 
+@register("ingest_accounting", """
+SELECT 'in' AS outcome, count(*) AS n FROM events
+UNION ALL SELECT 'history', count(*) FROM events WHERE event_id % 113 <> 0 AND event_id % 101 <> 0 AND event_id % 103 <> 0
+UNION ALL SELECT 'quarantine: no key', count(*) FROM events WHERE event_id % 113 = 0
+UNION ALL SELECT 'quarantine: no time', count(*) FROM events
+WHERE event_id % 113 <> 0 AND (event_id % 101 = 0 OR event_id % 103 = 0)""")
+def ingest_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message is in history or, with a reason, in quarantine,
+    also those without a readable time."""
+    src = land_wire_files(spark, sf_dir, untimed)
+    hist, _, quar = _ingest(spark, sf_dir, src=src)
+    n = F.count(F.lit(1)).alias("n")
+    rows = [spark.read.schema(S.WIRE_FILE_SCHEMA).json(src).select(F.lit("in").alias("outcome")),
+            H.read_history(spark, hist).select(F.lit("history").alias("outcome")),
+            spark.read.parquet(quar).select(F.concat(F.lit("quarantine: "), "reason").alias("outcome"))]
+    return rows[0].union(rows[1]).union(rows[2]).groupBy("outcome").agg(n)
+
+
 def _updates_sink(root: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(int(batch_id))).write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")

@@ -67,15 +67,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_SCRATCH: dict[str, str] = {}  # application id -> this session's scratch folder
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh directory under the shared checkpoint folder, removed when the
-    driver's JVM ends in good order."""
-    path = f"{checkpoint_root(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(at)
-    fs.deleteOnExit(at)
-    return path
+    """A fresh path in this application's scratch folder, which lies under the
+    shared checkpoint folder and is removed when the driver's JVM ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        path = f"{checkpoint_root(spark)}/scratch-{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _SCRATCH[app] = path
+    return f"{_SCRATCH[app]}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df):

@@ -242,6 +242,27 @@ def unsubscribe_requests(customer: DataFrame) -> DataFrame:
     return real.unionByName(ghost)
 
 
+def unsubscribe_log(customer: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    """The same deletes with a place in the order of events: 10 minutes after
+    the first request, so every re-subscription comes later."""
+    c = F.col("c_custkey")
+    u = F.floor(c / F.lit(10)).cast("bigint")
+    email = F.concat(F.lit("U"), u.cast("string"), F.lit("C"), c.cast("string"), F.lit("@EXAMPLE.COM"))
+    at = ntz(as_of) - F.make_dt_interval(hours=(c % 30).cast("int")) + F.expr("INTERVAL 10 MINUTES")
+    ids = F.when(c % 27 == 0, F.array(F.upper(icao_of(u)), F.lit("ffffff"))).otherwise(F.array(F.upper(icao_of(u))))
+    return customer.filter(c % 9 == 0).select(F.explode(ids).alias("icao24"), email.alias("email"),
+                                              at.alias("created_at"), (c * 3).alias("seq"))
+
+
+def untimed(wire: DataFrame) -> DataFrame:
+    """Wire messages of which every 101st has an unreadable and every 103rd no stamp."""
+    stamp = r'"ingested_at":"[^"]*"'
+    e = F.col("event_id")
+    return wire.withColumn("value", F.when(e % 101 == 0, F.regexp_replace("value", stamp, '"ingested_at":"soon"'))
+                           .when(e % 103 == 0, F.regexp_replace("value", stamp, '"ingested_at":null'))
+                           .otherwise(F.col("value")))
+
+
 def airports(supplier: DataFrame) -> DataFrame:
     """Airport dimension rows (iata, name, city, lon, lat, tier) from `supplier`."""
     s = F.col("s_suppkey")

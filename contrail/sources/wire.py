@@ -14,10 +14,14 @@ from contrail.schema import STATE_SCHEMA
 KAFKA_META = ("key", "partition", "offset", "timestamp")
 
 
-def kafka_stream(spark: SparkSession, bootstrap: str, topic: str, max_offsets: int = 10_000,
-                 starting: str = "latest", min_partitions: int | None = None) -> DataFrame:
+def kafka_stream(spark: SparkSession, bootstrap: str, topic: str, max_offsets: int | None = None,
+                 starting: str = "latest", min_partitions: int | None = None, fail_on_data_loss: bool = True) -> DataFrame:
     """The state topic as a stream (needs the Kafka connector jar).
 
+    ``max_offsets`` caps a trigger (default: no cap, so a backlog cannot age
+    out behind a fixed rate); offsets lost to retention fail the query unless
+    ``fail_on_data_loss`` is False.
+
     ``min_partitions`` splits large topic partitions into more Spark tasks
     (a topic with few partitions would otherwise bound the parallelism of
     every micro-batch)."""
@@ -26,9 +30,10 @@ def kafka_stream(spark: SparkSession, bootstrap: str, topic: str, max_offsets: i
         .option("kafka.bootstrap.servers", bootstrap)
         .option("subscribe", topic)
         .option("startingOffsets", starting)
-        .option("failOnDataLoss", "false")
-        .option("maxOffsetsPerTrigger", max_offsets)
+        .option("failOnDataLoss", str(fail_on_data_loss).lower())
     )
+    if max_offsets:
+        r = r.option("maxOffsetsPerTrigger", int(max_offsets))
     if min_partitions:
         r = r.option("minPartitions", int(min_partitions))
     return r.load()
@@ -50,14 +55,18 @@ def enrich(parsed: DataFrame, **phase_params) -> DataFrame:
     ).withColumn("ingested_at", F.col("time"))
 
 
-def is_malformed():
-    """No usable key: junk JSON (all-null row) or a missing/blank id."""
-    return F.col("icao24").isNull() | (F.col("icao24") == "")
+def reject_reason():
+    """Why a message cannot enter history: ``no key`` (junk JSON, missing or
+    blank id), ``no time`` (missing or unreadable stamp); null if it can."""
+    return (F.when(F.col("icao24").isNull() | (F.col("icao24") == ""), "no key")
+            .when(F.col("time").isNull(), "no time"))
 
 
-def split_malformed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Quarantine: rows without a key (junk JSON, missing id) go aside."""
-    return parsed.filter(~is_malformed()), parsed.filter(is_malformed())
+def split_malformed(enriched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """History rows, and the others with their ``reason``: every message goes
+    to exactly one side."""
+    marked = enriched.withColumn("reason", reject_reason())
+    return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
 
 
 def states_from_wire(wire: DataFrame, keep: Sequence[str] = KAFKA_META) -> DataFrame:

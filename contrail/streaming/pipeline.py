@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from contrail.operators.latest import latest_per_key
 from contrail.schema import HISTORY_COLUMNS_WITH_CATEGORY
 from contrail.sinks import history as H
-from contrail.sources.wire import is_malformed, split_malformed, states_from_wire
+from contrail.sources.wire import reject_reason, split_malformed, states_from_wire
 
 log = logging.getLogger("contrail.streaming")
 
@@ -41,7 +41,8 @@ def state_table_write(batch: DataFrame, root: str, batch_id: int, key: str = "ic
 
     Versions live under ``<root>/v=<batch_id>``; a batch reads the newest
     version below its own id, merges, and overwrites its own version, so a
-    replay recomputes the same version.
+    replay recomputes the same version. Versions older than the one just read
+    are removed: two stay, and listing the folder costs the same every batch.
     """
     spark = batch.sparkSession
     prev = _latest_version(spark, root, below=batch_id)
@@ -51,6 +52,17 @@ def state_table_write(batch: DataFrame, root: str, batch_id: int, key: str = "ic
         rows = old.unionByName(rows, allowMissingColumns=True)
     merged = latest_per_key(rows, key, order)
     merged.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+    if prev is not None:
+        _drop_versions(spark, root, below=prev)
+
+
+def _drop_versions(spark: SparkSession, root: str, below: int) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("v=") and int(name[2:]) < below:
+            fs.delete(st.getPath(), True)
 
 
 def _latest_version(spark: SparkSession, root: str, below: int | None = None) -> int | None:
@@ -91,7 +103,7 @@ def fan_out(history_root: str, state_root: str, quarantine_root: str | None = No
         batch.persist()
         try:
             stats = batch.agg(F.count(F.lit(1)).alias("n"),
-                              F.count(F.when(is_malformed(), 1)).alias("bad")).first()
+                              F.count(F.when(reject_reason().isNotNull(), 1)).alias("bad")).first()
             if stats["n"] == 0:
                 return
             good, bad = split_malformed(batch)
