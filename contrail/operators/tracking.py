@@ -78,8 +78,9 @@ def search_prefix(searches: DataFrame, snap: DataFrame, limit: int = 6, min_char
     by id.
 
     Every aircraft emits the prefixes of its two keys (bounded by key
-    length) and the search joins on equality with them, so only true
-    matches are produced; the per-text limit runs as a window group limit.
+    length). Those that some text asks for stay (a semi-join with the distinct
+    texts), the first ``limit`` aircraft of each prefix are kept as a window
+    group limit, and only these meet the texts.
     """
     q = searches.filter(F.length(strip_ws(F.col("query"))) >= min_chars).select(
         "query", F.upper(F.col("query")).alias("_q"))
@@ -90,9 +91,9 @@ def search_prefix(searches: DataFrame, snap: DataFrame, limit: int = 6, min_char
         F.explode(F.transform(F.sequence(F.lit(min_chars), F.greatest(F.length("_k"), F.lit(min_chars))),
                               lambda i: F.substring(F.col("_k"), 1, i))).alias("_p"),
     ).distinct()
-    hits = q.join(prefixes, q["_q"] == prefixes["_p"], "inner").select("query", "icao24").distinct()
-    return top_n_per_key(hits, ["query"], [F.col("icao24")], limit, "rank").withColumn(
-        "rank", F.col("rank").cast("bigint"))
+    asked = prefixes.join(q.select(F.col("_q").alias("_p")).distinct(), "_p", "left_semi")
+    first = top_n_per_key(asked, ["_p"], [F.col("icao24")], limit, "rank")
+    return q.join(first, q["_q"] == first["_p"]).select("query", "icao24", F.col("rank").cast("bigint").alias("rank"))
 
 
 def lod_aircraft(snap: DataFrame, zoom: float) -> DataFrame:

@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every plan module so that its queries register."""
     from contrail.plans import (  # noqa: F401
-        alerts_q, display_q, geo_q, ingest_q, routes_q, snapshot_q, streams_q, tracking_q, trails_q,
+        alerts_q, display_q, documents_q, geo_q, ingest_q, routes_q, snapshot_q, streams_q, tracking_q, trails_q,
     )
 
 
