@@ -35,9 +35,11 @@ def read_dimension(spark: SparkSession, path: str, schema: StructType, fmt: str
 
 def airline_lookup(df: DataFrame, airlines: DataFrame, callsign: str = "callsign") -> DataFrame:
     """``upper(strip(callsign))``; the 3-letter prefix, else the 2-letter
-    prefix, else no airline. Two plain left joins; the airline table is small,
-    so Spark broadcasts it from its measured size."""
-    a = airlines.select(F.col("prefix"), F.col("name"), F.col("iata"))
+    prefix, else no airline. Keys of two or three letters or digits, one row
+    each (the least of repeated ones): at most 36**3 + 36**2 rows, a bound that
+    holds for any table, so it is broadcast and rows are not shuffled by airline."""
+    a = airlines.filter(F.col("prefix").rlike("^[A-Z0-9]{2,3}$")).groupBy("prefix").agg(F.min(F.struct("name", "iata")).alias("a"))
+    a = F.broadcast(a.select("prefix", "a.name", "a.iata"))
     clean = F.upper(strip_ws(F.col(callsign)))
     base = df.withColumn("_p3", F.substring(clean, 1, 3)).withColumn("_p2", F.substring(clean, 1, 2))
     a3 = a.select(F.col("prefix").alias("_k3"), F.col("name").alias("_n3"), F.col("iata").alias("_i3"))

@@ -42,7 +42,11 @@ def latest_per_key(
 def within_window(df: DataFrame, as_of, span: str, time_col: str = "time") -> DataFrame:
     """Strict ``time > as_of - span``. Also emits the date predicate so a
     date-partitioned history prunes directories."""
-    lo = ntz(as_of) - F.expr(f"INTERVAL {span}")
+    return since(df, ntz(as_of) - F.expr(f"INTERVAL {span}"), time_col)
+
+
+def since(df: DataFrame, lo, time_col: str = "time") -> DataFrame:
+    """Rows after the instant ``lo``, with the date predicate where there is one."""
     cond = F.col(time_col) > lo
     if "date" in df.columns:
         cond = cond & (F.col("date") >= F.to_date(lo))

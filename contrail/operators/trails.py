@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contrail.functions.phase import CRUISE, GROUND
 from contrail.functions.time import ntz
-from contrail.operators.latest import with_position, within_window
+from contrail.operators.latest import since, with_position, within_window
 from contrail.operators.ordered import top_n_per_key, with_previous
 
 TIME_ORDER = ("time", "event_id")
@@ -82,7 +82,7 @@ def full_flight_points(history: DataFrame, as_of, lookback: str = "48 hours", de
     """
     takeoffs = last_takeoff(history, as_of, lookback, bucket)
     start = F.least(*[ntz(as_of) - F.expr(f"INTERVAL {span}") for span in (lookback, default_span)])
-    pts = with_position(history.filter(F.col("time") > start))
+    pts = with_position(since(history, start))
     lower = F.coalesce(F.col("takeoff_time"), ntz(as_of) - F.expr(f"INTERVAL {default_span}"))
     out = (
         pts.join(takeoffs, "icao24", "left")
