@@ -39,10 +39,10 @@ from contrail.llm.components import components
 WORDS = 5
 PERCENT = 75
 SPARE = 8            # the first pass looks at one column in SPARE more than a bound of 1 needs
-MAP_COLUMNS = 1 << 19  # columns that a map task gathers before it deals them to blocks
+MAP_COLUMNS = 1 << 18  # columns that a map task gathers before it deals them to blocks
 BLOCK_ROWS = 128
 BLOCK_COLUMNS = 4096
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Ids of surviving rows are broadcast up to this many (8 bytes each), which
 #: spares shuffling all texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -94,7 +94,6 @@ def _head(s: np.ndarray, percent: int) -> np.ndarray:
     return s[:n - least_overlap(n, percent) + 1 + n // SPARE]
 
 
-PROFILE = "doc_id long, n long, a long, b long, shared long"
 
 
 def _incidence(words: int, blocks: int, chosen):
@@ -151,41 +150,89 @@ def _incidence(words: int, blocks: int, chosen):
     return run
 
 
-def _occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side, one block of columns: how many of them each row shares."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64())])
-    columns, owners, known = [], [], []
+_BY_ROW = pa.schema([("block", pa.int32())] + [(c, pa.list_(pa.int64())) for c in ("rows", "n", "a", "b", "shared")])
+BY_ROW = "block int, rows array<long>, n array<long>, a array<long>, b array<long>, shared array<long>"
+PROFILE = "doc_id long, n long, a long, b long, shared long"
+
+
+def _by_row(blocks: int, rows: np.ndarray, **columns: np.ndarray) -> list[dict]:
+    """The entries of each block of rows as arrays in one record."""
+    block = rows % blocks
+    order = np.argsort(block, kind="stable")
+    bounds = np.searchsorted(block[order], np.arange(blocks + 1))
+    out = []
+    for k in range(blocks):
+        own = order[bounds[k]:bounds[k + 1]]
+        if len(own):
+            out.append({"block": k, "rows": rows[own], **{c: v[own] for c, v in columns.items()}})
+    return out
+
+
+def _occurring(blocks: int):
+    """One block of columns: how many of them each row shares, dealt on to
+    blocks of rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, owners, known = [], [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["columns"] is None:
+                    has = np.array([x is not None for x in r["rows"]])
+                    col = lambda c: np.array(r[c], np.int64)
+                    rows = np.array([0 if x is None else x for x in r["rows"]], np.int64)
+                    own = {c: col(c) for c in ("n", "a", "b", "shared")}
+                    out = _by_row(blocks, rows[has], **{c: v[has] for c, v in own.items()})
+                    if not has.all():  # rows without a key
+                        out.append({"block": 0, "rows": [None] * int((~has).sum()), **{c: v[~has] for c, v in own.items()}})
+                    yield pa.RecordBatch.from_pylist(out, schema=_BY_ROW)
+                    continue
+                size = np.frombuffer(r["sizes"], "<u4")
+                raw = np.zeros((int(size.sum()), 8), np.uint8)
+                raw[:, :6] = np.frombuffer(r["columns"], np.uint8).reshape(-1, 6)
+                columns.append(raw.view("<u8").ravel())
+                owners.append(np.repeat(np.array([0 if x is None else x for x in r["rows"]], np.int64), size))
+                known.append(np.repeat(np.array([x is None for x in r["rows"]]), size))
+        if not columns:
+            return
+        column, owner, is_known = np.concatenate(columns), np.concatenate(owners), np.concatenate(known)
+        del columns, owners, known
+        _, back, times = np.unique(column, return_inverse=True, return_counts=True)
+        often = times > 1
+        often[back[is_known]] = True
+        rows, shared = np.unique(owner[often[back] & ~is_known], return_counts=True)
+        yield pa.RecordBatch.from_pylist(_by_row(blocks, rows, shared=shared.astype(np.int64)), schema=_BY_ROW)
+
+    return run
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block of rows: the profile of each with the sum of its shared columns."""
+    profiles: list[dict] = []
+    rows, shared = [], []
     for batch in batches:
         for r in batch.to_pylist():
-            if r["columns"] is None:
-                yield pa.RecordBatch.from_pydict({"doc_id": r["rows"], "n": r["n"], "a": r["a"], "b": r["b"], "shared": r["shared"]}, schema=schema)
-                continue
-            size = np.frombuffer(r["sizes"], "<u4")
-            raw = np.zeros((int(size.sum()), 8), np.uint8)
-            raw[:, :6] = np.frombuffer(r["columns"], np.uint8).reshape(-1, 6)
-            columns.append(raw.view("<u8").ravel())
-            owners.append(np.repeat(np.array([0 if x is None else x for x in r["rows"]], np.int64), size))
-            known.append(np.repeat(np.array([x is None for x in r["rows"]]), size))
-    if not columns:
-        return
-    column, owner, is_known = np.concatenate(columns), np.concatenate(owners), np.concatenate(known)
-    _, back, times = np.unique(column, return_inverse=True, return_counts=True)
-    often = times > 1
-    often[back[is_known]] = True
-    rows, shared = np.unique(owner[often[back] & ~is_known], return_counts=True)
-    if len(rows):
-        none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(rows), none, none, none, pa.array(shared.astype(np.int64))], schema=schema)
+            if r["n"] is not None:
+                profiles.append(r)
+            if r["rows"] and r["rows"][0] is not None:
+                rows.append(np.array(r["rows"], np.int64))
+                shared.append(np.array(r["shared"], np.int64))
+    if rows:
+        ids, back = np.unique(np.concatenate(rows), return_inverse=True)
+        total = dict(zip(ids.tolist(), np.bincount(back, weights=np.concatenate(shared)).astype(np.int64).tolist()))
+    for r in profiles:
+        yield pa.RecordBatch.from_pydict({"doc_id": r["rows"], "n": r["n"], "a": r["a"], "b": r["b"], "shared": [
+            0 if x is None else total[x] for x in r["rows"]]}, schema=pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "a", "b", "shared")]))
 
 
 def occurrences(rows: DataFrame, words: int, chosen) -> DataFrame:
-    """doc_id, n, a, b (size and print of the set) per row; and, in rows with
-    null n, shared: numbers of chosen columns that other rows have too."""
+    """doc_id, n, a, b (size and print of the set) and shared (how many chosen
+    columns other rows have too) per row. Columns are dealt to blocks, counted
+    there, and the counts dealt on to blocks of rows and summed."""
     blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = ("block int, rows array<long>, sizes binary, columns binary, n array<long>, a array<long>, "
             "b array<long>, shared array<long>")
     dealt = rows.select("doc_id", "text").mapInArrow(_incidence(words, blocks, chosen), kind).repartition(blocks, "block")
-    return dealt.mapInArrow(_occurring, PROFILE)
+    counted = dealt.mapInArrow(_occurring(blocks), BY_ROW).repartition(blocks, "block")
+    return counted.mapInArrow(_totals, PROFILE)
 
 
 def _sets(words: int):
@@ -201,8 +248,7 @@ def _sets(words: int):
 
 def surviving(profile: DataFrame, least) -> DataFrame:
     """a, b, doc_id (one of the class) of classes with enough shared columns."""
-    shared = profile.filter("doc_id is not null").groupBy("doc_id").agg(F.sum("shared").alias("all_shared"))
-    live = profile.filter("n > 0").select("doc_id", "n", "a", "b").join(shared, "doc_id").filter(F.col("all_shared") >= least)
+    live = profile.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0) & (F.col("shared") >= least))
     return live.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"))
 
 
@@ -356,7 +402,6 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     members = landed(families(prefixes(sets, percent)), "ngram-families")
     found = links(sets, members, percent)
 
-    profile = profile.filter("n is not null")
     classes = profile.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("first_id"))
     ids = live.select(F.col("a").alias("node"), F.col("doc_id").alias("id"))
     ends = (found.join(ids.withColumnsRenamed({"node": "x", "id": "x_id"}), "x")
