@@ -13,15 +13,16 @@ import statistics
 import sys
 import time
 
+from pyspark.sql import SparkSession
+
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from contrail.plans.registry import queries  # noqa: E402
-from contrail.session import local_session  # noqa: E402
 
 HEADLINE = [
     "trail_points", "full_flight_points", "latest_by_time", "due_alerts",
     "snapshot_hot_or_cold", "flight_events", "trail_paths", "route_pick", "clean_raw",
-    "path_length", "route_interpolation", "search_prefix", "state_merge",
+    "path_length", "route_interpolation", "search_prefix", "state_merge", "deadband",
 ]
 
 
@@ -33,7 +34,11 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    spark = local_session("contrail-bench", cores=cpus, shuffle_partitions=int(cpus) * 2)
+    # a plain session, as a user makes it: no setting of this package's own
+    spark = (SparkSession.builder.master(f"local[{cpus}]").appName("contrail-bench")
+             .config("spark.ui.enabled", "false").config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
+             .config("spark.sql.shuffle.partitions", str(int(cpus) * 2)).getOrCreate())
+    spark.sparkContext.setLogLevel("ERROR")
     qs = queries()
     out: dict[str, float] = {}
     for name in HEADLINE:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from contrail.functions.geo import bearing, interpolate, planar_length
 from contrail.operators.latest import with_position
@@ -72,197 +70,83 @@ def interpolate_along(lengths: DataFrame, fractions: Sequence[float], bucket_wid
     )
 
 
-def deadband_single_pass(history: DataFrame, threshold: float = 0.001, order: Sequence[str] = ORDER,
-                         partitions: int | None = None) -> DataFrame:
-    """P17 in one pass: rows clustered by aircraft and sorted by time, folded
-    per partition, streaming batch by batch with the last kept point carried
-    across batches (nothing gathered per key). Every row of an aircraft is
-    folded by one task, so this is the form for small inputs and the
-    reference for ``deadband``."""
-    pts = with_position(history).select("icao24", *order, "latitude", "longitude")
-    n = partitions or history.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    clustered = pts.repartition(int(n), "icao24").sortWithinPartitions("icao24", *order)
-    thr = float(threshold)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ref_lat, ref_lon = None, None, None
-        for pdf in batches:
-            keep = []
-            for k, la, lo in zip(pdf["icao24"].to_numpy(), pdf["latitude"].to_numpy(), pdf["longitude"].to_numpy()):
-                if k != key:
-                    key, ref_lat, ref_lon = k, la, lo
-                    keep.append(True)
-                elif abs(lo - ref_lon) >= thr or abs(la - ref_lat) >= thr:
-                    ref_lat, ref_lon = la, lo
-                    keep.append(True)
-                else:
-                    keep.append(False)
-            yield pdf[keep]
-
-    return clustered.mapInPandas(fold, clustered.schema)
-
-
-# --- P17 split by time chunk ------------------------------------------------
-_CHUNK_SUMMARY = ("icao24 string, _c long, s_lat double, s_lon double, "
-                  "lo_lat double, hi_lat double, lo_lon double, hi_lon double")
-_REFS = "icao24 string, _c long, r_lat double, r_lon double"
-
+_REF = "struct<lat:double,lon:double>"
 
-def _chunk_folds(rows: Iterator[pd.DataFrame], thr: float, emit_points: bool) -> Iterator[pd.DataFrame]:
-    """Fold every (aircraft, chunk) run of rows sorted by (icao24, _c, order).
 
-    Each row carries the chunk's incoming reference point (``r_lat/r_lon``,
-    null = start by keeping the first point). With ``emit_points`` kept rows
-    are yielded (``_kind`` 0) followed by one summary row per chunk
-    (``_kind`` 1: the reference it started from and the last kept point);
-    without, only per-chunk summaries of the start-at-first-point fold plus
-    the chunk's bounding box."""
-    cur = columns = None  # (key, chunk)
-    ref = start = None
-    box = None
-    for pdf in rows:
-        columns = list(pdf.columns) + ["_kind", "t_lat", "t_lon"]
-        dtypes = pdf.dtypes
-        keys, cs = pdf["icao24"].to_numpy(), pdf["_c"].to_numpy()
-        las, los = pdf["latitude"].to_numpy(), pdf["longitude"].to_numpy()
-        rla, rlo = pdf["r_lat"].to_numpy(), pdf["r_lon"].to_numpy()
-        keep, summaries = [], []
-        for i in range(len(pdf)):
-            k, c, la, lo = keys[i], cs[i], las[i], los[i]
-            if (k, c) != cur:
-                if cur is not None:
-                    summaries.append((cur, start, ref, box))
-                cur = (k, c)
-                start = None if pd.isna(rla[i]) else (rla[i], rlo[i])
-                ref = start
-                box = [la, la, lo, lo]
-            else:
-                box = [min(box[0], la), max(box[1], la), min(box[2], lo), max(box[3], lo)]
-            if ref is None or abs(lo - ref[1]) >= thr or abs(la - ref[0]) >= thr:
-                ref = (la, lo)
-                keep.append(True)
-            else:
-                keep.append(False)
-        if emit_points:
-            kept = pdf[keep].assign(_kind=0, t_lat=float("nan"), t_lon=float("nan"))
-            parts = [f for f in (kept, _summary_frame(summaries).reindex(columns=columns)) if len(f)]
-            if parts:
-                yield _typed(pd.concat(parts, ignore_index=True)[columns], dtypes)
-        elif summaries:
-            yield _box_frame(summaries)
-    if cur is not None:
-        if emit_points:
-            yield _typed(_summary_frame([(cur, start, ref, box)]).reindex(columns=columns), dtypes)
-        else:
-            yield _box_frame([(cur, start, ref, box)])
+def _far(p: Column, ref: Column, thr: float) -> Column:
+    """The point lies at least ``thr`` degrees from the reference (or there is none)."""
+    return ref.isNull() | (F.abs(p["lat"] - ref["lat"]) >= thr) | (F.abs(p["lon"] - ref["lon"]) >= thr)
 
 
-def _typed(out: pd.DataFrame, dtypes) -> pd.DataFrame:
-    """Summary rows leave the point columns empty; keep timestamps typed."""
-    for name, dt in dtypes.items():
-        if str(dt).startswith("datetime64") and out[name].dtype != dt:
-            out[name] = pd.to_datetime(out[name])
-    return out
+def _chunk_fold(points: Column, ref: Column, thr: float) -> Column:
+    """Fold the ordered points of a chunk from a reference: struct(ref, kept)."""
+    none = F.filter(points, lambda _: F.lit(False))
+    place = lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")).cast(_REF)
+    return F.aggregate(
+        points, F.struct(ref.alias("ref"), none.alias("kept")),
+        lambda s, p: F.when(_far(p, s["ref"], thr), F.struct(
+            place(p).alias("ref"), F.concat(s["kept"], F.array(p)).alias("kept"))).otherwise(s))
 
 
-def _summary_frame(summaries) -> pd.DataFrame:
-    return pd.DataFrame({
-        "icao24": [s[0][0] for s in summaries], "_c": [s[0][1] for s in summaries], "_kind": 1,
-        "r_lat": pd.Series([None if s[1] is None else s[1][0] for s in summaries], dtype="float64"),
-        "r_lon": pd.Series([None if s[1] is None else s[1][1] for s in summaries], dtype="float64"),
-        "t_lat": [s[2][0] for s in summaries], "t_lon": [s[2][1] for s in summaries],
-    })
+def _references(chunks: DataFrame, thr: float) -> DataFrame:
+    """The reference point that each chunk starts from, as far as it is known:
+    a fold along the chunks of an aircraft (one narrow row each). After a
+    chunk the reference is unchanged if the whole chunk lies inside the
+    reference's box (a parked aircraft); the known end if the chunk was folded
+    from this very reference; else the end of the fold from its own first
+    point, a guess that the next round verifies."""
+    row = F.struct("_c", "alone", "box", "used", "end")
 
+    def after(ref: Column, c: Column) -> Column:
+        inside = ((c["box"]["hi_lat"] - ref["lat"] < thr) & (ref["lat"] - c["box"]["lo_lat"] < thr)
+                  & (c["box"]["hi_lon"] - ref["lon"] < thr) & (ref["lon"] - c["box"]["lo_lon"] < thr))
+        return (F.when(ref.isNull(), c["alone"]).when(inside, ref)
+                .when(c["used"].eqNullSafe(ref), c["end"]).otherwise(c["alone"]))
 
-def _box_frame(summaries) -> pd.DataFrame:
-    return pd.DataFrame({
-        "icao24": [s[0][0] for s in summaries], "_c": [s[0][1] for s in summaries],
-        "s_lat": [s[2][0] for s in summaries], "s_lon": [s[2][1] for s in summaries],
-        "lo_lat": [s[3][0] for s in summaries], "hi_lat": [s[3][1] for s in summaries],
-        "lo_lon": [s[3][2] for s in summaries], "hi_lon": [s[3][3] for s in summaries],
-    })
-
-
-def _resolve(summary: DataFrame, thr: float, n: int) -> DataFrame:
-    """Incoming reference of every chunk, folding over the per-chunk summary
-    rows (one per aircraft and chunk, streamed in chunk order). The first
-    chunk starts fresh. After a chunk: its reference is unchanged when the
-    whole chunk lies inside the reference's box (exact, from the bounding
-    box: a parked aircraft); the known end when the chunk was already folded
-    from this very reference (exact); otherwise the end of the
-    start-at-first-point fold (a guess, verified after the pass)."""
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ref = None, None
-        for pdf in batches:
-            out_r = []
-            for row in pdf.itertuples(index=False):
-                if row.icao24 != key:
-                    key, ref = row.icao24, None
-                out_r.append(ref)
-                if ref is None:
-                    ref = (row.s_lat, row.s_lon)
-                elif (row.hi_lat - ref[0] < thr and ref[0] - row.lo_lat < thr
-                      and row.hi_lon - ref[1] < thr and ref[1] - row.lo_lon < thr):
-                    pass
-                elif not pd.isna(row.k_lat) and (row.k_lat, row.k_lon) == ref:
-                    ref = (row.t_lat, row.t_lon)
-                else:
-                    ref = (row.s_lat, row.s_lon)
-            yield pd.DataFrame({"icao24": pdf["icao24"], "_c": pdf["_c"],
-                                "r_lat": pd.Series([None if r is None else r[0] for r in out_r], dtype="float64",
-                                                   index=pdf.index),
-                                "r_lon": pd.Series([None if r is None else r[1] for r in out_r], dtype="float64",
-                                                   index=pdf.index)})
-
-    ordered = summary.repartition(n, "icao24").sortWithinPartitions("icao24", "_c")
-    return ordered.mapInPandas(fold, _REFS)
+    start = F.struct(F.lit(None).cast(_REF).alias("ref"), F.array().cast(f"array<{_REF}>").alias("refs"))
+    refs = F.aggregate("rows", start, lambda s, c: F.struct(
+        after(s["ref"], c).alias("ref"), F.concat(s["refs"], F.array(s["ref"])).alias("refs")), lambda s: s["refs"])
+    lists = chunks.groupBy("icao24").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    each = lists.select("icao24", F.explode(F.arrays_zip(F.col("rows._c").alias("c"), refs.alias("ref"))).alias("x"))
+    return each.select("icao24", F.col("x.c").alias("_c"), F.col("x.ref").alias("ref"))
 
 
 def deadband(history: DataFrame, threshold: float = 0.001, order: Sequence[str] = ORDER,
-             chunk: Column | None = None, partitions: int | None = None) -> DataFrame:
+             chunk: Column | None = None) -> DataFrame:
     """Keep a point only when it moved at least ``threshold`` degrees in
     latitude or longitude from the last *kept* point of the same aircraft.
 
     The fold is sequential, but it restarts at every kept point, so it is
-    split by (aircraft, time chunk) and each chunk only needs its incoming
-    reference point. Pass A folds every chunk from its own first point
-    (summary: end point, bounding box); a fold over the small per-chunk
-    table picks each chunk's incoming reference (see ``_resolve``); pass B
-    folds every chunk from that reference and records where it ended. When
-    every chunk's end equals the reference the next chunk started from, the
-    result is the sequential one; otherwise the chunks folded from a right
-    reference are now known exactly and the loop resolves again (each round
-    fixes at least the first wrong chunk of every aircraft; usually none is
-    wrong). ``chunk`` is a coarse, time-monotone long per row (default: the
-    hour). A hot aircraft is spread over its chunks; no task holds more than
-    one chunk's rows at a time.
+    split by (aircraft, time chunk) and each chunk only needs the reference it
+    starts from. The points are gathered once, one bounded array per chunk;
+    every chunk is folded from its own first point; then references are
+    resolved (``_references``) and only chunks whose reference changed are
+    folded again, until none changes. Each round settles at least the first
+    open chunk of every aircraft. ``chunk`` is a coarse, time-monotone long per
+    row (default: the hour); a hot aircraft is spread over its chunks.
     """
-    spark = history.sparkSession
-    n = int(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
     thr = float(threshold)
     c = chunk if chunk is not None else F.floor(F.unix_micros(F.col("time").cast("timestamp")) / F.lit(3_600_000_000))
-    pts = with_position(history).select("icao24", *order, "latitude", "longitude", F.coalesce(c.cast("long"), F.lit(-(2 ** 62))).alias("_c"))
-
-    def clustered(df: DataFrame) -> DataFrame:
-        return df.repartition(n, "icao24", "_c").sortWithinPartitions("icao24", "_c", *order)
-
-    fresh = pts.withColumn("r_lat", F.lit(None).cast("double")).withColumn("r_lon", F.lit(None).cast("double"))
-    boxes = materialize(clustered(fresh).mapInPandas(lambda it: _chunk_folds(it, thr, False), _CHUNK_SUMMARY))
-    known = boxes.select("icao24", "_c", *[F.lit(None).cast("double").alias(x) for x in ("k_lat", "k_lon", "t_lat", "t_lon")])
-    out_schema = StructType([StructField(f.name, f.dataType, True) for f in pts.schema.fields] + [
-        StructField("r_lat", DoubleType()), StructField("r_lon", DoubleType()), StructField("_kind", IntegerType()),
-        StructField("t_lat", DoubleType()), StructField("t_lon", DoubleType())])
-    w = Window.partitionBy("icao24").orderBy("_c")
+    item = F.struct(*order, F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    points = materialize(
+        with_position(history).withColumn("_c", F.coalesce(c.cast("long"), F.lit(-(2 ** 62))))
+        .groupBy("icao24", "_c").agg(F.array_sort(F.collect_list(item)).alias("points")))
+    none = F.lit(None).cast(_REF)
+    lat, lon = (F.transform("points", lambda p: p["lat"]), F.transform("points", lambda p: p["lon"]))
+    box = F.struct(F.array_min(lat).alias("lo_lat"), F.array_max(lat).alias("hi_lat"),
+                   F.array_min(lon).alias("lo_lon"), F.array_max(lon).alias("hi_lon"))
+    fold = lambda ref: _chunk_fold(F.col("points"), ref, thr)
+    done = materialize(points.select("icao24", "_c", box.alias("box"), none.alias("used"), fold(none).alias("f")).select(
+        "icao24", "_c", "box", "used", F.col("f.ref").alias("end"), F.col("f.ref").alias("alone"), F.col("f.kept").alias("kept")))
     while True:
-        refs = _resolve(boxes.join(known, ["icao24", "_c"]), thr, n)
-        folded = materialize(clustered(pts.join(refs, ["icao24", "_c"])).mapInPandas(
-            lambda it: _chunk_folds(it, thr, True), out_schema))
-        ends = folded.filter(F.col("_kind") == 1).select(
-            "icao24", "_c", F.col("r_lat").alias("k_lat"), F.col("r_lon").alias("k_lon"), "t_lat", "t_lon")
-        wrong = ends.select(
-            "k_lat", "k_lon", F.lag("t_lat").over(w).alias("p_lat"), F.lag("t_lon").over(w).alias("p_lon"),
-            F.row_number().over(w).alias("_i"),
-        ).filter((F.col("_i") > 1) & ~(F.col("k_lat").eqNullSafe(F.col("p_lat")) & F.col("k_lon").eqNullSafe(F.col("p_lon"))))
-        if wrong.isEmpty():
-            return folded.filter(F.col("_kind") == 0).select("icao24", *order, "latitude", "longitude")
-        known = ends
+        refs = _references(done, thr)
+        changed = materialize(done.select("icao24", "_c", "used", "box", "alone").join(refs, ["icao24", "_c"])
+                              .filter(~F.col("used").eqNullSafe(F.col("ref"))).drop("used"))
+        if changed.isEmpty():
+            kept = done.select("icao24", F.explode("kept").alias("p"))
+            return kept.select("icao24", *[F.col(f"p.{o}").alias(o) for o in order],
+                               F.col("p.lat").alias("latitude"), F.col("p.lon").alias("longitude"))
+        again = points.join(changed, ["icao24", "_c"]).withColumn("f", fold(F.col("ref"))).select(
+            "icao24", "_c", "box", F.col("ref").alias("used"), F.col("f.ref").alias("end"), "alone", F.col("f.kept").alias("kept"))
+        done = materialize(done.join(changed.select("icao24", "_c"), ["icao24", "_c"], "left_anti")
+                           .select(*again.columns).unionByName(again))

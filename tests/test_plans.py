@@ -6,7 +6,7 @@ from contrail.plans.registry import queries
 from tests.conftest import SF_SMALL
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
-PYTHON_OK = {"deadband", "stream_enrich", "stream_latest", "stream_trail", "history_append_replay", "snapshot_ticks"}
+PYTHON_OK = {"ingest_accounting", "stream_enrich", "stream_latest", "stream_trail", "history_append_replay", "snapshot_ticks"}
 
 
 def plan(df) -> str:
