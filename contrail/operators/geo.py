@@ -108,7 +108,9 @@ def _references(chunks: DataFrame, thr: float) -> DataFrame:
         after(s["ref"], c).alias("ref"), F.concat(s["refs"], F.array(s["ref"])).alias("refs")), lambda s: s["refs"])
     lists = chunks.groupBy("icao24").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     each = lists.select("icao24", F.explode(F.arrays_zip(F.col("rows._c").alias("c"), refs.alias("ref"))).alias("x"))
-    return each.select("icao24", F.col("x.c").alias("_c"), F.col("x.ref").alias("ref"))
+    # dealt by both keys: left as it is, partitioned by aircraft, it would draw
+    # the joined points of a hot aircraft into one task
+    return each.select("icao24", F.col("x.c").alias("_c"), F.col("x.ref").alias("ref")).repartition("icao24", "_c")
 
 
 def deadband(history: DataFrame, threshold: float = 0.001, order: Sequence[str] = ORDER,
