@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,9 +32,9 @@ from contrail.llm.ngram_join import WordHash, word_hashes
 
 MIN_WORDS = 50
 NEAREST = 4
-#: Positions of documents with shared suffixes are broadcast up to this many
-#: (under 32 bytes each), which spares shuffling all texts; else joined.
-BROADCAST_SUFFIXES = 1_000_000
+#: Hashes of shared suffixes, by document, are broadcast up to this many (under
+#: 16 bytes each), which spares shuffling all texts; else joined.
+BROADCAST_SUFFIXES = 4_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -117,22 +118,22 @@ def _contexts(min_words: int):
             at = at[np.isin(h[at].view(np.int64), np.array(wanted, np.int64))]
             small = (words >> np.uint64(32)).astype(">u4")
             padded = np.concatenate([np.zeros(reach, ">u4"), small, np.zeros(reach, ">u4")])
-            views = np.lib.stride_tricks.sliding_window_view(padded, reach) if reach else None
+            views = np.lib.stride_tricks.sliding_window_view(padded, reach)
+            same: dict[tuple, list[int]] = {}  # a repetitive text has many suffixes that look alike
             for p in at.tolist():
-                out["h"].append(int(h[p].view(np.int64)))
-                out["after"].append(views[p + k + reach].tobytes() if reach else b"")
-                out["before"].append(views[p][::-1].tobytes() if reach else b"")
-                out["doc_id"].append(i)
-                out["at"].append(p)
-                out["n_after"].append(min(reach, len(words) - p - k))
-                out["n_before"].append(min(reach, p))
+                seen = (int(h[p].view(np.int64)), views[p + k + reach].tobytes(), views[p][::-1].tobytes(),
+                        min(reach, len(words) - p - k), min(reach, p))
+                same.setdefault(seen, []).append(p)
+            for (gram, after, before, n_after, n_before), places in same.items():
+                for c, v in zip(out, (gram, after, before, i, places, n_after, n_before)):
+                    out[c].append(v)
         return out
 
     return run
 
 
-SUFFIX = "h long, after binary, before binary, doc_id long, at int, n_after int, n_before int"
-ORDER = ["h", "after", "before", "doc_id", "at"]
+SUFFIX = "h long, after binary, before binary, doc_id long, at array<int>, n_after int, n_before int"
+ORDER = ["h", "after", "before", "doc_id", "n_after", "n_before"]
 SPANS = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("other", pa.int64())])
 
 
@@ -142,7 +143,11 @@ class _Rows:
     def __init__(self, table: pa.Table, reach: int):
         num = lambda c: table.column(c).to_numpy()
         self.table = table
-        self.h, self.doc, self.at, self.n_after, self.n_before = map(num, ("h", "doc_id", "at", "n_after", "n_before"))
+        self.h, self.doc, self.n_after, self.n_before = map(num, ("h", "doc_id", "n_after", "n_before"))
+        places = table.column("at").combine_chunks()
+        self.places = places.flatten().to_numpy(zero_copy_only=False)
+        self.n_places = pc.list_value_length(places).to_numpy(zero_copy_only=False)
+        self.first_place = np.cumsum(self.n_places) - self.n_places
         words = lambda c: np.frombuffer(b"".join(table.column(c).to_pylist()), ">u4").reshape(-1, reach)
         self.after, self.before = words("after"), words("before")
 
@@ -175,7 +180,9 @@ def compared(r: _Rows, k: int, min_words: int) -> pa.RecordBatch:
         left = _common(r.before[i], r.before[j], np.minimum(r.n_before[i], r.n_before[j]))
         good = left + k + right >= min_words
         i, j, left, right = i[good], j[good], left[good], right[good]
-        out.append((r.doc[i], r.at[i] - left, r.at[i] + k + right, r.doc[j]))
+        n_at = r.n_places[i]
+        at = r.places[np.repeat(r.first_place[i], n_at) + np.arange(n_at.sum()) - np.repeat(np.cumsum(n_at) - n_at, n_at)]
+        out.append((np.repeat(r.doc[i], n_at), at - np.repeat(left, n_at), at + k + np.repeat(right, n_at), np.repeat(r.doc[j], n_at)))
     cols = [np.concatenate(c) for c in zip(*out)]
     whole, first = np.unique(np.stack(cols[:3], axis=1), axis=0, return_index=True) if len(cols[0]) else (np.empty((0, 3), int), [])
     return pa.RecordBatch.from_arrays([pa.array(whole[:, 0]), pa.array(whole[:, 1].astype(np.int32)),
@@ -227,7 +234,7 @@ def united(spans: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Passages of at least ``min_words`` words that also occur in another document.
+    """Passages of at least ``min_words`` (2 or more) words that also occur in another document.
 
     One row per passage: doc_id, start_word and end_word (words counted from 0,
     end exclusive; words are what ASCII white space parts), n_words, and
