@@ -160,7 +160,8 @@ class ByteBpe:
         word = texts.select(F.explode(self.words(texts[column])).alias("word"))
         top = (word.filter((F.length("word") <= FREQUENT_CHARS) & ~F.col("word").rlike(f"[{MARK}{SEP}]"))
                .groupBy("word").count().orderBy(F.desc("count"), "word").limit(most))
-        coded = top.select("word", F.array_join(self.encode_word(F.col("word")).cast("array<string>"), " ").alias("ids"))
+        parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        coded = top.repartition(parts, "word").select("word", F.array_join(self.encode_word(F.col("word")).cast("array<string>"), " ").alias("ids"))
         buckets = [""] * WORD_BUCKETS
         for r in coded.toLocalIterator():
             buckets[zlib.crc32(r["word"].encode("utf-8")) % WORD_BUCKETS] += f"{MARK}{r['word']}{SEP}{r['ids']}"
