@@ -1,28 +1,26 @@
-"""Operator 1: repeated passages by a sparse suffix array.
+"""Operator 1: repeated passages by sparse suffixes.
 
 Of all suffixes (word positions) only those are kept at which a k-gram is the
 minimum of a window of WINDOW k-grams under a hash; the choice depends on the
-content alone, so two copies of a passage of at least k + WINDOW - 1 words keep
-a suffix at the same place. Suffixes whose k-gram occurs in one document only
-go. The others are sorted by k-gram, by the words that follow and by the words
-before; each is compared with the NEAREST neighbours on either side that are of
-another document, and the match is extended word by word to the left and to
-the right. (The nearest one has the longest match to the right; the others are
-there for matches that reach further to the left.) An extension never has to look further than WINDOW - 1 words: beyond
-that the next kept suffix takes over, and overlapping spans are united.
-
-Sorting is by ranges of the whole key, so a passage that very many documents
-share is dealt over as many tasks as its suffixes need. Neighbours across the
-borders of two tasks are compared in a last small step.
+content alone, so two copies of a passage of k + WINDOW - 1 = min_words words
+keep a suffix at the same place. Suffixes whose k-gram occurs in one document
+only go. Every stretch of min_words words whose least k-gram is one of the
+others is told apart by that k-gram and a hash of the stretch (128 bits
+together). A stretch found in two documents is a repeated passage; all its
+places are marked and overlapping ones united.
+
+That is exact: a passage of min_words or more consists of such stretches, and
+each of them has the same least k-gram in all its copies. Nothing is paired; a
+passage that very many documents share is a grouped minimum and maximum,
+partially aggregated in the map tasks, and a join back. To move less, stretches
+that lie side by side and have the same least k-gram travel as one run: runs
+that are found in two documents are settled whole, and only k-grams of which
+some run is found in one document are taken apart into stretches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,7 +29,6 @@ from contrail.llm.common import by_rows, landed
 from contrail.llm.ngram_join import WordHash, word_hashes
 
 MIN_WORDS = 50
-NEAREST = 4
 #: Hashes of shared suffixes, by document, are broadcast up to this many (under
 #: 16 bytes each), which spares shuffling all texts; else joined.
 BROADCAST_SUFFIXES = 4_000_000
@@ -41,7 +38,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def shape(min_words: int) -> tuple[int, int]:
-    """k and window: k + window - 1 words are the shortest passage found for sure."""
+    """k and window: k + window - 1 words are the shortest passage."""
     k = max(1, min_words // 2)
     return k, min_words - k + 1
 
@@ -65,26 +62,35 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-def kgrams(words: np.ndarray, k: int, powers: Powers) -> np.ndarray:
-    """A 64-bit hash of the k words from each position."""
+def stretches(words: np.ndarray, begin, end, powers: Powers) -> np.ndarray:
+    """A 64-bit hash of the words from each ``begin`` up to its ``end`` (indices or slices)."""
     n = len(words)
-    if n < k:
-        return np.empty(0, np.uint64)
     up, down = powers.get(n + 1)
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:n], dtype=np.uint64)])
-        h = (total[k:] - total[:n - k + 1]) * down[:n - k + 1]
+        h = (total[end] - total[begin]) * down[begin]
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
 
+def kgrams(words: np.ndarray, k: int, powers: Powers) -> np.ndarray:
+    """A 64-bit hash of the k words from each position."""
+    n = len(words)
+    if n < k:
+        return np.empty(0, np.uint64)
+    return stretches(words, slice(0, n - k + 1), slice(k, n + 1), powers)
+
+
+def least_of(h: np.ndarray, window: int) -> np.ndarray:
+    """Position of the (leftmost) minimum of each window of hashes."""
+    at = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1)
+    return at + np.arange(len(at))
+
+
 def minimisers(h: np.ndarray, window: int) -> np.ndarray:
     """Positions that are the (leftmost) minimum of some window of hashes."""
-    if len(h) < window:
-        return np.empty(0, np.int64)
-    at = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1)
-    return np.unique(at + np.arange(len(at)))
+    return np.unique(least_of(h, window)) if len(h) >= window else np.empty(0, np.int64)
 
 
 def _suffixes(min_words: int):
@@ -103,122 +109,37 @@ def _suffixes(min_words: int):
     return run
 
 
-def _contexts(min_words: int):
-    """Suffixes of the wanted k-grams, with the words around them as numbers."""
+def _runs(min_words: int):
+    """Stretches of ``min_words`` words that lie side by side and have the same wanted k-gram as their least one."""
     cache, powers = WordHash(), Powers()
     k, window = shape(min_words)
-    reach = window - 1
 
     def run(cols: dict) -> dict:
-        out: dict[str, list] = {c: [] for c in ("h", "after", "before", "doc_id", "at", "n_after", "n_before")}
+        out: dict[str, list] = {c: [] for c in ("h", "g", "doc_id", "first", "parts")}
         for i, t, wanted in zip(cols["doc_id"], cols["text"], cols["wanted"]):
             words = word_hashes(t, cache, lower=False)
             h = kgrams(words, k, powers)
-            at = minimisers(h, window)
-            at = at[np.isin(h[at].view(np.int64), np.array(wanted, np.int64))]
-            small = (words >> np.uint64(32)).astype(">u4")
-            padded = np.concatenate([np.zeros(reach, ">u4"), small, np.zeros(reach, ">u4")])
-            views = np.lib.stride_tricks.sliding_window_view(padded, reach)
-            same: dict[tuple, list[int]] = {}  # a repetitive text has many suffixes that look alike
-            for p in at.tolist():
-                seen = (int(h[p].view(np.int64)), views[p + k + reach].tobytes(), views[p][::-1].tobytes(),
-                        min(reach, len(words) - p - k), min(reach, p))
-                same.setdefault(seen, []).append(p)
-            for (gram, after, before, n_after, n_before), places in same.items():
-                for c, v in zip(out, (gram, after, before, i, places, n_after, n_before)):
-                    out[c].append(v)
+            if len(h) < window:
+                continue
+            at = least_of(h, window)
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            end = np.append(first[1:], len(at))
+            own = np.isin(h[at[first]].view(np.int64), np.array(wanted, np.int64))
+            first, end = first[own], end[own]
+            parts = kgrams(words, min_words, powers).view(np.int64)
+            out["h"] += h[at[first]].view(np.int64).tolist()
+            out["g"] += stretches(words, first, end + min_words - 1, powers).view(np.int64).tolist()
+            out["doc_id"] += [i] * len(first)
+            out["first"] += first.tolist()
+            out["parts"] += [parts[x:y] for x, y in zip(first.tolist(), end.tolist())]
         return out
 
     return run
 
 
-SUFFIX = "h long, after binary, before binary, doc_id long, at array<int>, n_after int, n_before int"
-ORDER = ["h", "after", "before", "doc_id", "n_after", "n_before"]
-SPANS = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("other", pa.int64())])
-
-
-class _Rows:
-    """Consecutive sorted suffixes as arrays."""
-
-    def __init__(self, table: pa.Table, reach: int):
-        num = lambda c: table.column(c).to_numpy()
-        self.table = table
-        self.h, self.doc, self.n_after, self.n_before = map(num, ("h", "doc_id", "n_after", "n_before"))
-        places = table.column("at").combine_chunks()
-        self.places = places.flatten().to_numpy(zero_copy_only=False)
-        self.n_places = pc.list_value_length(places).to_numpy(zero_copy_only=False)
-        self.first_place = np.cumsum(self.n_places) - self.n_places
-        words = lambda c: np.frombuffer(b"".join(table.column(c).to_pylist()), ">u4").reshape(-1, reach)
-        self.after, self.before = words("after"), words("before")
-
-
-def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Length of the common beginning of each pair of rows."""
-    differ = np.concatenate([a != b, np.ones((len(a), 1), bool)], axis=1)
-    return np.minimum(differ.argmax(axis=1), most)
-
-
-def _runs(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Where runs of suffixes of one k-gram and one document begin."""
-    return np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]))
-
-
-def compared(r: _Rows, k: int, min_words: int) -> pa.RecordBatch:
-    """Spans of suffixes that match a near neighbour of another document."""
-    n = len(r.h)
-    starts = _runs(r.doc, r.h)
-    mine = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
-    bounds = np.append(starts, n)
-    out = []
-    for step in [*range(-NEAREST, 0), *range(1, NEAREST + 1)]:
-        run = mine + step
-        i = np.flatnonzero((run >= 0) & (run < len(starts)))
-        j = bounds[run[i] + 1] - 1 if step < 0 else bounds[run[i]]
-        same = (r.h[i] == r.h[j]) & (r.doc[i] != r.doc[j])
-        i, j = i[same], j[same]
-        right = _common(r.after[i], r.after[j], np.minimum(r.n_after[i], r.n_after[j]))
-        left = _common(r.before[i], r.before[j], np.minimum(r.n_before[i], r.n_before[j]))
-        good = left + k + right >= min_words
-        i, j, left, right = i[good], j[good], left[good], right[good]
-        n_at = r.n_places[i]
-        at = r.places[np.repeat(r.first_place[i], n_at) + np.arange(n_at.sum()) - np.repeat(np.cumsum(n_at) - n_at, n_at)]
-        out.append((np.repeat(r.doc[i], n_at), at - np.repeat(left, n_at), at + k + np.repeat(right, n_at), np.repeat(r.doc[j], n_at)))
-    cols = [np.concatenate(c) for c in zip(*out)]
-    whole, first = np.unique(np.stack(cols[:3], axis=1), axis=0, return_index=True) if len(cols[0]) else (np.empty((0, 3), int), [])
-    return pa.RecordBatch.from_arrays([pa.array(whole[:, 0]), pa.array(whole[:, 1].astype(np.int32)),
-                                       pa.array(whole[:, 2].astype(np.int32)), pa.array(cols[3][first])], schema=SPANS)
-
-
-def _neighbours(min_words: int, borders: bool):
-    """Compare neighbours within a sorted partition (``borders`` False), or
-    return the first and the last NEAREST runs of the partition (True)."""
-    k, window = shape(min_words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the runs that what is still to come may be compared with
-        head_done = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            piece = pa.Table.from_batches([batch])
-            table = piece if held is None else pa.concat_tables([held, piece])
-            starts = _runs(table.column("doc_id").to_numpy(), table.column("h").to_numpy())
-            if borders and not head_done and len(starts) > NEAREST:
-                yield from table.slice(0, int(starts[NEAREST])).combine_chunks().to_batches()
-                head_done = True
-            if not borders and len(starts) > 2 * NEAREST:
-                yield compared(_Rows(table, window - 1), k, min_words)
-            # the last run may go on, so one more; all of it while the head is not complete
-            keep = len(starts) - 2 * NEAREST - 1
-            held = table.slice(int(starts[keep])) if keep > 0 and (head_done or not borders) else table
-        if held is not None:
-            if not borders:
-                yield compared(_Rows(held, window - 1), k, min_words)
-            else:
-                starts = _runs(held.column("doc_id").to_numpy(), held.column("h").to_numpy())
-                yield from held.slice(int(starts[max(0, len(starts) - NEAREST)])).combine_chunks().to_batches()
-
-    return run
+def _small(rows: DataFrame, weight: int = 1) -> DataFrame:
+    """To be broadcast if it takes no more than BROADCAST_SUFFIXES hashes (a row as many as ``weight``)."""
+    return F.broadcast(rows) if rows.count() * weight <= BROADCAST_SUFFIXES else rows
 
 
 def united(spans: DataFrame) -> DataFrame:
@@ -252,10 +173,19 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     wanted = landed(each.join(shared, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("wanted")), "suffix-shared")
     total = wanted.agg(F.coalesce(F.sum(F.size("wanted") + 1), F.lit(0))).first()[0]
     found = rows.join(F.broadcast(wanted) if total <= BROADCAST_SUFFIXES else wanted, "doc_id")
-    suffixes = landed(by_rows(found, _contexts(min_words), SUFFIX, rows=64), "suffix-array")
-    ordered = suffixes.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
-    spans = ordered.mapInArrow(_neighbours(min_words, False), "doc_id long, first int, last int, other long")
-    edges = landed(ordered.mapInArrow(_neighbours(min_words, True), SUFFIX), "suffix-borders")
-    across = edges.coalesce(1).sortWithinPartitions(*ORDER).mapInArrow(
-        _neighbours(min_words, False), "doc_id long, first int, last int, other long")
-    return united(spans.union(across))
+    runs = landed(by_rows(found, _runs(min_words), "h long, g long, doc_id long, first int, parts array<long>", rows=64), "suffix-runs")
+    kinds = landed(runs.groupBy("h", "g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.first("parts").alias("parts")), "suffix-kinds")
+    # runs of one document may still share some of their stretches with other runs of their k-gram
+    lone = kinds.filter("a = b")
+    open_ = landed(lone.select("h").distinct(), "suffix-open")
+    each = kinds.join(_small(open_), "h", "left_semi").select("h", "a", "b", F.explode("parts").alias("part"))
+    common = landed(each.groupBy("h", "part").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a < b"), "suffix-common")
+    some = (lone.select("h", "g", F.posexplode("parts").alias("at", "part")).join(_small(common, 8), ["h", "part"])
+            .select("h", "g", "a", "b", "at", F.lit(min_words).alias("n")))
+    whole = kinds.filter("a < b").select("h", "g", "a", "b", F.lit(0).alias("at"), (F.size("parts") + (min_words - 1)).alias("n"))
+    marks = landed(whole.union(some), "suffix-marks")
+    start = F.col("first") + F.col("at")
+    spans = runs.select("h", "g", "doc_id", "first").join(_small(marks, 8), ["h", "g"]).select(
+        "doc_id", start.alias("first"), (start + F.col("n")).alias("last"),
+        F.when(F.col("a") == F.col("doc_id"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    return united(spans)

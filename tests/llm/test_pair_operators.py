@@ -139,6 +139,23 @@ def test_repeated_passages_equal_brute_force(spark, monkeypatch, broadcast):
     assert got == {i: s for i, s in brute_passages(rows).items() if s}
 
 
+def test_passages_that_reach_left_of_a_common_line(spark):
+    """A line of 40 to 49 words in hundreds of documents, too short itself; a few also share the words before it."""
+    rng = random.Random(8)
+    fresh = lambda n: " ".join(f"y{rng.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for g, n in enumerate((40, 45, 49)):
+        line, before = fresh(n), [fresh(50 - n) for _ in range(8)]
+        rows += [(1000 * g + i, f"{fresh(30)} {line} {fresh(30)}") for i in range(300)]
+        rows += [(1000 * g + 500 + i, f"{fresh(30)} {before[i % 8]} {line} {fresh(30)}") for i in range(16)]
+    rng.shuffle(rows)
+    got = collections.defaultdict(set)
+    for r in suffix_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    want = {i: s for i, s in brute_passages(rows).items() if s}
+    assert len(want) == 48 and got == want
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     rows, at = [], 0
