@@ -7,7 +7,10 @@ neighbour is closer to it by ALPHA). The adjacency lists of all cells are
 united. Each vector is then searched for, in the cell of its nearest centre
 with all neighbours of that cell's members: greedily from the medoid and its
 own place, then from every vector within range to all its neighbours, until
-no vector within range is left. Only links verified in double precision count.
+no vector within range is left. Where that leads out of what the cell has been
+given, the neighbours of the vectors reached are added to it and the cell is
+searched again, so that a cloud of any size is walked through across cells.
+Only links verified in double precision count.
 
 Centres are fitted on a bounded sample (SAMPLE vectors, CENTRES centres); a
 cell of more than CELL_MOST vectors is dealt again to centres of its own.
@@ -166,9 +169,10 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def search(x: np.ndarray, flat: np.ndarray, bounds: np.ndarray, queries: np.ndarray, start: int,
-           cosine: float) -> tuple[np.ndarray, np.ndarray]:
+           cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (query, other) within range: greedy search from ``start`` and the
-    query's own place with a beam, then expansion of all within range.
+    query's own place with a beam, then expansion of all within range. Third,
+    the vectors that the expansion has gone through.
 
     ``flat[bounds[i]:bounds[i + 1]]`` are the neighbours of vector i."""
     q, m = len(queries), len(x)
@@ -229,14 +233,19 @@ def search(x: np.ndarray, flat: np.ndarray, bounds: np.ndarray, queries: np.ndar
     found = np.unique(found)
     r, v = found // m, found % m
     keep = (cosines(r, v) >= cosine) & (queries[r] != v)
-    return queries[r[keep]], v[keep]
+    return queries[r[keep]], v[keep], np.unique(v)
+
+
+def _rows_of(schema: pa.Schema, **cols) -> pa.RecordBatch:
+    n = len(next(iter(cols.values())))
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def _search(cosine: float):
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("cell", pa.string()), ("via", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groups(batches, KEYS):
+        for place, rows in groups(batches, KEYS):
             ids = np.array([r["node"] for r in rows])
             x = np.array([r["x"] for r in rows])
             order = np.argsort(ids)
@@ -252,10 +261,15 @@ def _search(cosine: float):
                 bounds.append(bounds[-1] + len(hit))
             mean = x[members].mean(axis=0)
             medoid = int(members[(x[members] @ mean).argmax()])
+            far, flat, bounds = np.zeros(len(ids), bool), np.concatenate(flat), np.array(bounds)
             for part in np.array_split(queries, -(-len(queries) // 512)):
-                a, b = search(x, np.concatenate(flat), np.array(bounds), part, medoid, cosine)
+                a, b, through = search(x, flat, bounds, part, medoid, cosine)
+                far[through] = True
                 a, b = ids[a], ids[b]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+                yield _rows_of(schema, x=np.minimum(a, b), y=np.maximum(a, b))
+            far[members] = False
+            via = ids[far]  # their neighbours may be in range, too, and need not be among the rows
+            yield _rows_of(schema, via=via, **{k: [v] * len(via) for k, v in zip(KEYS, place)})
 
     return run
 
@@ -288,9 +302,21 @@ def near_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     beyond = (cells.select(*KEYS, "node").join(edges, F.col("node") == F.col("u")).select(*KEYS, F.col("v").alias("node"))
               .distinct().join(cells.select(*KEYS, "node"), [*KEYS, "node"], "left_anti")
               .withColumn("home", F.lit(False)).withColumn("member", F.lit(False)))
-    rows = member.select(*KEYS, "node", "home", "member").union(beyond.select(*KEYS, "node", "home", "member")).join(full, "node")
-    found = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "node").mapInArrow(_search(cosine), "x long, y long")
-    return landed(found.distinct(), "embedding-links")
+    there = landed(member.select(*KEYS, "node", "home", "member").union(beyond.select(*KEYS, "node", "home", "member")), "embedding-there")
+    links, cells_now = None, there
+    while True:
+        dealt = cells_now.join(full, "node").repartition(*KEYS).sortWithinPartitions(*KEYS, "node")
+        found = landed(dealt.mapInArrow(_search(cosine), "x long, y long, label string, dim int, cell string, via long"), "embedding-found")
+        pairs = found.filter("x is not null").select("x", "y")
+        links = pairs if links is None else links.union(pairs)
+        # what a cell has in range outside of it leads on: its neighbours join the rows, until there are none
+        more = landed(found.filter("via is not null").select(*KEYS, F.col("via").alias("u")).join(edges, "u").select(*KEYS, F.col("v").alias("node"))
+                      .distinct().join(there.select(*KEYS, "node"), [*KEYS, "node"], "left_anti")
+                      .select(*KEYS, "node", F.lit(False).alias("home"), F.lit(False).alias("member")), "embedding-more")
+        if more.isEmpty():
+            return landed(links.distinct(), "embedding-links")
+        there = there.union(more)
+        cells_now = there.join(more.select(*KEYS).distinct(), KEYS, "left_semi")
 
 
 def deduplicate(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label",

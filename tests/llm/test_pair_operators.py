@@ -199,6 +199,19 @@ def test_cells_that_are_dealt_again(spark, monkeypatch):
     assert sum(r.kept for r in got) <= 44
 
 
+def test_a_cloud_larger_than_its_cells(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL_MOST", 150)
+    monkeypatch.setattr(embedding_dedup, "CELL", 40)
+    rng = np.random.default_rng(7)
+    hub = rng.normal(size=16)
+    v = np.concatenate([hub + rng.normal(size=(900, 16)) * 0.07 * np.linalg.norm(hub) / 4, rng.normal(size=(300, 16))])
+    docs = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    truth = int(((u @ u.T) >= 0.98).sum()) - len(u)
+    assert truth > 400_000
+    assert sum(r.n_links for r in embedding_dedup.deduplicate(docs).collect()) >= 0.99 * truth
+
+
 PAGES = [(1, "http://a/1", "x" * 100), (2, "http://a/2", "x" * 100), (3, None, "x" * 99), (4, "http://a/4", "x" * 99), (5, "u\r\nv", None),
          (None, "http://a/6", "x" * 100), (7, "http://a/7", "é" * 60 + "\r\n\r\n"), (8, "http://a/8", "é" * 60 + "\r\n\r\n"),
          (9, "http://a/9", ""), (2, "http://a/2", "x" * 100), (10, "http://a/10", "y" * 300_000)]
