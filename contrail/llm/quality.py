@@ -3,7 +3,8 @@
 Every document gets counts and ratios. Fences of each ratio come from
 mergeable quantile sketches (KLL) per language and source, which merge on into
 sketches per language and of the whole corpus; a group too small for a fence
-of its own takes that of the next larger one. The fences are then joined to
+of its own takes that of the next larger one. A share is held to the strictest
+fence of its group, its language and the corpus. The fences are then joined to
 the documents and replace fixed cutoffs. Two fixed base rules stay.
 """
 
@@ -24,7 +25,11 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: fence from the quartile (fixed values): a narrow group must not fence off
 #: documents that differ by little.
 RATIOS = (("mean_word_chars", "low", 1.5), ("mean_word_chars", "high", 2.0), ("symbols_per_word", "high", 0.10),
-          ("dup_line_share", "high", 0.50), ("repeat_word_share", "high", 0.45))
+          ("dup_line_share", "high", 2 / 3), ("repeat_word_share", "high", 2 / 3))
+#: Ratios that end at 1. Their distance d from the quartile is folded into what
+#: is left above it, as d / (1 + d) of that: the fence stays below 1, and at 0.4
+#: where the quartile is 0 (d = 2/3), so below the base rule's 0.5.
+SHARES = ("dup_line_share", "repeat_word_share")
 #: A fence lies this many quartile ranges beyond the quartile.
 REACH = 6.0
 #: Documents that a group needs for a fence of its own.
@@ -87,8 +92,11 @@ def signals(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def _fence(sketch: str, side: str, least: float) -> Column:
+    """The fence of the ratio after which the sketch is named."""
     low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
     reach = F.greatest(F.lit(REACH) * (high - low), F.lit(least))
+    if sketch in SHARES:
+        return high + (1 - high) * reach / (1 + reach)
     return high + reach if side == "high" else low - reach
 
 
@@ -113,7 +121,14 @@ def fences(measured: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
     whole = cut(merged(), "all")  # one row
     corpus = whole.select(F.struct(*whole.columns).alias("w")).scalar()
     out = out.withColumn("corpus", corpus).select("*", "corpus.*")
+
+    def strictest(r: str, side: str) -> Column:
+        """A group full of repeats does not set its own standard."""
+        return F.least(F.when(F.col("own_n") >= group_docs, F.col(f"own_{r}_{side}")),
+                       F.when(F.col("lang_n") >= group_docs, F.col(f"lang_{r}_{side}")), F.col(f"all_{r}_{side}"))
+
     return out.select("lang", "source", *[
+        strictest(r, side).alias(f"{r}_{side}") if r in SHARES else
         F.when(F.col("own_n") >= group_docs, F.col(f"own_{r}_{side}"))
         .when(F.col("lang_n") >= group_docs, F.col(f"lang_{r}_{side}"))
         .otherwise(F.col(f"all_{r}_{side}")).alias(f"{r}_{side}") for r, side, _ in RATIOS])

@@ -142,6 +142,19 @@ def test_quality_counts_and_fences(spark, texts):
     assert got[2001].base_failed and not got[2001].kept
 
 
+def test_quality_fences_of_shares_can_be_broken(spark):
+    """19 of 40 lines are repeated ones: too many in a clean source, and in one full of repeats."""
+    line = lambda i, j: " ".join(f"w{5000 + i}x{j + 10}y{k}" for k in range(4))
+    lines = lambda i, n: "\n".join(line(i, j) + ("\nw12345x00y0" if j < n else "") for j in range(20))
+    good = [(i, lines(i, 0), "en", "clean") for i in range(600)]
+    dirty = [(1000 + i, lines(1000 + i, i % 20), "en", "dirty") for i in range(240)]
+    bad = [(2000, lines(2000, 20), "en", "clean"), (2001, lines(2001, 20), "en", "dirty")]
+    got = {r.key: r for r in quality.judge(spark.createDataFrame(good + dirty + bad, DOCS + ", lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(600))
+    for i in (2000, 2001):
+        assert not got[i].base_failed and list(got[i].broken_fences) == ["dup_line_share_high"]
+
+
 def test_forward_backward_equals_the_plain_recursion():
     rng = np.random.default_rng(1)
     lengths, k = np.array([1, 0, 5, 200, 64, 65, 128]), 3
