@@ -156,6 +156,17 @@ def test_passages_that_reach_left_of_a_common_line(spark):
     assert len(want) == 48 and got == want
 
 
+def test_passages_need_no_borders_of_sorted_partitions(spark, monkeypatch):
+    """Nothing is dealt by sampled ranges, which differ from one execution to the next."""
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", lambda *a: pytest.fail("dealt by sampled ranges"))
+    rng = random.Random(9)
+    text = " ".join(f"z{rng.randrange(10**9)}" for _ in range(55))
+    docs = spark.createDataFrame([(i, f"a{i} {text} b{i}") for i in range(40)], DOCS)
+    for n in (1, 7):
+        got = suffix_dedup.repeated_passages(docs.repartition(n)).collect()
+        assert sorted((r.doc_id, r.start_word, r.end_word) for r in got) == [(i, 1, 56) for i in range(40)]
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     rows, at = [], 0
