@@ -49,4 +49,4 @@ def test_registered_sql(spark, name):
 def test_registered_names():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
