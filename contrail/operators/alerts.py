@@ -88,18 +88,19 @@ def due_alerts(subs: DataFrame, live: DataFrame, routes: DataFrame, as_of, windo
     s = resolve_callsign(s, live).filter(F.col("callsign").isNotNull())
     r = routes.select(
         F.col("callsign").alias("_rcs"), "flight_number", "estimated_on", "scheduled_on", "actual_on",
-        F.col("origin.iata_code").alias("origin_iata"), F.col("destination.iata_code").alias("dest_iata"),
-        F.col("destination.municipality").alias("dest_city"))
+        F.col("origin.iata_code").alias("origin_iata"), F.col("origin.municipality").alias("origin_city"),
+        F.col("destination.iata_code").alias("dest_iata"), F.col("destination.municipality").alias("dest_city"))
     j = s.join(r, s["callsign"] == r["_rcs"], "inner")
     due = _due(j, as_of, window_min)
     out = due.select(
         "email", "icao24", "callsign",
         F.coalesce(blank_to_null(F.col("flight_number")), F.col("callsign")).alias("flight_number"),
         F.coalesce("origin_iata", F.lit("???")).alias("origin_iata"),
+        F.coalesce("origin_city", F.lit("")).alias("origin_city"),
         F.coalesce("dest_iata", F.lit("???")).alias("dest_iata"),
         F.coalesce("dest_city", F.lit("")).alias("dest_city"),
         F.col("minutes_exact").cast("int").alias("minutes"),
-        "eta", "created_at",
+        "eta", F.date_format("eta", "HH:mm 'UTC'").alias("eta_text"), "created_at",
     )
     if fired is not None:
         out = out.join(fired.select("icao24", "email", "created_at"), ["icao24", "email", "created_at"], "left_anti")

@@ -48,28 +48,33 @@ def subscriptions_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- J2 J3 P15 F10 K7 T7
-_DUE_SQL = with_ctes(FS, CAND, SUBS, f"""
+def due_sql(now: str = AS_OF_SQL) -> str:
+    """The alerts that are due at an instant, nothing having fired before."""
+    return with_ctes(FS, CAND, SUBS, f"""
 live AS (SELECT icao24, callsign FROM (
   SELECT icao24, callsign, ROW_NUMBER() OVER (PARTITION BY icao24 ORDER BY time DESC, event_id DESC) AS rk FROM fs) WHERE rk = 1),
 s AS (
   SELECT a.email, a.icao24, a.notified, a.created_at, a.expires_at,
          COALESCE(NULLIF({sql_strip('a.callsign')}, ''), NULLIF({sql_strip('l.callsign')}, '')) AS callsign
-  FROM active a LEFT JOIN live l ON a.icao24 = l.icao24
-  WHERE NOT a.notified
+  FROM kept a LEFT JOIN live l ON a.icao24 = l.icao24
+  WHERE NOT a.notified AND a.expires_at > {now}
 ),
 j AS (
-  SELECT s.*, r.flight_number, r.origin_iata_code, r.destination_iata_code, r.destination_municipality,
+  SELECT s.*, r.flight_number, r.origin_iata_code, r.origin_municipality, r.destination_iata_code, r.destination_municipality,
          r.actual_on, {sql_instant("COALESCE(NULLIF(r.estimated_on, ''), NULLIF(r.scheduled_on, ''))")} AS eta
   FROM s JOIN valid_routes r ON s.callsign = r.callsign
   WHERE NULLIF(r.actual_on, '') IS NULL
 ),
-m AS (SELECT *, CAST(date_diff('microsecond', {AS_OF_SQL}, eta) AS DOUBLE) / CAST(60000000 AS DOUBLE) AS mins FROM j)""") + """
+m AS (SELECT *, CAST(date_diff('microsecond', {now}, eta) AS DOUBLE) / CAST(60000000 AS DOUBLE) AS mins FROM j)""") + """
 SELECT email, icao24, callsign, COALESCE(NULLIF(flight_number, ''), callsign) AS flight_number,
-       COALESCE(origin_iata_code, '???') AS origin_iata, COALESCE(destination_iata_code, '???') AS dest_iata,
-       COALESCE(destination_municipality, '') AS dest_city, CAST(trunc(mins) AS INTEGER) AS minutes, eta, created_at
+       COALESCE(origin_iata_code, '???') AS origin_iata, COALESCE(origin_municipality, '') AS origin_city, COALESCE(destination_iata_code, '???') AS dest_iata,
+       COALESCE(destination_municipality, '') AS dest_city, CAST(trunc(mins) AS INTEGER) AS minutes, eta, strftime(eta, '%H:%M UTC') AS eta_text, created_at
 FROM m WHERE mins > 0 AND mins <= 65"""
 
 
+_DUE_SQL = due_sql()
+
+
 @register("due_alerts", _DUE_SQL)
 def due_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = L.latest_per_key(history(spark, sf_dir).select("icao24", "callsign", "time", "event_id"),

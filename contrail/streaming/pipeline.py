@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from contrail.operators.latest import latest_per_key
 from contrail.schema import HISTORY_COLUMNS_WITH_CATEGORY
 from contrail.sinks import history as H
+from contrail.sinks.pointer import commit_pointer, read_pointer, remove
 from contrail.sources.wire import reject_reason, split_malformed, states_from_wire
 
 log = logging.getLogger("contrail.streaming")
@@ -39,52 +40,31 @@ def state_table_write(batch: DataFrame, root: str, batch_id: int, key: str = "ic
                       order: Sequence[str] = ("time", "offset")) -> None:
     """Merge a batch into the latest-state table.
 
-    Versions live under ``<root>/v=<batch_id>``; a batch reads the newest
-    version below its own id, merges, and overwrites its own version, so a
-    replay recomputes the same version. Versions older than the one just read
-    are removed: two stay, and listing the folder costs the same every batch.
+    Versions live under ``<root>/v=<batch_id>``; a pointer file names the
+    current one and the one before. A batch merges into the newest version
+    below its own id, writes its own, and commits it; a replay starts from the
+    same version and so writes the same. Two versions stay. The calls to the
+    file system are the same for every batch.
     """
     spark = batch.sparkSession
-    prev = _latest_version(spark, root, below=batch_id)
+    now = read_pointer(spark, root) or {"version": None, "previous": None}
+    if now["version"] is not None and batch_id < now["version"]:
+        return  # an older batch that is part of the current version
+    replay = now["version"] == batch_id
+    base = now["previous"] if replay else now["version"]
     rows = batch.filter(F.col(key).isNotNull() & (F.col(key) != ""))
-    if prev is not None:
-        old = spark.read.parquet(f"{root}/v={prev}")
-        rows = old.unionByName(rows, allowMissingColumns=True)
-    merged = latest_per_key(rows, key, order)
-    merged.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
-    if prev is not None:
-        _drop_versions(spark, root, below=prev)
-
-
-def _drop_versions(spark: SparkSession, root: str, below: int) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and int(name[2:]) < below:
-            fs.delete(st.getPath(), True)
-
-
-def _latest_version(spark: SparkSession, root: str, below: int | None = None) -> int | None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return None
-    best = None
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            v = int(name[2:])
-            if (below is None or v < below) and (best is None or v > best):
-                best = v
-    return best
+    if base is not None:
+        rows = spark.read.parquet(f"{root}/v={base}").unionByName(rows, allowMissingColumns=True)
+    latest_per_key(rows, key, order).write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+    commit_pointer(spark, root, {"version": batch_id, "previous": base})
+    if not replay and now["previous"] is not None:
+        remove(spark, f"{root}/v={now['previous']}")
 
 
 def read_state(spark: SparkSession, root: str) -> DataFrame | None:
-    v = _latest_version(spark, root)
-    return None if v is None else spark.read.parquet(f"{root}/v={v}")
+    """The latest-state table as last committed; None before the first batch."""
+    now = read_pointer(spark, root)
+    return None if now is None else spark.read.parquet(f"{root}/v={now['version']}")
 
 
 def fan_out(history_root: str, state_root: str, quarantine_root: str | None = None,
@@ -131,28 +111,3 @@ def start_ingest(source: DataFrame, checkpoint: str, process: Callable[[DataFram
         w = w.queryName(name)
     w = w.trigger(**(trigger or {"processingTime": "5 seconds"}))
     return w.start()
-
-
-def snapshot_tick(ticks_root: str, state_root: str, max_age: str = "2 minutes") -> Callable[[DataFrame, int], None]:
-    """T9 + F6: after each micro-batch, the snapshot of the live state — the
-    latest-state table filtered by staleness at the tick time (the newest
-    event time seen so far) — is summarised into a tick table keyed by
-    ``batch_id`` (overwritten on replay)."""
-    from contrail.operators.latest import fresh_only
-
-    def tick(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = read_state(spark, state_root)
-        if state is None:
-            return
-        now = state.agg(F.max("time")).first()[0]
-        snap = fresh_only(state, now, max_age, stamp_cols=("time",))
-        stats = snap.agg(
-            F.lit(int(batch_id)).alias("batch_id"),
-            F.lit(now).cast("timestamp_ntz").alias("tick_time"),
-            F.count(F.lit(1)).alias("aircraft"),
-            F.count(F.when(F.col("on_ground"), 1)).alias("on_ground"),
-        )
-        stats.write.mode("overwrite").parquet(f"{ticks_root}/batch_id={batch_id}")
-
-    return tick

@@ -1,90 +1,191 @@
-"""Keyed state on streams with ``applyInPandasWithState``.
+"""Keyed state on streams, kept in RocksDB.
 
-Both processors keep O(1) state per aircraft (one record, or at most ``n``
-points) and emit only changed keys (update mode), so state stays bounded by
-the fleet size, not by the stream length.
+The newest record per key is a grouped maximum: it runs in the JVM and combines
+rows before the shuffle. What a grouping cannot say (the last n points, the
+last kept point, expiry, deletes that come late) is a stateful processor with
+one small value, map or timer per key. Rows of a key that cannot matter are
+dropped before the shuffle, slice by slice, so a hot key sends few of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def latest_state(stream: DataFrame, key: str = "icao24", order: Sequence[str] = ("time", "offset"),
-                 ttl_ms: int | None = None) -> DataFrame:
+
+def on_disk_state(spark: SparkSession) -> None:
+    """State in RocksDB: on the executors' disks, incremental checkpoints; needed by the processors."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+
+
+def latest_state(stream: DataFrame, key: str = "icao24", order: Sequence[str] = ("time", "offset")) -> DataFrame:
     """The newest record per key under ``order`` (event time with the
     offset as tie-break by default; ``("offset",)`` is pure arrival order,
     where a late row overwrites a newer one). Rows without a key are
-    skipped (T10). With ``ttl_ms`` a key idle that long (processing time)
-    is evicted (T5)."""
+    skipped (T10). Update mode: changed keys only."""
+    on_disk_state(stream.sparkSession)
     src = stream.filter(stream[key].isNotNull() & (stream[key] != ""))
-    schema: StructType = src.schema
-    cols = schema.fieldNames()
-    order = list(order)
-
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = None
-        if state.exists:
-            best = pd.DataFrame([state.get], columns=cols)
-        for pdf in batches:
-            cand = pdf.sort_values(order, kind="mergesort").tail(1)
-            best = cand if best is None else pd.concat([best, cand]).sort_values(order, kind="mergesort").tail(1)
-        if best is None:
-            return
-        row = best.iloc[0]
-        state.update(tuple(_py(v) for v in row.tolist()))
-        if ttl_ms:
-            state.setTimeoutDuration(int(ttl_ms))
-        yield best
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return src.groupBy(key).applyInPandasWithState(step, schema, schema, "update", timeout)
-
-
-def _py(v):
-    if v is None or (not isinstance(v, (list, tuple, dict)) and pd.isna(v)):
-        return None
-    if isinstance(v, pd.Timestamp):
-        return v.to_pydatetime()
-    if hasattr(v, "item"):
-        return v.item()
-    return v
-
-
-TRAIL_OUT = "icao24 string, rn bigint, lon double, lat double, ord bigint"
-TRAIL_STATE = "ords array<bigint>, lons array<double>, lats array<double>"
+    rest = [c for c in src.columns if c not in order and c != key]
+    return src.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("s")).select(
+        *(F.col(key) if c == key else F.col("s")[c].alias(c) for c in src.columns))
+
+
+def last_of_slices(stream: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """Of every slice of rows a task reads, the ``n`` newest rows per key: all
+    that can be among the ``n`` newest of a micro-batch, and few of a hot key."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(stream.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at = batch.column(key).to_pylist(), batch.column(order).to_pylist()
+            seen: dict = {}
+            keep = []
+            for i in sorted(range(batch.num_rows), key=lambda i: -at[i]):
+                seen[keys[i]] = seen.get(keys[i], 0) + 1
+                if seen[keys[i]] <= n:
+                    keep.append(i)
+            yield batch.take(pa.array(sorted(keep), pa.int64())).cast(schema)
+
+    return stream.mapInArrow(run, stream.schema)
+
+
+class Trail(StatefulProcessor):
+    """T4: a map of at most ``n`` points by their place; a point that enters is
+    one write, the point it pushes out one removal."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.points = handle.getMapState("points", "ord bigint", "lon double, lat double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = {k[0]: (v[0], v[1]) for k, v in self.points.iterator()}
+        before = set(held)
+        for r in rows:
+            held[r["ord"]] = (r["lon"], r["lat"])
+        newest = sorted(held, reverse=True)[:self.n]
+        for ord_ in before.difference(newest):
+            self.points.removeKey((ord_,))
+        for ord_ in newest:
+            if ord_ not in before:
+                self.points.updateValue((ord_,), held[ord_])
+        for i, ord_ in enumerate(newest, 1):
+            yield Row(icao24=key[0], rn=i, lon=held[ord_][0], lat=held[ord_][1], ord=ord_)
+
+    def close(self) -> None:
+        pass
 
 
 def rolling_trail(stream: DataFrame, n: int = 20, order: str = "offset") -> DataFrame:
     """T4: the last ``n`` positioned observations per aircraft in arrival
     (``order``) order, repeats kept. Emits the whole (bounded) trail of every
-    key that changed, one row per point (``rn`` = 1 newest)."""
-    src = stream.filter(stream["icao24"].isNotNull() & stream["latitude"].isNotNull()
-                        & stream["longitude"].isNotNull()).select(
+    key that changed, one row per point (``rn`` = 1 newest). ``order`` tells
+    the messages of an aircraft apart, as an offset does."""
+    on_disk_state(stream.sparkSession)
+    src = stream.filter(stream["icao24"].isNotNull() & stream["latitude"].isNotNull() & stream["longitude"].isNotNull()).select(
         "icao24", stream[order].alias("ord"), stream["longitude"].alias("lon"), stream["latitude"].alias("lat"))
-
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cur = pd.DataFrame({"ord": pd.Series([], dtype="int64"), "lon": pd.Series([], dtype="float64"),
-                            "lat": pd.Series([], dtype="float64")})
-        if state.exists:
-            ords, lons, lats = state.get
-            cur = pd.DataFrame({"ord": list(ords), "lon": list(lons), "lat": list(lats)})
-        for pdf in batches:
-            # fold chunk by chunk: never more than n + one Arrow batch in memory
-            both = pd.concat([cur, pdf[["ord", "lon", "lat"]]], ignore_index=True)
-            cur = both.sort_values("ord", kind="mergesort").tail(n)
-        state.update((cur["ord"].astype("int64").tolist(), cur["lon"].tolist(), cur["lat"].tolist()))
-        out = cur.iloc[::-1].reset_index(drop=True)
-        yield pd.DataFrame({"icao24": k[0], "rn": range(1, len(out) + 1), "lon": out["lon"], "lat": out["lat"],
-                            "ord": out["ord"]})
-
-    return src.groupBy("icao24").applyInPandasWithState(step, TRAIL_OUT, TRAIL_STATE, "update",
-                                                         GroupStateTimeout.NoTimeout)
+    return last_of_slices(src, "icao24", "ord", n).groupBy("icao24").transformWithState(
+        Trail(n), "icao24 string, rn bigint, lon double, lat double, ord bigint", "Update", "None")
+
+
+class Deadband(StatefulProcessor):
+    """One reference point per key."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", "lat double, lon double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        ref = start = self.kept.get()
+        for r in sorted(((r["at"], r["event_id"], r["latitude"], r["longitude"]) for r in rows), key=lambda r: (r[0] is not None, *r)):
+            if ref is None or abs(r[2] - ref[0]) >= self.threshold or abs(r[3] - ref[1]) >= self.threshold:
+                ref = (r[2], r[3])
+                yield Row(icao24=key[0], at=r[0], event_id=r[1], latitude=r[2], longitude=r[3])
+        if ref is not None and ref is not start:
+            self.kept.update((ref[0], ref[1]))
+
+    def close(self) -> None:
+        pass
+
+
+def moved_points(stream: DataFrame, threshold: float = 0.001) -> DataFrame:
+    """P17 on a stream: a point passes only if it lies at least ``threshold``
+    degrees from the last one of its aircraft that passed. The points of an
+    aircraft are to arrive in the order of their time from batch to batch;
+    inside a batch they are put in order (``time``, ``event_id``)."""
+    on_disk_state(stream.sparkSession)
+    src = stream.filter(stream["icao24"].isNotNull() & stream["latitude"].isNotNull() & stream["longitude"].isNotNull()).select(
+        "icao24", F.unix_micros(F.col("time").cast("timestamp")).alias("at"), "event_id", "latitude", "longitude")
+    out = src.groupBy("icao24").transformWithState(
+        Deadband(threshold), "icao24 string, at bigint, event_id bigint, latitude double, longitude double", "Append", "None")
+    return out.select("icao24", F.timestamp_micros("at").cast("timestamp_ntz").alias("time"), "event_id", "latitude", "longitude")
+
+
+class Changes(StatefulProcessor):
+    """The newest word on a key: an entry that expires, or the mark of a delete."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "at bigint, seq bigint, gone boolean, expires bigint, entry string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        was = self.newest.get()
+        now = best = None if was is None else (was[0], was[1], was[2], was[3], was[4])
+        for r in rows:
+            if best is None or (r["at"], r["seq"]) >= best[:2]:
+                best = (r["at"], r["seq"], r["gone"], r["expires"], r["entry"])
+        if best != now:
+            if now is not None:
+                self.handle.deleteTimer(-(-now[3] // 1000))
+            self.newest.update(best)
+            self.handle.registerTimer(-(-best[3] // 1000))  # milliseconds, never before its time
+            yield Row(key=key[0], at=best[0], seq=best[1], change="deleted" if best[2] else "live", entry=best[4])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        was = self.newest.get()
+        if was is not None and -(-was[3] // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.newest.clear()
+            yield Row(key=key[0], at=was[0], seq=was[1], change="expired", entry=was[4])
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_changes(stream: DataFrame, key: Column, at: str, seq: Column, ttl: str, gone: Column | None = None,
+                  late: str = "1 hour") -> DataFrame:
+    """Entries that live ``ttl`` after ``at`` (event time).
+
+    One row per change of a key (key, at, seq, change, entry): ``live`` for a
+    new newest entry, ``deleted`` for a delete that is newer than it,
+    ``expired`` when the watermark (``late`` behind the newest ``at``) has
+    passed its time. A delete stays as a mark until its own time is over, so an
+    older entry that arrives after it changes nothing. ``entry`` holds the
+    columns of the row as JSON."""
+    on_disk_state(stream.sparkSession)
+    cols = stream.columns
+    stamp = F.col(at).cast("timestamp")
+    src = stream.filter(F.col(at).isNotNull()).select(
+        key.alias("key"), stamp.alias("clock"), F.unix_micros(stamp).alias("at"), seq.cast("bigint").alias("seq"),
+        (F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))).alias("gone"),
+        F.unix_micros(stamp + F.expr(f"INTERVAL {ttl}")).alias("expires"), F.to_json(F.struct(*cols)).alias("entry"))
+    return (src.filter("key IS NOT NULL").withWatermark("clock", late).groupBy("key")
+            .transformWithState(Changes(), "key string, at bigint, seq bigint, change string, entry string", "Update", "EventTime"))
+
+
+def entries(changes: DataFrame, schema: str) -> DataFrame:
+    """What is live after all ``changes``: the columns of ``schema`` of every
+    key whose newest change is neither a delete nor an expiry."""
+    rank = (F.col("change") == "expired").cast("int")
+    last = changes.groupBy("key").agg(F.max_by(F.struct("change", "entry"), F.struct("at", "seq", rank)).alias("c"))
+    return last.filter("c.change = 'live'").select(F.from_json("c.entry", schema).alias("e")).select("e.*")
