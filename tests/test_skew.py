@@ -72,7 +72,7 @@ def test_latest_per_key_limits_before_shuffle(spark):
     assert out.filter(F.col("icao24") == "hot").first()["event_id"] == 29_997
 
 
-def test_deadband_split_by_chunk_equals_single_pass(spark):
+def test_deadband_split_by_chunk_equals_single_pass(spark, monkeypatch):
     """P17 split by (aircraft, time chunk) is exact: a hot key, parked
     stretches (whole chunks inside the reference box) and slow motion whose
     kept points fall out of step with a chunk's own first point."""
@@ -96,10 +96,10 @@ def test_deadband_split_by_chunk_equals_single_pass(spark):
             want.append(tuple(r))
     want = rows_of(df.columns, want)
     assert len(want) < 0.67 * n  # the filter is exercised
-    ten_min = F.floor(F.unix_micros(F.col("time").cast("timestamp")) / 600_000_000)
-    for chunk in (None, ten_min, F.col("event_id")):
-        assert spark_rows(G.deadband(df, 0.001, chunk=chunk)) == want
-    assert "Python" not in G.deadband(df, 0.001)._jdf.queryExecution().executedPlan().toString()
+    for points in (256, 16, 1):
+        assert spark_rows(G.deadband(df, 0.001, points=points)) == want
+    assert "Python" not in G.deadband(df, 0.001, points=2000)._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it lands its chunks
-    spread = G.deadband(df, 0.001, chunk=F.col("event_id"))  # twelve hours are too few chunks to see it
+    monkeypatch.setattr(G, "ROUNDS", 50)
+    spread = G.deadband(df.filter("latitude > 10.2"), 0.001, points=64)
     assert _max_share_of_hot(spread, "latitude") < 0.5
