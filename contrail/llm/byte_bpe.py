@@ -1,36 +1,44 @@
-"""Operator 2: byte-level BPE encoding and decoding with Spark functions only.
+"""Operator 2: byte-level BPE encoding and decoding.
 
 Words (matches of the tokenizer's split pattern) are arrays of byte pieces,
-each held as its identifier, which is its rank. A fold over such an array
+each held as its identifier, which is its rank. A Spark fold over such an array
 merges the adjacent pair of lowest rank, leftmost first, as often as the word
 has bytes. The rank map is a literal: an array in which a pair of identifiers
 is at one of two places (Spark would search a map value from its start).
 
-The most frequent words are encoded once, as distinct words, and become a
-literal too; the number and length of those words is bounded. Any other word
-is folded where it stands, by the same expression, so no text is shuffled and
-results do not depend on which words the literal holds.
+Only distinct words are folded. The most frequent ones of all texts (at most
+FREQUENT_WORDS, counted in one aggregated pass) are folded once and sent to
+every task; of the others, a task folds each distinct one once for a slice of
+about SLICE_BYTES of text, and puts the identifiers back in the order of the
+words. No text is shuffled, and results do not depend on which words are
+frequent. A word of more than LONG_BYTES (a blob, a script without spaces)
+would take as many passes as it has bytes; it is merged with a heap of pairs
+instead. Decoding joins the binary pieces of the identifiers.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
-import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contrail.llm.common import landed
+
 NONE = 2**31 - 1  # no such pair
 ID_BITS = 20      # identifiers are below 2 ** ID_BITS
-WORD_BUCKETS = 65_536
-#: Distinct words held in the literal: at most this many, each of at most so many characters.
-FREQUENT_WORDS = 131_072
+#: Distinct words sent to every task: at most this many, each of at most so many characters.
+FREQUENT_WORDS = 1_048_576
 FREQUENT_CHARS = 32
-#: Around each word and its identifiers in a bucket (private-use characters;
-#: a word that holds one is folded instead).
-MARK, SEP = "\ue000", "\ue001"
+SLICE_BYTES = 16 << 20
+LONG_BYTES = 512
+STEPS_PER_DOUBLING = 8  # classes of word counts, for the choice of the frequent ones
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -106,11 +114,6 @@ class ByteBpe:
         table, self.p, self.q = two_place_table(pair_ranks(ranks))
         self.pairs = _literal(table, "array<long>")
         self.bytes = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
-        pieces = [""] * (max(ranks.values()) + 1)
-        for piece, n in ranks.items():
-            pieces[n] = piece.hex()
-        self.pieces = _literal(pieces, "array<string>")
-        self.frequent = _literal([], "array<string>")
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -149,55 +152,169 @@ class ByteBpe:
         return _let(ids, lambda x: F.aggregate(F.slice(x, F.lit(2), F.size(x)), start(x), step, lambda st: st["s"]))
 
     def _known(self) -> Column:
-        return F.struct(self.pairs.alias("pairs"), self.bytes.alias("bytes"), self.frequent.alias("frequent"))
-
-    def encode_word(self, word: Column) -> Column:
-        return _let(self._known(), lambda k: self._fold(k, word))
-
-    def learn_frequent(self, texts: DataFrame, column: str, most: int = FREQUENT_WORDS) -> ByteBpe:
-        """Encode the most frequent distinct words of all texts once (one
-        aggregated pass); they become a literal of bounded size."""
-        word = texts.select(F.explode(self.words(texts[column])).alias("word"))
-        top = (word.filter((F.length("word") <= FREQUENT_CHARS) & ~F.col("word").rlike(f"[{MARK}{SEP}]"))
-               .groupBy("word").count().orderBy(F.desc("count"), "word").limit(most))
+        return F.struct(self.pairs.alias("pairs"), self.bytes.alias("bytes"))
+
+    def encode_words(self, words: Column) -> Column:
+        """Identifiers of each word of an array of words."""
+        return _let(self._known(), lambda k: F.transform(words, lambda w: self._fold(k, w)))
+
+    def frequent(self, texts: DataFrame, column: str, most: int) -> pa.Table:
+        """word, ids of the most frequent words of all texts: whole classes of
+        equal counts, as many as come to at most ``most`` words."""
+        word = texts.select(F.explode(self.words(texts[column])).alias("word")).filter(F.length("word") <= FREQUENT_CHARS)
+        degree = F.floor(F.log2("n") * STEPS_PER_DOUBLING)
+        counts = landed(word.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word", degree.alias("degree")), "bpe-words")
+        least, room = None, most
+        for r in counts.groupBy("degree").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("degree")).collect():  # some hundred classes
+            room -= r["words"]
+            if room < 0:
+                break
+            least = r["degree"]
+        top = counts.filter(F.lit(False) if least is None else F.col("degree") >= least).select("word")
         parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        coded = top.repartition(parts, "word").select("word", F.array_join(self.encode_word(F.col("word")).cast("array<string>"), " ").alias("ids"))
-        buckets = [""] * WORD_BUCKETS
-        for r in coded.toLocalIterator():
-            buckets[zlib.crc32(r["word"].encode("utf-8")) % WORD_BUCKETS] += f"{MARK}{r['word']}{SEP}{r['ids']}"
-        self.frequent = _literal(buckets, "array<string>")
-        return self
-
-    def encode(self, text: Column) -> Column:
-        """Token identifiers of a whole text (array of int)."""
-        def one(k: Column, w: Column) -> Column:
-            bucket = F.coalesce(F.get(k["frequent"], (F.crc32(w.cast("binary")) % WORD_BUCKETS).cast("int")), F.lit(""))
-            marked = F.concat(F.lit(MARK), w, F.lit(SEP))
-            folded = F.array_join(self._fold(k, w).cast("array<string>"), " ")
-            return F.when(F.contains(bucket, marked) & ~F.contains(w, F.lit(MARK)) & ~F.contains(w, F.lit(SEP)),
-                          F.substring_index(F.call_function("substring_index", bucket, marked, F.lit(-1)), MARK, 1)).otherwise(folded)
-
-        joined = _let(self._known(), lambda k: F.array_join(F.transform(self.words(text), lambda w: one(k, w)), " "))
-        return F.when(F.length(text) > 0, F.split(joined, " ").cast("array<int>")).otherwise(F.array().cast("array<int>"))
-
-    def decode(self, ids: Column) -> Column:
-        """Bytes of a sequence of identifiers: the pieces, joined as hex digits
-        so that a long text is built in one go."""
-        return F.unhex(F.array_join(F.transform(ids, lambda n: F.get(self.pieces, n)), ""))
-
-
-def encode_documents(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id",
-                     text: str = "text") -> DataFrame:
+        return top.repartition(parts, "word").select("word", self.encode_words(F.array("word"))[0].alias("ids")).toArrow()
+
+
+def merged_piece(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Identifiers of one long word: the pair of lowest rank, leftmost first, from a heap."""
+    n = len(word)
+    end, before = [*range(1, n + 1)], [*range(-1, n - 1)]  # piece i is word[i:end[i]], the one in front begins at before[i]
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i:i + 2])) is not None]
+    heapq.heapify(heap)
+    gone = bytearray(n)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = end[i] if not gone[i] else n
+        if j >= n or end[j] != stop:
+            continue  # one of the two was merged meanwhile
+        end[i], gone[j] = stop, 1
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(word[i:end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if (h := before[i]) >= 0 and (r := ranks.get(word[h:stop])) is not None:
+            heapq.heappush(heap, (r, h, stop))
+    return [ranks[word[i:end[i]]] for i in range(n) if not gone[i]]
+
+
+def _sliced(shared, schema: pa.Schema):
+    """Rows (key, words) to one row a slice: its keys, the number of words of
+    each, a code for each word, and the distinct words that are not known yet.
+    Code c >= 0 is frequent word c, -1 - i the i-th of rare and then long."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[0]
+
+        def told(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            keys = pa.concat_arrays([p.column(0) for p in parts])
+            sizes = pa.concat_arrays([pc.list_value_length(p.column(1)) for p in parts])
+            each = pa.concat_arrays([p.column(1).flatten() for p in parts]).dictionary_encode()
+            words = each.dictionary
+            code = pc.index_in(words, value_set=known)
+            new = np.flatnonzero(code.is_null().to_numpy(zero_copy_only=False))
+            large = pc.greater(pc.binary_length(words.take(pa.array(new))), LONG_BYTES).to_numpy(zero_copy_only=False)
+            new = np.concatenate([new[~large], new[large]])
+            code = code.fill_null(0).to_numpy(zero_copy_only=False).copy()
+            code[new] = -1 - np.arange(len(new))
+            codes = code[each.indices.to_numpy(zero_copy_only=False)] if len(each) else code[:0]
+            rare, long = (words.take(pa.array(x)) for x in np.split(new, [int((~large).sum())]))
+            values = (keys, sizes, pa.array(codes, pa.int32()), rare, long)
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(v)], v).cast(f.type) for f, v in zip(schema, values)], schema=schema)
+
+        parts, size = [], 0
+        for batch in batches:
+            per_row = max(1, batch.column(1).nbytes // max(1, batch.num_rows))
+            for at in range(0, batch.num_rows, rows := max(1, SLICE_BYTES // per_row)):
+                parts.append(batch.slice(at, rows))
+                size += per_row * parts[-1].num_rows
+                if size >= SLICE_BYTES:
+                    yield told(parts)
+                    parts, size = [], 0
+        if parts:
+            yield told(parts)
+
+    return run
+
+
+def _assembled(shared, schema: pa.Schema):
+    """Slices with the identifiers of their rare words back to rows (key, token_ids)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, starts, sizes, ids, ranks = shared.value
+        for batch in batches:
+            for at in range(batch.num_rows):
+                keys, per_doc, codes, folded = (batch.column(c)[at].values for c in ("keys", "sizes", "codes", "folded"))
+                long = [merged_piece(w.encode(), ranks) for w in batch.column("long")[at].as_py()]
+                own_sizes = np.concatenate([pc.list_value_length(folded).to_numpy(zero_copy_only=False), [len(x) for x in long]]).astype(np.int64)
+                every = np.concatenate([ids, folded.flatten().to_numpy(zero_copy_only=False), *(np.array(x, np.int32) for x in long)])
+                own_starts = len(ids) + np.cumsum(own_sizes) - own_sizes
+                code = codes.to_numpy(zero_copy_only=False)
+                # negative codes count from the end: -1 - i is the i-th rare word
+                begin = np.concatenate([starts, own_starts[::-1]])[code]
+                size = np.concatenate([sizes, own_sizes[::-1]])[code]
+                ends = np.cumsum(size)
+                place = np.repeat(begin - ends + size, size) + np.arange(int(size.sum()))
+                doc_ends = np.concatenate([[0], np.cumsum(per_doc.to_numpy(zero_copy_only=False))])
+                offsets = np.concatenate([[0], ends])[doc_ends]
+                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(every[place].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([keys.cast(schema.field(0).type), tokens.cast(schema.field(1).type)], schema=schema)
+
+    return run
+
+
+def _arrow(ddl_or_schema) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(ddl_or_schema)
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids") -> DataFrame:
+    """``encoded`` with the column ``decoded``: the binary pieces of ``ids``, joined."""
+    pieces = [b""] * (max(ranks.values(), default=0) + 1)
+    for piece, n in ranks.items():
+        pieces[n] = piece
+    shared = encoded.sparkSession.sparkContext.broadcast(pa.array(pieces, pa.binary()))  # the vocabulary
+    ddl = encoded.withColumn("decoded", F.lit(None).cast("binary")).schema
+    schema = _arrow(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column(batch.schema.get_field_index(ids))
+            parts = pa.ListArray.from_arrays(pc.subtract(col.offsets, col.offsets[0]), shared.value.take(col.flatten()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.binary_join(parts, pa.scalar(b"", pa.binary()))], schema=schema)
+
+    return encoded.mapInArrow(run, ddl)
+
+
+def encode_documents(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text",
+                     frequent: int = FREQUENT_WORDS) -> DataFrame:
     """``key``, token_ids (array of int) and decoded (binary) for each row.
 
     A null text is empty: no identifiers, no bytes. Repeated rows and null
     keys are kept one to one; other columns are not read; an empty table gives
-    an empty one. Texts are encoded whole. A word of n bytes costs up to n
-    passes over its own pieces (words are what the split pattern finds).
+    an empty one. Texts and words are encoded whole, whatever their length.
+    ``frequent`` bounds the words sent to every task.
     """
-    bpe = ByteBpe(read_ranks(rank_file), pattern).learn_frequent(docs.select(docs[text].alias("t")), "t")
-    coded = docs.select(docs[key], bpe.encode(docs[text]).alias("token_ids"))
-    return coded.withColumn("decoded", bpe.decode(F.col("token_ids")))
+    ranks = read_ranks(rank_file)
+    bpe = ByteBpe(ranks, pattern)
+    known = bpe.frequent(docs.select(docs[text].alias("t")), "t", frequent).combine_chunks()
+    ids = known.column("ids").combine_chunks() if len(known) else pa.array([], pa.list_(pa.int32()))
+    sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = known.column("word").combine_chunks().cast(pa.string()) if len(known) else pa.array([], pa.string())
+    shared = docs.sparkSession.sparkContext.broadcast(  # at most ``frequent`` words of FREQUENT_CHARS characters, and the vocabulary
+        (words, np.cumsum(sizes) - sizes, sizes, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ranks))
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(docs[key].alias("key"), bpe.words(docs[text]).alias("words"))
+    ddl = f"keys array<{kind}>, sizes array<int>, codes array<int>, rare array<string>, long array<string>"
+    slices = rows.mapInArrow(_sliced(shared, _arrow(_struct(ddl))), ddl)
+    folded = slices.select("keys", "sizes", "codes", "long", bpe.encode_words(F.col("rare")).alias("folded"))
+    ddl = f"key {kind}, token_ids array<int>"
+    coded = folded.mapInArrow(_assembled(shared, _arrow(_struct(ddl))), ddl).withColumnRenamed("key", key)
+    return decode(coded, ranks)
+
+
+def _struct(ddl: str):
+    from pyspark.sql.types import _parse_datatype_string
+
+    return _parse_datatype_string(ddl)
 
 
 def digests(encoded: DataFrame, key: str = "doc_id", more: Sequence[str] = ()) -> DataFrame:

@@ -55,13 +55,26 @@ def test_bpe_equals_the_library_and_decodes(docs, texts):
     assert tally((r[0], tuple(r[1]), bytes(r[2])) for r in got) == tally(want)
 
 
-def test_bpe_does_not_depend_on_the_frequent_words(spark, docs):
+@pytest.mark.parametrize("frequent,slice_bytes,long_bytes", [(0, 16 << 20, 512), (50, 300, 40), (10**6, 1, 1)])
+def test_bpe_does_not_depend_on_frequent_words_and_slices(docs, monkeypatch, frequent, slice_bytes, long_bytes):
+    """No word known beforehand, slices of a few rows, long words merged from a heap."""
+    monkeypatch.setattr(byte_bpe, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(byte_bpe, "LONG_BYTES", long_bytes)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(path), public_tokenizers.PATTERN)
-    plain = docs.select("doc_id", bpe.encode(docs["text"]).alias("ids")).collect()
-    known = bpe.learn_frequent(docs, "text", most=50)
-    assert tally((r[0], tuple(r[1])) for r in plain) == tally(
-        (r[0], tuple(r[1])) for r in docs.select("doc_id", known.encode(docs["text"]).alias("ids")).collect())
+    plain = byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN).collect()
+    got = byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN, frequent=frequent).collect()
+    assert tally((r[0], tuple(r[1]), bytes(r[2])) for r in got) == tally((r[0], tuple(r[1]), bytes(r[2])) for r in plain)
+
+
+def test_bpe_of_a_very_long_word_and_text_keys(spark):
+    """One word of 200,000 letters; keys that are no numbers."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = byte_bpe.read_ranks(path)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = __import__("random").Random(1)
+    rows = [("a", "".join(rng.choice("etaoinshrdlu") for _ in range(200_000))), ("b", "x" * 3000 + " y"), (None, None)]
+    got = byte_bpe.encode_documents(spark.createDataFrame(rows, "doc_id string, text string"), path, public_tokenizers.PATTERN).collect()
+    assert {r[0]: (list(r[1]), bytes(r[2])) for r in got} == {i: (lib.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows}
 
 
 def test_two_place_table_finds_every_entry():
