@@ -416,15 +416,15 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
                         percent: int = PERCENT) -> DataFrame:
-    """``docs`` (all columns) with one document of each component: that of the
-    least key. Of rows that share a key the one with the least text stays (a
-    null text last); rows with a null key all stay."""
-    again = landed(docs.groupBy(docs[key].alias("_key")).count().filter("count > 1 and _key is not null").select("_key"), "ngram-repeated")
-    if not again.isEmpty():
-        order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last(), *[c for c, t in docs.dtypes if c not in (key, text) and not t.startswith("map")])
-        first = (docs.join(again, docs[key] == again["_key"], "left_semi").withColumn("_at", F.row_number().over(order))
-                 .filter("_at = 1").drop("_at"))
-        docs = docs.join(again, docs[key] == again["_key"], "left_anti").unionByName(first)
-    classes = jaccard_classes(docs, key, text, words, percent)
-    gone = landed(classes.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_key")).distinct(), "ngram-gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs[key] == gone["_key"], "left_anti")
+    """``docs`` (all columns) with one row of each component: that of the least
+    key (a null key last). Rows are told apart by a number of their own, so
+    different texts under one key all stay, and near copies go whether or not
+    they have a key. Texts without words are nobody's copies and stay."""
+    row = "_row" + "_" * max([0, *(len(c) for c in docs.columns)])  # no column of that name
+    rows = landed(docs.withColumn(row, F.monotonically_increasing_id()), "ngram-rows")
+    classes = landed(jaccard_classes(rows, row, text, words, percent).filter("n_shingles > 0").select(row, "component_id"), "ngram-classes")
+    many = classes.groupBy("component_id").count().filter("count > 1").select("component_id")
+    known = classes.join(many, "component_id").join(rows.select(row, F.col(key).alias("_key")), row)
+    keep = known.groupBy("component_id").agg(F.min(F.struct(F.col("_key").isNull(), "_key", row))[row].alias("_keep"))
+    gone = landed(known.join(keep, "component_id").filter(F.col(row) != F.col("_keep")).select(row), "ngram-gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, row, "left_anti").drop(row)

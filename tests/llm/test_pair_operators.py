@@ -91,7 +91,7 @@ def test_one_document_of_each_group_stays(spark):
     kept = ngram_join.without_near_copies(docs).collect()
     ids = [r.doc_id for r in kept if r.doc_id is not None]
     want = {i for (i, _, c) in brute_classes(rows) if i is not None and i == c}
-    assert sorted(ids) == sorted(want) and sum(r.doc_id is None for r in kept) == 1
+    assert sorted(ids) == sorted(want) and not any(r.doc_id is None for r in kept)
 
 
 def test_overlaps_are_the_matrix_product():
@@ -269,3 +269,15 @@ def test_empty_vectors_and_pages(spark):
     assert embedding_dedup.deduplicate(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(pages, shared_dir(spark, "warc-test")).count() == 0
+
+
+def test_near_copies_by_row_not_by_key(spark):
+    """Different texts under one key stay, near copies without a key go."""
+    long = [f"word{i}" for i in range(60)]
+    near = " ".join([*long[:59], "other"])
+    rows = [(1, " ".join(long)), (1, "another text of its own under the same key"), (1, " ".join(long)), (None, near), (None, None), (None, ""), (2, None),
+            (None, "nobody has this text but me and it has no key"), (3, "nobody has this text but me and it has no key")]
+    got = ngram_join.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _row", "2 AS _key", "3 AS component_id"))
+    assert got.columns == ["doc_id", "text", "_row", "_key", "component_id"]
+    assert tally((r[0], r[1]) for r in got.collect()) == tally(
+        [(1, " ".join(long)), (1, rows[1][1]), (None, None), (None, ""), (2, None), (3, rows[8][1])])

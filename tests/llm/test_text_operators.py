@@ -5,6 +5,7 @@ import base64
 import collections
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -212,8 +213,37 @@ def test_language_held_out_accuracy_and_odd_rows(spark):
 
 
 def test_language_without_anything_to_learn(spark):
-    docs = spark.createDataFrame([(1, "some text", None)], DOCS + ", lang string")
-    assert [tuple(r)[2:] for r in language.identify(docs).collect()] == [("und", 0.0)]
+    """No label is learned: nobody is named, and no text with a letter is lost."""
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, None), (3, "12 !", None)], DOCS + ", lang string")
+    assert sorted(tuple(r)[2:] for r in language.identify(docs).collect()) == [("und", 0.0)] * 3
+    assert [r.doc_id for r in language.identified(docs).collect()] == [1]
+
+
+def test_every_language_is_learned(spark):
+    words = {f"l{n:02}": [f"{a}{b}x{n}".translate(str.maketrans("0123456789", "qwertzuiop")) for a in "abcde" for b in "klmno"] for n in range(70)}
+    rows = [(n * 100 + i, " ".join(w[(i + j) % 25] for j in range(30)), lang) for n, (lang, w) in enumerate(words.items()) for i in range(8)]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    sample = language.training_sample(docs, "doc_id", "text", "lang")
+    learnable = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    assert len(learnable) == 70 and set(sample) == learnable
+
+
+def test_gradient_of_the_field():
+    """Against differences of the log likelihood, with scores beyond the floor."""
+    rng = np.random.default_rng(2)
+    n, length, k = 3, 7, 4
+    scores, transition, gold = rng.normal(size=(n, length, k)) * 4, rng.normal(size=(k, k)), rng.integers(k, size=(n, length))
+    scores[0, 2, 1] -= 40
+    by_score, by_pair = language.gradient(scores, transition, gold)
+    for grad, at in ((by_score, scores), (by_pair, transition)):
+        for i in np.ndindex(at.shape):
+            old, e = at[i], 1e-5
+            at[i] = old + e
+            up = language.likelihood(scores, transition, gold)
+            at[i] = old - e
+            down = language.likelihood(scores, transition, gold)
+            at[i] = old
+            assert abs((up - down) / (2 * e) - grad[i]) < 1e-5, (i, (up - down) / (2 * e), grad[i])
 
 
 def test_mixing_meets_the_targets_and_keeps_rows(spark):
