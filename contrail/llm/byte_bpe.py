@@ -34,9 +34,9 @@ from contrail.llm.common import landed
 NONE = 2**31 - 1  # no such pair
 ID_BITS = 20      # identifiers are below 2 ** ID_BITS
 #: Distinct words sent to every task: at most this many, each of at most so many characters.
-FREQUENT_WORDS = 1_048_576
+FREQUENT_WORDS = 524_288
 FREQUENT_CHARS = 32
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 LONG_BYTES = 512
 STEPS_PER_DOUBLING = 8  # classes of word counts, for the choice of the frequent ones
 
@@ -236,9 +236,10 @@ def _sliced(shared, schema: pa.Schema):
 
 
 def _assembled(shared, schema: pa.Schema):
-    """Slices with the identifiers of their rare words back to rows (key, token_ids)."""
+    """Slices with the identifiers of their rare words back to rows (key, token_ids, decoded)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, starts, sizes, ids, ranks = shared.value
+        pieces = binary_pieces(ranks)
         for batch in batches:
             for at in range(batch.num_rows):
                 keys, per_doc, codes, folded = (batch.column(c)[at].values for c in ("keys", "sizes", "codes", "folded"))
@@ -251,11 +252,12 @@ def _assembled(shared, schema: pa.Schema):
                 begin = np.concatenate([starts, own_starts[::-1]])[code]
                 size = np.concatenate([sizes, own_sizes[::-1]])[code]
                 ends = np.cumsum(size)
-                place = np.repeat(begin - ends + size, size) + np.arange(int(size.sum()))
+                place = np.repeat(begin - ends + size, size)
+                place += np.arange(len(place))
                 doc_ends = np.concatenate([[0], np.cumsum(per_doc.to_numpy(zero_copy_only=False))])
                 offsets = np.concatenate([[0], ends])[doc_ends]
-                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(every[place].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([keys.cast(schema.field(0).type), tokens.cast(schema.field(1).type)], schema=schema)
+                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(every[place], pa.int32()))
+                yield pa.RecordBatch.from_arrays([keys.cast(schema.field(0).type), tokens.cast(schema.field(1).type), joined_pieces(pieces, tokens)], schema=schema)
 
     return run
 
@@ -266,22 +268,33 @@ def _arrow(ddl_or_schema) -> pa.Schema:
     return to_arrow_schema(ddl_or_schema)
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids") -> DataFrame:
-    """``encoded`` with the column ``decoded``: the binary pieces of ``ids``, joined."""
+def binary_pieces(ranks: dict[bytes, int]) -> pa.Array:
+    """The bytes of each identifier."""
     pieces = [b""] * (max(ranks.values(), default=0) + 1)
     for piece, n in ranks.items():
         pieces[n] = piece
-    shared = encoded.sparkSession.sparkContext.broadcast(pa.array(pieces, pa.binary()))  # the vocabulary
-    ddl = encoded.withColumn("decoded", F.lit(None).cast("binary")).schema
-    schema = _arrow(ddl)
+    return pa.array(pieces, pa.binary())
+
+
+def joined_pieces(pieces: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """The binary pieces of each list of identifiers, one after the other."""
+    parts = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), pieces.take(ids.flatten()))
+    return pc.binary_join(parts, pa.scalar(b"", pa.binary()))
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids") -> DataFrame:
+    """``encoded`` with the column ``decoded``: the bytes that ``ids`` stand for."""
+    shared = encoded.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary
+    out = encoded.withColumn("decoded", F.lit(None).cast("binary")).schema
+    schema = _arrow(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = binary_pieces(shared.value)
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(ids))
-            parts = pa.ListArray.from_arrays(pc.subtract(col.offsets, col.offsets[0]), shared.value.take(col.flatten()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pc.binary_join(parts, pa.scalar(b"", pa.binary()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined_pieces(pieces, col)], schema=schema)
 
-    return encoded.mapInArrow(run, ddl)
+    return encoded.mapInArrow(run, out)
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text",
@@ -306,9 +319,8 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, key: str = "
     ddl = f"keys array<{kind}>, sizes array<int>, codes array<int>, rare array<string>, long array<string>"
     slices = rows.mapInArrow(_sliced(shared, _arrow(_struct(ddl))), ddl)
     folded = slices.select("keys", "sizes", "codes", "long", bpe.encode_words(F.col("rare")).alias("folded"))
-    ddl = f"key {kind}, token_ids array<int>"
-    coded = folded.mapInArrow(_assembled(shared, _arrow(_struct(ddl))), ddl).withColumnRenamed("key", key)
-    return decode(coded, ranks)
+    ddl = f"key {kind}, token_ids array<int>, decoded binary"
+    return folded.mapInArrow(_assembled(shared, _arrow(_struct(ddl))), ddl).withColumnRenamed("key", key)
 
 
 def _struct(ddl: str):

@@ -63,7 +63,10 @@ def test_bpe_does_not_depend_on_frequent_words_and_slices(docs, monkeypatch, fre
     monkeypatch.setattr(byte_bpe, "LONG_BYTES", long_bytes)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     plain = byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN).collect()
-    got = byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN, frequent=frequent).collect()
+    coded = byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN, frequent=frequent)
+    got = coded.collect()
+    again = byte_bpe.decode(coded.drop("decoded"), byte_bpe.read_ranks(path)).collect()
+    assert tally((r[0], tuple(r[1]), bytes(r[2])) for r in again) == tally((r[0], tuple(r[1]), bytes(r[2])) for r in got)
     assert tally((r[0], tuple(r[1]), bytes(r[2])) for r in got) == tally((r[0], tuple(r[1]), bytes(r[2])) for r in plain)
 
 
