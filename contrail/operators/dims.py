@@ -37,8 +37,11 @@ def airline_lookup(df: DataFrame, airlines: DataFrame, callsign: str = "callsign
     """``upper(strip(callsign))``; the 3-letter prefix, else the 2-letter
     prefix, else no airline. Keys of two or three letters or digits, one row
     each (the least of repeated ones): at most 36**3 + 36**2 rows, a bound that
-    holds for any table, so it is broadcast and rows are not shuffled by airline."""
-    a = airlines.filter(F.col("prefix").rlike("^[A-Z0-9]{2,3}$")).groupBy("prefix").agg(F.min(F.struct("name", "iata")).alias("a"))
+    holds for any table, so it is broadcast and rows are not shuffled by airline.
+    Keys are stripped and raised to upper case; any other key is an error."""
+    key = F.upper(strip_ws(F.col("prefix")))
+    known = F.when(key.rlike("^[A-Z0-9]{2,3}$"), key).otherwise(F.raise_error(F.concat(F.lit("airline key is not two or three letters or digits: "), key)))
+    a = airlines.filter("prefix IS NOT NULL").withColumn("prefix", known).groupBy("prefix").agg(F.min(F.struct("name", "iata")).alias("a"))
     a = F.broadcast(a.select("prefix", "a.name", "a.iata"))
     clean = F.upper(strip_ws(F.col(callsign)))
     base = df.withColumn("_p3", F.substring(clean, 1, 3)).withColumn("_p2", F.substring(clean, 1, 2))

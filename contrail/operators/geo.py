@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from contrail.functions.geo import bearing, interpolate, planar_length
 from contrail.operators.latest import with_position
 from contrail.operators.ordered import with_previous, with_running_sum
+from contrail.operators.trails import hourly
 from contrail.session import materialize
 
 ORDER = ("time", "event_id")
@@ -19,7 +20,7 @@ def segments(history: DataFrame, bucket: Column | None = None, order: Sequence[s
     """Consecutive positioned points of each aircraft as segments
     (lat1, lon1) -> (lat2, lon2), with planar length and bearing."""
     pts = with_position(history).select("icao24", *order, F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    prev = with_previous(pts, ["icao24"], order, ["lat", "lon"], bucket)
+    prev = with_previous(pts, ["icao24"], order, ["lat", "lon"], hourly() if bucket is None else bucket)
     return prev.filter(F.col("prev_lat").isNotNull()).select(
         "icao24", *order,
         F.col("prev_lat").alias("lat1"), F.col("prev_lon").alias("lon1"),
@@ -32,7 +33,7 @@ def segments(history: DataFrame, bucket: Column | None = None, order: Sequence[s
 def path_lengths(segs: DataFrame, bucket: Column | None = None, order: Sequence[str] = ORDER) -> DataFrame:
     """Running path length per aircraft (exact decimal running total),
     plus where each segment starts along the path."""
-    run = with_running_sum(segs, ["icao24"], order, "seg_len", "cum_end", bucket)
+    run = with_running_sum(segs, ["icao24"], order, "seg_len", "cum_end", hourly() if bucket is None else bucket)
     return run.withColumn("cum_start", (F.col("cum_end").cast("decimal(34,12)")
                                         - F.col("seg_len").cast("decimal(24,12)")).cast("decimal(38,12)"))
 

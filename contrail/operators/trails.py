@@ -14,8 +14,8 @@ TIME_ORDER = ("time", "event_id")
 
 
 def hourly(col: str = "time") -> Column:
-    """Default bucket for ordered work within a key."""
-    return F.date_trunc("hour", F.col(col))
+    """Default bucket for ordered work within a key; rows without a time come first."""
+    return F.coalesce(F.date_trunc("hour", F.col(col)), F.lit("0001-01-01").cast("timestamp_ntz"))
 
 
 def recent_trail_points(history: DataFrame, as_of, span: str = "15 minutes", n: int = 15,
@@ -57,7 +57,7 @@ def path_summary(paths: DataFrame) -> DataFrame:
 
 def phase_transitions(history: DataFrame, bucket: Column | None = None) -> DataFrame:
     """Previous phase of every row, per aircraft in time order."""
-    return with_previous(history, ["icao24"], TIME_ORDER, ["flight_phase"], bucket)
+    return with_previous(history, ["icao24"], TIME_ORDER, ["flight_phase"], hourly() if bucket is None else bucket)
 
 
 def last_takeoff(history: DataFrame, as_of, lookback: str = "48 hours", bucket: Column | None = None) -> DataFrame:
@@ -186,7 +186,8 @@ def rolling_trail_rows(observations: DataFrame, n: int = 20, order: tuple = ("of
     Split per (aircraft, bucket) like contrail.operators.ordered: inside a
     bucket a bounded window; across buckets only the last ``n - 1`` points of
     each earlier bucket are carried (a table of keys x buckets, each entry
-    bounded by ``n``).
+    bounded by ``n``). Without a ``bucket`` an aircraft is one window: give
+    one, monotone in ``order``, wherever an aircraft may hold many rows.
     """
     from pyspark.sql import Window
 

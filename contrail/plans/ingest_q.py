@@ -86,7 +86,7 @@ SELECT {_HIST} FROM fs WHERE event_id % 113 <> 0
 UNION ALL
 SELECT {_NULL_HIST} FROM fs WHERE event_id % 113 = 0""")
 def parse_wire_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wire_states(spark, sf_dir).select(*HISTORY_COLUMNS_WITH_CATEGORY)
+    return wire_states(spark, sf_dir, *HISTORY_COLUMNS_WITH_CATEGORY)
 
 
 # ---------------------------------------------------------------- K1 K5

@@ -156,7 +156,7 @@ cand AS (
     {_rcs('u')} || '-' || CAST(o_orderkey AS VARCHAR) AS ident,
     CAST(o_orderkey % 3000 AS INTEGER) AS route_distance,
     'fa-' || CAST(o_orderkey AS VARCHAR) AS fa_flight_id
-  FROM ord WHERE NOT (u % 3 = 2 AND o_orderstatus = 'P')
+  FROM ord
 ),
 pri AS (
   SELECT *, CASE WHEN NULLIF(actual_off, '') IS NOT NULL AND NULLIF(actual_on, '') IS NULL THEN 1
@@ -225,9 +225,9 @@ def sql_instant(x: str) -> str:
 
 
 TRACKED = """
-log AS (SELECT event_id AS seq, CASE WHEN event_type = 'click' THEN 'track' ELSE 'untrack' END AS action,
+log AS (SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'track' WHEN 'error' THEN 'untrack' ELSE 'look' END AS action,
                lpad(CAST(user_id AS VARCHAR), 6, '0') AS icao24
-        FROM events WHERE event_type IN ('click', 'error')),
+        FROM events),
 rm AS (SELECT icao24, max(CASE WHEN action = 'untrack' THEN seq END) AS last_rm FROM log GROUP BY icao24),
 tracked AS (SELECT l.icao24, min(l.seq) AS position FROM log l JOIN rm r ON l.icao24 = r.icao24
             WHERE l.action = 'track' AND (r.last_rm IS NULL OR l.seq > r.last_rm) GROUP BY l.icao24)"""
@@ -249,6 +249,7 @@ searches AS (
                 WHEN c_custkey % 10 = 4 THEN substring(lpad(CAST(c_custkey // 10 AS VARCHAR), 6, '0'), 1, 4)
                 WHEN c_custkey % 10 = 5 THEN ' x'
                 WHEN c_custkey % 10 = 6 THEN lower(substring({_CALLSIGN.replace('user_id', '(c_custkey // 10)')}, 1, 2)) || ' '
+                ELSE {_CALLSIGN.replace('user_id', '(c_custkey // 10)')}
            END AS query
     FROM customer) WHERE query IS NOT NULL)"""
 

@@ -24,11 +24,12 @@ _CLIENT_SQL = ("icao24, callsign, latitude AS lat, longitude AS lon, baro_altitu
                "true_track AS heading, vertical_rate, on_ground, COALESCE(flight_phase, 'CRUISE') AS flight_phase, category")
 
 
-def wire_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed wire messages (junk rows are all-null and carry no key), landed
-    once: a union plan over the JSON round trip and the long CASE chains of
+def wire_states(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Parsed wire messages (junk rows are all-null and carry no key), the
+    ``columns`` asked for (default: all) landed once: a union plan over the JSON round trip and the long CASE chains of
     the stand-in takes the optimiser up to a minute otherwise (measured)."""
-    return materialize(states_from_wire(wire_rows(table(spark, sf_dir, "events"))))
+    states = states_from_wire(wire_rows(table(spark, sf_dir, "events")))
+    return materialize(states.select(*columns) if columns else states)
 
 
 # Wire messages in DuckDB: same rows, minus the malformed ones (they parse to
@@ -61,7 +62,7 @@ def latest_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY icao24 ORDER BY "offset" DESC) AS rn FROM wire)""") + f"""
 SELECT {", ".join(_STATE_OUT)}, "offset" FROM r WHERE rn = 1""")
 def latest_by_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = wire_states(spark, sf_dir).select(*_STATE_OUT, "offset")
+    s = wire_states(spark, sf_dir, *_STATE_OUT, "offset")
     return L.latest_per_key(s, "icao24", ("offset",))
 
 
@@ -81,7 +82,7 @@ u AS (
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY icao24 ORDER BY gen DESC, "offset" DESC) AS rn2 FROM u)""") + f"""
 SELECT {", ".join(_STATE_OUT)}, "offset" FROM r WHERE rn2 = 1""")
 def state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = wire_states(spark, sf_dir).select(*_STATE_OUT, "offset")
+    s = wire_states(spark, sf_dir, *_STATE_OUT, "offset")
     old = L.latest_per_key(s.filter(F.col("time") < ntz(_SPLIT)), "icao24", ("offset",))
     batch = s.filter(F.col("time") >= ntz(_SPLIT))
     return L.merge_state(old, batch, "icao24", ("offset",))
@@ -173,7 +174,8 @@ def snapshot_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("positions_message", with_ctes(*_snapshot_sql(P.LIVE_MAX_AGE)) + f"""
 SELECT 'positions' AS type, {AS_OF_SQL} AS timestamp, (SELECT CAST(count(*) AS BIGINT) FROM snap) AS count, * FROM snap""")
 def positions_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.positions_rows(_snapshot(spark, sf_dir, P.LIVE_MAX_AGE), P.AS_OF)
+    # landed once (a row per aircraft): its rows and their number are two readings
+    return L.positions_rows(materialize(_snapshot(spark, sf_dir, P.LIVE_MAX_AGE)), P.AS_OF)
 
 
 # ---------------------------------------------------------------- P16
@@ -256,7 +258,7 @@ SELECT icao24, CAST(rn AS BIGINT) AS rn, longitude AS lon, latitude AS lat FROM
 
 @register("rolling_trail", ROLLING_TRAIL_SQL)
 def rolling_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = wire_states(spark, sf_dir).filter(F.col("icao24").isNotNull())
+    s = wire_states(spark, sf_dir, "icao24", "latitude", "longitude", "offset").filter(F.col("icao24").isNotNull())
     return T.rolling_trail_end_state(s, P.ROLLING_TRAIL_POINTS, ("offset",))
 
 
@@ -270,7 +272,7 @@ w AS (
   WINDOW t AS (PARTITION BY icao24 ORDER BY "offset" ROWS BETWEEN {P.ROLLING_TRAIL_POINTS - 1} PRECEDING AND CURRENT ROW)
 )""") + "\nSELECT * FROM w")
 def rolling_trail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = wire_states(spark, sf_dir).filter(F.col("icao24").isNotNull())
+    s = wire_states(spark, sf_dir, "icao24", "latitude", "longitude", "offset").filter(F.col("icao24").isNotNull())
     # buckets of the arrival order (offsets are spaced by 1e9 per slot)
     rows = T.rolling_trail_rows(s, P.ROLLING_TRAIL_POINTS, ("offset",),
                                 bucket=F.floor(F.col("offset") / F.lit(10 ** 12)))

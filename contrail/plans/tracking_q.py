@@ -14,6 +14,7 @@ from contrail.plans.oracle_ctes import DIM, FS, SEARCHES, SUBS, TRACKED, with_ct
 from contrail.plans.registry import register
 from contrail.plans.snapshot_q import _snapshot, _snapshot_sql
 from contrail.plans.trails_q import history
+from contrail.session import shared_dir
 from contrail.sources import standins as S
 from contrail.sources.tables import table
 
@@ -37,7 +38,8 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(k == 3, F.lower(F.substring(cs, 1, 3)))
          .when(k == 4, F.substring(S.icao_of(u), 1, 4))
          .when(k == 5, F.lit(" x"))
-         .when(k == 6, F.concat(F.lower(F.substring(cs, 1, 2)), F.lit(" "))))
+         .when(k == 6, F.concat(F.lower(F.substring(cs, 1, 2)), F.lit(" ")))
+         .otherwise(cs))
     return table(spark, sf_dir, "customer").select(q.alias("query")).filter(F.col("query").isNotNull()).distinct()
 
 
@@ -87,7 +89,7 @@ def tracked_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- J1 S8
-@register("airline_lookup", with_ctes(FS, """
+_AIRLINE_SQL = with_ctes(FS, """
 airlines AS (SELECT * FROM (VALUES ('DLH', 'Lufthansa', 'LH'), ('AAL', 'American Airlines', 'AA'),
                                    ('XX', 'Example Air', 'XX')) AS t(prefix, name, iata))""") + """
 SELECT f.event_id, f.icao24, f.callsign,
@@ -95,12 +97,24 @@ SELECT f.event_id, f.icao24, f.callsign,
        CASE WHEN a3.prefix IS NOT NULL THEN a3.iata ELSE a2.iata END AS airline_iata
 FROM fs f
 LEFT JOIN airlines a3 ON substring(upper(regexp_replace(f.callsign, '^\\s+|\\s+$', '', 'g')), 1, 3) = a3.prefix
-LEFT JOIN airlines a2 ON substring(upper(regexp_replace(f.callsign, '^\\s+|\\s+$', '', 'g')), 1, 2) = a2.prefix""")
+LEFT JOIN airlines a2 ON substring(upper(regexp_replace(f.callsign, '^\\s+|\\s+$', '', 'g')), 1, 2) = a2.prefix"""
+
+
+@register("airline_lookup", _AIRLINE_SQL)
 def airline_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     fs = history(spark, sf_dir).select("event_id", "icao24", "callsign")
     return D.airline_lookup(fs, S.airlines_sample(spark))
 
 
+@register("airline_file_lookup", _AIRLINE_SQL)
+def airline_file_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the airlines in a file of the user's, keys in any case."""
+    path = shared_dir(spark, "airlines")
+    S.airlines_sample(spark).select(F.concat(F.lit(" "), F.lower("prefix")).alias("prefix"), "name", "iata").write.option("header", "true").csv(path)
+    fs = history(spark, sf_dir).select("event_id", "icao24", "callsign")
+    return D.airline_lookup(fs, D.read_dimension(spark, path, D.AIRLINE_SCHEMA))
+
+
 # ---------------------------------------------------------------- J5 S9
 @register("aircraft_dim_join", with_ctes(FS, DIM, """
 lt AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY icao24 ORDER BY time DESC, event_id DESC) AS rk FROM fs)

@@ -167,8 +167,7 @@ def route_candidates(orders: DataFrame, as_of: str = AS_OF) -> DataFrame:
         F.concat(F.lit("Field "), dcode).alias("name"),
     )
     return (
-        orders.filter(~((u % 3 == 2) & (st == "P")))
-        .select(
+        orders.select(
             cs.alias("callsign"),
             k.alias("pos"),
             actual_off.alias("actual_off"),
@@ -204,31 +203,14 @@ def subscription_requests(customer: DataFrame, as_of: str = AS_OF) -> DataFrame:
     a = ntz(as_of)
     created = a - F.make_dt_interval(hours=(c % 30).cast("int"))
     cs = F.when(c % 4 == 0, F.lit("  ")).otherwise(F.concat(callsign_of(u, ROUTE_CALLSIGN_PREFIX), F.lit(" ")))
-    base = customer.select(
-        F.when(c % 2 == 0, F.upper(email)).otherwise(email).alias("email"),
-        icao.alias("icao24"),
-        cs.alias("callsign"),
-        (c % 7 == 0).alias("notified"),
-        created.alias("created_at"),
-        (c * 3).alias("seq"),
-    )
-    resub = customer.filter(c % 5 == 0).select(
-        F.when(c % 2 == 0, email).otherwise(F.upper(email)).alias("email"),
-        F.upper(icao).alias("icao24"),
-        F.concat(callsign_of(u, ROUTE_CALLSIGN_PREFIX)).alias("callsign"),
-        F.lit(False).alias("notified"),
-        (created + F.expr("INTERVAL 30 MINUTES")).alias("created_at"),
-        (c * 3 + 1).alias("seq"),
-    )
-    bad = customer.filter(c % 13 == 0).select(
-        F.regexp_replace(email, "@", ".").alias("email"),
-        icao.alias("icao24"),
-        F.lit("").alias("callsign"),
-        F.lit(False).alias("notified"),
-        created.alias("created_at"),
-        (c * 3 + 2).alias("seq"),
-    )
-    return base.unionByName(resub).unionByName(bad)
+    row = lambda email, icao, callsign, notified, created, seq: F.struct(
+        email.alias("email"), icao.alias("icao24"), callsign.alias("callsign"), notified.alias("notified"), created.alias("created_at"), seq.alias("seq"))
+    first = row(F.when(c % 2 == 0, F.upper(email)).otherwise(email), icao, cs, c % 7 == 0, created, c * 3)
+    again = row(F.when(c % 2 == 0, email).otherwise(F.upper(email)), F.upper(icao), callsign_of(u, ROUTE_CALLSIGN_PREFIX), F.lit(False),
+                created + F.expr("INTERVAL 30 MINUTES"), c * 3 + 1)
+    bad = row(F.regexp_replace(email, "@", "."), icao, F.lit(""), F.lit(False), created, c * 3 + 2)
+    sent = F.filter(F.array(first, F.when(c % 5 == 0, again), F.when(c % 13 == 0, bad)), lambda r: r.isNotNull())
+    return customer.select(F.explode(sent).alias("r")).select("r.*")
 
 
 def unsubscribe_requests(customer: DataFrame) -> DataFrame:
@@ -311,9 +293,10 @@ def tracked_actions(spark: SparkSession) -> DataFrame:
 
 
 def track_log(events: DataFrame) -> DataFrame:
-    """Track/untrack actions from `events`: clicks track, errors untrack."""
-    return events.filter(F.col("event_type").isin("click", "error")).select(
+    """A user's actions from `events`: clicks track, errors untrack, the rest only look."""
+    return events.select(
         F.col("event_id").alias("seq"),
-        F.when(F.col("event_type") == "click", F.lit("track")).otherwise(F.lit("untrack")).alias("action"),
+        F.when(F.col("event_type") == "click", F.lit("track")).when(F.col("event_type") == "error", F.lit("untrack"))
+        .otherwise(F.lit("look")).alias("action"),
         icao_of(F.col("user_id")).alias("icao24"),
     )

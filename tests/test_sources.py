@@ -1,6 +1,8 @@
 """Landed-file scans, sinks and single-aircraft forms."""
 
 import re
+
+import pytest
 import datetime as dt
 import json
 import os
@@ -186,3 +188,28 @@ def test_positions_document_pages(spark):
     assert ids == [f"{i:06d}" for i in range(23)]
     back = L.positions_messages_only(spark.createDataFrame([(d.message,) for d in docs], "value string"))
     assert back.count() == 23
+
+
+def test_wire_files_of_one_key_stay_together(spark):
+    """K1: what the file writer lands is what a stream of the topic reads."""
+    from contrail.sinks.wire import to_wire, write_json_files
+
+    root = shared_dir(spark, "wire-files")
+    h = history(spark, SF_SMALL)
+    for half in (0, 1):
+        write_json_files(h.filter(F.col("event_id") % 2 == half), root, partitions=4)
+    back = spark.read.schema("key string, value string").json(root)
+    assert spark_rows(back) == spark_rows(to_wire(h))
+    files = back.withColumn("f", F.input_file_name()).groupBy("key").agg(F.count_distinct("f").alias("n"))
+    assert files.filter("n > 2").count() == 0  # one file of each of the two writes
+
+
+def test_airline_keys_that_cannot_match_are_an_error(spark):
+    from contrail.operators import dims as D
+
+    flights = spark.createDataFrame([("dlh12 ",), (None,)], "callsign string")
+    good = spark.createDataFrame([(" dlh", "Lufthansa", "LH"), (None, "x", "x")], "prefix string, name string, iata string")
+    assert [r.airline_iata for r in D.airline_lookup(flights, good).orderBy("callsign").collect()] == [None, "LH"]
+    bad = spark.createDataFrame([("D\u00dc", "x", "x")], "prefix string, name string, iata string")
+    with pytest.raises(Exception, match="airline key"):
+        D.airline_lookup(flights, bad).collect()
