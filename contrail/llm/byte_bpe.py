@@ -34,9 +34,9 @@ from contrail.llm.common import landed
 NONE = 2**31 - 1  # no such pair
 ID_BITS = 20      # identifiers are below 2 ** ID_BITS
 #: Distinct words sent to every task: at most this many, each of at most so many characters.
-FREQUENT_WORDS = 524_288
+FREQUENT_WORDS = 393_216
 FREQUENT_CHARS = 32
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 LONG_BYTES = 512
 STEPS_PER_DOUBLING = 8  # classes of word counts, for the choice of the frequent ones
 
@@ -202,7 +202,8 @@ def _sliced(shared, schema: pa.Schema):
     each, a code for each word, and the distinct words that are not known yet.
     Code c >= 0 is frequent word c, -1 - i the i-th of rare and then long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value[0]
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back when a slice is done
+        known = shared.value
 
         def told(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             keys = pa.concat_arrays([p.column(0) for p in parts])
@@ -238,19 +239,22 @@ def _sliced(shared, schema: pa.Schema):
 def _assembled(shared, schema: pa.Schema):
     """Slices with the identifiers of their rare words back to rows (key, token_ids, decoded)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, starts, sizes, ids, ranks = shared.value
+        pa.set_memory_pool(pa.system_memory_pool())
+        starts, sizes, ids, ranks = shared.value
         pieces = binary_pieces(ranks)
         for batch in batches:
             for at in range(batch.num_rows):
                 keys, per_doc, codes, folded = (batch.column(c)[at].values for c in ("keys", "sizes", "codes", "folded"))
                 long = [merged_piece(w.encode(), ranks) for w in batch.column("long")[at].as_py()]
                 own_sizes = np.concatenate([pc.list_value_length(folded).to_numpy(zero_copy_only=False), [len(x) for x in long]]).astype(np.int64)
-                every = np.concatenate([ids, folded.flatten().to_numpy(zero_copy_only=False), *(np.array(x, np.int32) for x in long)])
+                own_ids = np.concatenate([folded.flatten().to_numpy(zero_copy_only=False), *(np.array(x, np.int32) for x in long)])
+                every = np.concatenate([ids, own_ids])
                 own_starts = len(ids) + np.cumsum(own_sizes) - own_sizes
                 code = codes.to_numpy(zero_copy_only=False)
-                # negative codes count from the end: -1 - i is the i-th rare word
-                begin = np.concatenate([starts, own_starts[::-1]])[code]
-                size = np.concatenate([sizes, own_sizes[::-1]])[code]
+                own = code < 0
+                begin, size = starts[np.where(own, 0, code)] if len(starts) else np.zeros(len(code), np.int64), np.empty(len(code), np.int64)
+                begin[own], size[own] = own_starts[-1 - code[own]], own_sizes[-1 - code[own]]
+                size[~own] = sizes[code[~own]]
                 ends = np.cumsum(size)
                 place = np.repeat(begin - ends + size, size)
                 place += np.arange(len(place))
@@ -312,15 +316,17 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, key: str = "
     ids = known.column("ids").combine_chunks() if len(known) else pa.array([], pa.list_(pa.int32()))
     sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
     words = known.column("word").combine_chunks().cast(pa.string()) if len(known) else pa.array([], pa.string())
-    shared = docs.sparkSession.sparkContext.broadcast(  # at most ``frequent`` words of FREQUENT_CHARS characters, and the vocabulary
-        (words, np.cumsum(sizes) - sizes, sizes, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ranks))
+    # at most ``frequent`` words of FREQUENT_CHARS characters, and the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    known_ids = docs.sparkSession.sparkContext.broadcast(
+        (np.cumsum(sizes) - sizes, sizes, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ranks))
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), bpe.words(docs[text]).alias("words"))
     ddl = f"keys array<{kind}>, sizes array<int>, codes array<int>, rare array<string>, long array<string>"
     slices = rows.mapInArrow(_sliced(shared, _arrow(_struct(ddl))), ddl)
     folded = slices.select("keys", "sizes", "codes", "long", bpe.encode_words(F.col("rare")).alias("folded"))
     ddl = f"key {kind}, token_ids array<int>, decoded binary"
-    return folded.mapInArrow(_assembled(shared, _arrow(_struct(ddl))), ddl).withColumnRenamed("key", key)
+    return folded.mapInArrow(_assembled(known_ids, _arrow(_struct(ddl))), ddl).withColumnRenamed("key", key)
 
 
 def _struct(ddl: str):

@@ -14,6 +14,8 @@ from contrail.session import shared_dir
 WORD_SPACE = " \t\n\x0b\x0c\r"
 # A worker's memory holds this many rows of text at a time.
 ROWS_AT_ONCE = 256
+# A task that lands a table holds at most about this much of it.
+LANDED_BLOCK = 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +26,7 @@ def landed(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage of
     a table that several later steps read, in a form that outlives executors."""
     path = shared_dir(df.sparkSession, purpose) + "/rows"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", LANDED_BLOCK).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

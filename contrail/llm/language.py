@@ -36,7 +36,9 @@ STEPS, SEQUENCES, LENGTH = 160, 48, 48
 RATE, DECAY = 0.3, 1e-4
 FLOOR = -12.0        # a single word counts for no more than this against a language
 CHUNK = 64           # words per step of the scan over a text
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
+WORDS_AT_ONCE = 4096
+TEXT_AT_ONCE = 1 << 20  # bytes of text that are labelled together (one text at least)
 UNKNOWN = "und"
 LEAST = 0.4          # mean probability of the language of a document that is kept
 
@@ -241,7 +243,9 @@ class Labeller:
             n, table = len(self.known), self.field.table
             while n + len(new) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
-            self.scores[n:n + len(new)] = sum(np.add.reduceat(table[p], begin) for p, begin in features(new))
+            for at in range(0, len(new), WORDS_AT_ONCE):
+                part = new[at:at + WORDS_AT_ONCE]
+                self.scores[n + at:n + at + len(part)] = sum(np.add.reduceat(table[p], begin) for p, begin in features(part))
             self.known.update(zip(new, range(n, n + len(new))))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
@@ -321,10 +325,13 @@ def identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     learned = bool(field.labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         labeller = Labeller(Field(*shared.value))
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            at, mean = 0, max(1, batch.column(text).nbytes // max(1, batch.num_rows))
+            while at < batch.num_rows:
+                part = batch.slice(at, max(1, min(ROWS_AT_ONCE, TEXT_AT_ONCE // mean)))
+                at += part.num_rows
                 texts = part.column(text).to_pylist()
                 if learned:
                     keep = [n != UNKNOWN and s >= least for n, s in zip(*labeller.label(texts))]
