@@ -323,7 +323,8 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, key: str = "
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), bpe.words(docs[text]).alias("words"))
     ddl = f"keys array<{kind}>, sizes array<int>, codes array<int>, rare array<string>, long array<string>"
-    slices = rows.mapInArrow(_sliced(shared, _arrow(_struct(ddl))), ddl)
+    # landed, so that a task has one Python worker at a time
+    slices = landed(rows.mapInArrow(_sliced(shared, _arrow(_struct(ddl))), ddl), "bpe-slices")
     folded = slices.select("keys", "sizes", "codes", "long", bpe.encode_words(F.col("rare")).alias("folded"))
     ddl = f"key {kind}, token_ids array<int>, decoded binary"
     return folded.mapInArrow(_assembled(known_ids, _arrow(_struct(ddl))), ddl).withColumnRenamed("key", key)

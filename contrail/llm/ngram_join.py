@@ -417,14 +417,28 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
                         percent: int = PERCENT) -> DataFrame:
     """``docs`` (all columns) with one row of each component: that of the least
-    key (a null key last). Rows are told apart by a number of their own, so
-    different texts under one key all stay, and near copies go whether or not
-    they have a key. Texts without words are nobody's copies and stay."""
+    key (a null key last), of equal rows (key and text) one. Rows are told
+    apart by a 64-bit hash of key and text, so different texts under one key
+    all stay, and near copies go whether or not they have a key; rows that
+    share the hash but not key and text are found and all stay. Texts without
+    words are nobody's copies and stay."""
     row = "_row" + "_" * max([0, *(len(c) for c in docs.columns)])  # no column of that name
-    rows = landed(docs.withColumn(row, F.monotonically_increasing_id()), "ngram-rows")
+    rows = docs.withColumn(row, F.xxhash64(key, text))
     classes = landed(jaccard_classes(rows, row, text, words, percent).filter("n_shingles > 0").select(row, "component_id"), "ngram-classes")
+    repeated = classes.groupBy(row).count().filter("count > 1").select(row)
+    whole = F.struct(F.col(key).isNull(), key, F.sha2(text, 256))
+    again = landed(rows.join(repeated, row, "left_semi").groupBy(row).agg(F.min(whole) == F.max(whole)).toDF(row, "equal"), "ngram-repeated")
+    alike = again.filter("equal").select(row)
     many = classes.groupBy("component_id").count().filter("count > 1").select("component_id")
-    known = classes.join(many, "component_id").join(rows.select(row, F.col(key).alias("_key")), row)
+    known = classes.join(many, "component_id").join(again.filter("NOT equal").select(row), row, "left_anti").distinct()
+    known = known.join(rows.select(row, F.col(key).alias("_key")).distinct(), row)
     keep = known.groupBy("component_id").agg(F.min(F.struct(F.col("_key").isNull(), "_key", row))[row].alias("_keep"))
     gone = landed(known.join(keep, "component_id").filter(F.col(row) != F.col("_keep")).select(row), "ngram-gone")
-    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, row, "left_anti").drop(row)
+    small = gone.count() <= BROADCAST_IDS
+    kept = rows.join(F.broadcast(gone) if small else gone, row, "left_anti")
+    if not alike.isEmpty():
+        place = "_at" + row
+        order = Window.partitionBy(row).orderBy(*[c for c, t in docs.dtypes if c not in (key, text) and not t.startswith("map")], F.lit(0))
+        one = kept.join(alike, row, "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
+        kept = kept.join(alike, row, "left_anti").unionByName(one)
+    return kept.drop(row)
