@@ -320,6 +320,8 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, key: str = "
     shared = docs.sparkSession.sparkContext.broadcast(words)
     known_ids = docs.sparkSession.sparkContext.broadcast(
         (np.cumsum(sizes) - sizes, sizes, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ranks))
+    del known, ids, words
+    pa.default_memory_pool().release_unused()
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), bpe.words(docs[text]).alias("words"))
     ddl = f"keys array<{kind}>, sizes array<int>, codes array<int>, rare array<string>, long array<string>"

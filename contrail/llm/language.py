@@ -193,9 +193,11 @@ class Field:
         whole, transition = np.zeros((1 << TABLE_BITS, k), np.float32), np.eye(k)
         if k < 2:
             return cls(labels, whole, transition)
-        kinds = features(list(vocabulary))
-        places = np.concatenate([p for p, _ in kinds])
-        owner = np.concatenate([np.repeat(np.arange(len(vocabulary)), np.diff(np.append(begin, len(p)))) for p, begin in kinds])
+        names, parts = list(vocabulary), []
+        for at in range(0, len(names), WORDS_AT_ONCE):
+            for p, begin in features(names[at:at + WORDS_AT_ONCE]):
+                parts.append((p.astype(np.int32), np.repeat(np.arange(at, at + len(begin), dtype=np.int32), np.diff(np.append(begin, len(p))))))
+        places, owner = (np.concatenate(x) for x in zip(*parts))
         by_word = np.argsort(owner, kind="stable")
         places, owner = places[by_word], owner[by_word]
         used, flat = np.unique(places, return_inverse=True)  # rows of the table that the sample has
