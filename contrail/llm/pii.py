@@ -21,18 +21,22 @@ from contrail.llm.common import landed
 
 KINDS = ("email", "ip", "card", "phone")
 #: The fixed forms. Possessive repeats match the same texts as plain ones here
-#: (what follows a repeat is never in it) and need no stack on long runs. Runs
+#: (what follows a repeat is never in it) and need no stack on long runs. A match
+#: that fails at the begin of a run fails all along it, so e-mail and IP address
+#: are tried there and where the last match ended only: linear in the text. Runs
 #: of fewer than 13 digits cannot be cards and are not matched at all.
 FORMS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A text without a match of this has none of the form either.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){12}", "phone": r"\+[0-9]"}
-#: Identifier-shaped: a stretch with a digit or an at-sign, and groups of digits after it.
-CANDIDATE = (r"(?<![0-9A-Za-z@._%:+-])(?=[A-Za-z._%:()/+-]*+[0-9@])[+(]?[0-9A-Za-z][0-9A-Za-z@._%:()/+-]*+"
+#: Identifier-shaped: a stretch with a digit or an at-sign, and groups of digits
+#: after it. It begins where its run of characters does, not after a slash or a
+#: bracket inside.
+CANDIDATE = (r"(?<![0-9A-Za-z@._%:+-][/()]{0,8})(?=[+(]?[0-9A-Za-z])(?=[A-Za-z._%:()/+-]*+[0-9@])[+(]?[0-9A-Za-z][0-9A-Za-z@._%:()/+-]*+"
              r"(?:\x20[(]?[0-9][0-9().-]*+)*+")
 #: The words before a candidate are looked for in this many characters.
 CONTEXT_CHARS = 64
@@ -120,7 +124,8 @@ def candidates(text: Column, base: Column) -> Column:
 
 
 def learned(edges: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, confident: float = CONFIDENT) -> DataFrame:
-    """kind, t, confidence: instances that no form confirms but good patterns do.
+    """kind, t, confidence, pattern: instances that no form confirms but good
+    patterns do, a row for each of those patterns.
 
     ``edges`` has distinct rows (pattern, t, kind), kind null if unconfirmed.
     Each round scores patterns by the instances confirmed so far and then the
@@ -128,17 +133,17 @@ def learned(edges: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, confiden
     seeds_at = edges.filter(F.col("kind").isNotNull()).select("kind", "t").distinct().withColumn("w", F.lit(1.0))
     meets = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     open_ = edges.filter(F.col("kind").isNull()).select("pattern", "t")
-    known, new = seeds_at, None
+    known, new, good = seeds_at, None, None
     for _ in range(rounds):
-        good = (edges.select("pattern", "t").join(known, "t").groupBy("pattern", "kind")
+        good = landed(edges.select("pattern", "t").join(known, "t").groupBy("pattern", "kind")
                 .agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= seeds)
                 .join(meets, "pattern").select("pattern", "kind", (F.col("w") / (F.col("n") + PRIOR)).alias("c"))
-                .filter("c > 0.1"))
+                .filter("c > 0.1"), "pii-patterns")
         doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("c"), F.lit(0.999999)))))
         new = landed(open_.join(good, "pattern").groupBy("kind", "t").agg((F.lit(1.0) - doubt).alias("confidence"))
                      .filter(F.col("confidence") >= confident), "pii-learned")
         known = seeds_at.union(new.select("kind", "t", F.col("confidence").alias("w")))
-    return new
+    return open_.join(good, "pattern").select("kind", "t", "pattern").join(new, ["kind", "t"])
 
 
 def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,8 +153,9 @@ def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     A null text is empty. Rows are told apart by key and text, so repeated
     rows all get the same spans and null keys are no obstacle. Spans added for
-    a kind never overlap a base span; where two kinds claim the same added
-    stretch the more confident one (then the first kind) gets it. Other
+    a kind never overlap a base span and stand after one of the patterns that
+    vouch for them: the same text elsewhere is not touched. Where two kinds claim
+    the same text the more confident one (then the first kind) gets it. Other
     columns are not read; an empty table gives an empty one.
     """
     body = F.coalesce(docs[text], F.lit(""))
@@ -159,10 +165,12 @@ def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     cand = found.filter(F.size("cands") > 0).select("doc_id", "digest", F.explode("cands").alias("c"))
     edges = landed(cand.select(F.explode("c.patterns").alias("pattern"), F.col("c.t").alias("t"), F.col("c.kind").alias("kind"))
                    .distinct(), "pii-edges")
-    best = learned(edges).groupBy("t").agg(F.max(F.struct(
+    hits = landed(learned(edges), "pii-hits")
+    best = hits.groupBy("t").agg(F.max(F.struct(
         "confidence", F.negative(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))).alias("order"), "kind")).alias("b"))
-    added = (cand.filter(F.col("c.kind").isNull()).select("doc_id", "digest", "c.s", "c.e", "c.t")
-             .join(best.select("t", "b.kind"), "t").distinct().groupBy("doc_id", "digest")
+    vouched = hits.join(best.select("t", "b.kind"), ["t", "kind"]).select("t", "pattern", "kind")
+    added = (cand.filter(F.col("c.kind").isNull()).select("doc_id", "digest", "c.s", "c.e", "c.t", F.explode("c.patterns").alias("pattern"))
+             .join(vouched, ["t", "pattern"]).drop("pattern").distinct().groupBy("doc_id", "digest")
              .agg(F.collect_list(F.struct("kind", "s", "e", "t")).alias("added"))
              .withColumnsRenamed({"doc_id": "a_id", "digest": "a_digest"}))
     order = F.array(*map(F.lit, KINDS))

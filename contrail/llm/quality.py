@@ -1,8 +1,11 @@
 """Operator 7: quality rules with adaptive thresholds.
 
 Every document gets counts and ratios. Fences of each ratio come from
-mergeable quantile sketches (KLL) per language and source, which merge on into
-sketches per language and of the whole corpus; a group too small for a fence
+mergeable quantile sketches per language and source, which merge on into
+sketches per language and of the whole corpus. A sketch counts the values in
+buckets whose borders grow by GROWTH, so a quantile is right to half of that
+share of itself; merging adds counts, so neither order nor partitioning
+matters and the same rows always give the same fences. A group too small for a fence
 of its own takes that of the next larger one. A share is held to the strictest
 fence of its group, its language and the corpus. The fences are then joined to
 the documents and replace fixed cutoffs. Two fixed base rules stay.
@@ -10,11 +13,13 @@ the documents and replace fixed cutoffs. Two fixed base rules stay.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from contrail.llm.common import by_rows, landed
 
@@ -32,6 +37,10 @@ RATIOS = (("mean_word_chars", "low", 1.5), ("mean_word_chars", "high", 2.0), ("s
 SHARES = ("dup_line_share", "repeat_word_share")
 #: A fence lies this many quartile ranges beyond the quartile.
 REACH = 6.0
+#: Ratio of the borders of a sketch's buckets, and the least value told apart
+#: from 0: a sketch of values up to 1e9 has no more than 4,200 buckets.
+GROWTH = 1.01
+LEAST = 1e-9
 #: Documents that a group needs for a fence of its own.
 GROUP_DOCS = 200
 
@@ -91,34 +100,55 @@ def signals(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                       (F.col("n_repeat_words") / words).alias("repeat_word_share"))
 
 
-def _fence(sketch: str, side: str, least: float) -> Column:
-    """The fence of the ratio after which the sketch is named."""
-    low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
+def _fence(ratio: str, side: str, least: float) -> Column:
+    """The fence of a ratio from its quartiles."""
+    low, high = F.col(f"{ratio}_low_quartile"), F.col(f"{ratio}_high_quartile")
     reach = F.greatest(F.lit(REACH) * (high - low), F.lit(least))
-    if sketch in SHARES:
+    if ratio in SHARES:
         return high + (1 - high) * reach / (1 + reach)
     return high + reach if side == "high" else low - reach
 
 
+def bucket(value: Column) -> Column:
+    """The bucket of a value that is not negative; null for one below LEAST."""
+    return F.when(value >= LEAST, F.ceil(F.log(value) / math.log(GROWTH)).cast("int"))
+
+
+def sketches(measured: DataFrame) -> DataFrame:
+    """lang, source, ratio, bucket, n: documents with words by bucket, counted in the map tasks first."""
+    names = dict.fromkeys(r for r, _, _ in RATIOS)
+    each = F.array(*[F.struct(F.lit(r).alias("ratio"), bucket(F.coalesce(F.col(r), F.lit(0.0))).alias("bucket")) for r in names])
+    return (measured.filter(F.col("n_words") > 0).select("lang", "source", F.explode(each).alias("x"))
+            .groupBy("lang", "source", "x.ratio", "x.bucket").agg(F.count(F.lit(1)).alias("n")))
+
+
+def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """One row per group of merged sketches: n, and the quartiles of each ratio
+    (of n sorted values those at n / 4 and 3 n / 4, rounded up, as the middle of their bucket)."""
+    merged = sketch.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*by, "ratio")
+    upto = merged.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("total"))
+    value = F.when(F.col("bucket").isNull(), 0.0).otherwise(F.pow(F.lit(GROWTH), F.col("bucket")) * (2 / (GROWTH + 1)))
+    at = lambda r, q: F.min(F.when((F.col("ratio") == r) & (4 * F.col("upto") >= q * F.col("total")), value))
+    return upto.groupBy(*by).agg(F.max("total").alias("n"), *[
+        at(r, q).alias(f"{r}_{side}_quartile") for r in dict.fromkeys(r for r, _, _ in RATIOS) for side, q in (("low", 1), ("high", 3))])
+
+
 def fences(measured: DataFrame, group_docs: int = GROUP_DOCS) -> DataFrame:
     """One row per (lang, source) with the fence of each ratio. Sketches are
-    built once, per language and source, with partial aggregation in the map
-    tasks, and merged upwards; what is joined later has one row per group."""
-    names = list(dict.fromkeys(r for r, _, _ in RATIOS))
-    group = measured.filter(F.col("n_words") > 0).groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.coalesce(r, F.lit(0.0))).alias(r) for r in names])
-
-    def merged(*by: str) -> DataFrame:
-        return group.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r).alias(r) for r in names])
+    counted once, per language and source, and merged upwards; what is joined
+    later has one row per group."""
+    sketch = landed(sketches(measured), "quality-sketches")
+    group = quartiles(sketch, "lang", "source")
 
     def cut(g: DataFrame, level: str, *by: str) -> DataFrame:
         own = [_fence(r, side, least).alias(f"{level}_{r}_{side}") for r, side, least in RATIOS]
         return g.select(*by, F.col("n").alias(f"{level}_n"), *own)
 
     out = (cut(group, "own", "lang", "source").alias("g")
-           .join(cut(merged("lang").withColumnRenamed("lang", "l"), "lang", "l"), F.col("g.lang").eqNullSafe(F.col("l")))
+           .join(cut(quartiles(sketch, "lang").withColumnRenamed("lang", "l"), "lang", "l"), F.col("g.lang").eqNullSafe(F.col("l")))
            .drop("l"))
-    whole = cut(merged(), "all")  # one row
+    whole = cut(quartiles(sketch), "all")  # one row
     corpus = whole.select(F.struct(*whole.columns).alias("w")).scalar()
     out = out.withColumn("corpus", corpus).select("*", "corpus.*")
 

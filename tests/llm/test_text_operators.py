@@ -4,6 +4,7 @@ brute force, planted cases and odd rows."""
 import base64
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -126,6 +127,56 @@ def test_personal_data_base_and_learned(spark, texts):
     assert more == {-200 - i: [("phone", f"0171 555 01{i:02d}")] for i in range(3)}
 
 
+def test_personal_data_only_after_the_learned_words(spark):
+    """A number learned after "mobile on" is no personal data after other words."""
+    rows = CONTEXT + [(-300, "call my mobile on 0171 555 0100 or quote part 0171 555 0100 to us")]
+    got = {r.doc_id: [(x.kind, x.s) for x in r.spans] for r in pii.find_spans(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[-300] == [("phone", 18)] and got[-200] == [("phone", 26)]
+
+
+def test_personal_data_in_very_long_runs(spark):
+    """Runs of one kind of character take time in proportion to their length."""
+    n = 300_000
+    rows = [(1, "a" * n), (2, "1" * n), (3, "/" * n), (4, "(" * n), (5, "/a" * n), (6, "%" * n + "@x." + "y" * n), (7, "a@" * n), (8, "1." * n)]
+    got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.base] for r in pii.find_spans(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[6] == [("email", 0, 2 * n + 3)] and not any(got[i] for i in (1, 2, 3, 4, 5, 7))
+    assert got[8][:2] == [("ip", 0, 7), ("ip", 8, 15)] and len(got[8]) == n // 4
+
+
+def brute_learned(edges):
+    """The rounds of scoring over plain sets and sums."""
+    meets = collections.Counter(p for p, _, _ in edges)
+    seeds = {(k, t): 1.0 for _, t, k in edges if k}
+    known, new, good = dict(seeds), {}, {}
+    for _ in range(pii.ROUNDS):
+        sums = collections.defaultdict(list)
+        for p, t, _ in edges:
+            for (k, u), w in known.items():
+                if u == t:
+                    sums[p, k].append(w)
+        good = {x: sum(w) / (meets[x[0]] + pii.PRIOR) for x, w in sums.items() if len(w) >= pii.SEEDS}
+        good = {x: c for x, c in good.items() if c > 0.1}
+        doubt = collections.defaultdict(lambda: 1.0)
+        for p, t, kind in edges:
+            for (q, k), c in good.items():
+                if p == q and kind is None:
+                    doubt[k, t] *= 1 - min(c, 0.999999)
+        new = {x: 1 - d for x, d in doubt.items() if 1 - d >= pii.CONFIDENT}
+        known = list(seeds.items()) + list(new.items())
+        known = dict(known)
+    return {(k, t, p): new[k, t] for p, t, kind in edges if kind is None for k in pii.KINDS if (k, t) in new and (p, k) in good}
+
+
+def test_learned_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    edges = {(f"p{rng.integers(6)}", f"{k or 'x'}{rng.integers(25)}", k) for k in (None, "email", "phone") for _ in range(60)}
+    edges |= {("near phone", f"phone{i}", "phone") for i in range(25)} | {("near phone", f"x{i}", None) for i in range(3)}
+    edges = sorted(edges, key=str)
+    got = {(r.kind, r.t, r.pattern): r.confidence for r in pii.learned(spark.createDataFrame(edges, "pattern string, t string, kind string")).collect()}
+    want = brute_learned(edges)
+    assert want and got.keys() == want.keys() and all(abs(got[x] - c) < 1e-9 for x, c in want.items())
+
+
 def test_redaction_keeps_everything_else(spark):
     docs = spark.createDataFrame([(1, "mail a@b.de, +49 170 1234567!", "k"), (2, None, None), (2, "plain", "p")], DOCS + ", t string")
     assert tally(pii.redacted(docs).collect()) == tally([(1, "mail <EMAIL>, <PHONE>!", "k"), (2, None, None), (2, "plain", "p")])
@@ -172,6 +223,57 @@ def test_quality_fences_of_shares_can_be_broken(spark):
         assert not got[i].base_failed and list(got[i].broken_fences) == ["dup_line_share_high"]
 
 
+def brute_kept(rows, least_docs):
+    """Verdicts from sorted lists of bucketed ratios."""
+    ratios = {}
+    for i, t, *group in rows:
+        n, chars, symbols, dup, rep = brute_quality(t)
+        if n:
+            lines = sum(1 for x in t.split("\n") if x.split())
+            ratios[i] = dict(mean_word_chars=chars / n, symbols_per_word=symbols / n, dup_line_share=dup / lines, repeat_word_share=rep / n)
+    levels = [lambda g: tuple(g), lambda g: g[0], lambda g: None]
+    members = [collections.defaultdict(list) for _ in levels]
+    for i, _, *g in rows:
+        if i in ratios:
+            for level, m in zip(levels, members):
+                m[level(g)].append(ratios[i])
+
+    def fence(docs, r, side, least):
+        b = sorted(-1e9 if x[r] < quality.LEAST else math.ceil(math.log(x[r]) / math.log(quality.GROWTH)) for x in docs)
+        low, high = (0.0 if x == -1e9 else quality.GROWTH ** x * 2 / (quality.GROWTH + 1) for x in (b[-(-len(b) // 4) - 1], b[-(-3 * len(b) // 4) - 1]))
+        reach = max(quality.REACH * (high - low), least)
+        return high + (1 - high) * reach / (1 + reach) if r in quality.SHARES else high + reach if side == "high" else low - reach
+
+    out = {}
+    for i, t, *g in rows:
+        n, _, _, _, rep = brute_quality(t)
+        out[i] = n >= 50 and 100 * rep <= 50 * n
+        for r, side, least in quality.RATIOS:
+            if i in ratios:
+                large = [m[f(g)] for f, m in zip(levels, members) if f(g) is None or len(m[f(g)]) >= least_docs]
+                own = [fence(x, r, side, least) for x in large]
+                at = min(own) if r in quality.SHARES else own[0]
+                out[i] &= ratios[i][r] <= at if side == "high" else ratios[i][r] >= at
+    return out
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    """Groups large and small, null ones too; the same whatever the partitions are."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(900):
+        lang, source = [("en", "a"), ("en", "b"), ("de", "a"), (None, "a"), ("fr", None)][min(int(rng.exponential(1.2)), 4)]
+        words = [("x" * rng.integers(1, 4 + 30 * (i % 40 == 0))) + str(rng.integers(10**6)) + "#" * int(i % 15 == 0 and rng.integers(2)) for _ in range(rng.integers(40, 120))]
+        text = "\n".join(" ".join(words[j:j + 6]) for j in range(0, len(words), 6))
+        rows.append((i, text + ("\n" + text[:rng.integers(len(text))]) * int(i % 7 == 0), lang, source))
+    rows += [(901, None, None, None), (902, "", "en", "a"), (903, " ", "it", "z")]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string, source string")
+    want = brute_kept(rows, 100)
+    assert 20 < sum(not k for i, k in want.items() if brute_quality(rows[i][1] if i < 900 else "")[0] >= 50) < 300
+    for n in (1, 5):
+        assert {r.key: r.kept for r in quality.judge(docs.repartition(n), group_docs=100).collect()} == want
+
+
 def test_forward_backward_equals_the_plain_recursion():
     rng = np.random.default_rng(1)
     lengths, k = np.array([1, 0, 5, 200, 64, 65, 128]), 3
