@@ -241,13 +241,29 @@ def _rows_of(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
+class Forest:
+    """Links between the rows of a cell that join two of its components."""
+
+    def __init__(self, rows: int):
+        self.part = np.arange(rows)
+
+    def joining(self, query: int, near: np.ndarray) -> np.ndarray:
+        """Those of ``near`` to link with ``query`` so that all are one component: one of each other component."""
+        parts, at = np.unique(self.part[near], return_index=True)
+        other = parts != self.part[query]
+        if other.any():
+            self.part[np.isin(self.part, parts[other])] = self.part[query]
+        return near[at[other]]
+
+
 def _search(cosine: float):
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("cell", pa.string()), ("via", pa.int64())])
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("node", pa.int64()), ("degree", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("cell", pa.string()), ("via", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place, rows in groups(batches, KEYS):
             ids = np.array([r["node"] for r in rows])
             x = np.array([r["x"] for r in rows])
+            copies, forest = np.array([r["copies"] for r in rows], np.int64), Forest(len(rows))
             order = np.argsort(ids)
             members = np.flatnonzero([r["member"] for r in rows])
             queries = np.flatnonzero([r["home"] for r in rows])
@@ -265,8 +281,13 @@ def _search(cosine: float):
             for part in np.array_split(queries, -(-len(queries) // 512)):
                 a, b, through = search(x, flat, bounds, part, medoid, cosine)
                 far[through] = True
-                a, b = ids[a], ids[b]
-                yield _rows_of(schema, x=np.minimum(a, b), y=np.maximum(a, b))
+                if not len(a):
+                    continue
+                at, first = np.unique(a, return_index=True)  # ``a`` is sorted
+                ends = [forest.joining(q, near) for q, near in zip(at, np.split(b, first[1:]))]
+                u, v = ids[np.repeat(at, [len(e) for e in ends])], ids[np.concatenate(ends)]
+                yield _rows_of(schema, x=np.minimum(u, v), y=np.maximum(u, v))
+                yield _rows_of(schema, node=ids[at], degree=np.add.reduceat(copies[b], first))
             far[members] = False
             via = ids[far]  # their neighbours may be in range, too, and need not be among the rows
             yield _rows_of(schema, via=via, **{k: [v] * len(via) for k, v in zip(KEYS, place)})
@@ -290,31 +311,38 @@ def classes(vectors: DataFrame, key: str, embedding: str, label: str) -> DataFra
     return same.mapInArrow(norm, "label string, dim int, node long, v array<double>, copies long")
 
 
-def near_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """x < y: linked classes of ``vectors`` (the rows of ``classes``)."""
+def near_links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
+    """Links x < y that connect what is linked, and node, degree (vectors that a
+    class is linked with outside itself), of ``vectors`` (the rows of ``classes``).
+
+    A class is searched for in its home cell, so that cell knows its degree; of
+    the links it emits those that join two components there, fewer than it has
+    rows. A cloud of n near vectors over c cells gives at most c * n links."""
     cells = placed(vectors)
-    own = vectors.select("node", F.col("v").alias("x"))
-    dealt = cells.select(*KEYS, "node").join(own, "node").repartition(*KEYS).sortWithinPartitions(*KEYS, "node")
+    own = vectors.select("node", F.col("v").alias("x"), "copies")
+    dealt = cells.select(*KEYS, "node").join(own.drop("copies"), "node").repartition(*KEYS).sortWithinPartitions(*KEYS, "node")
     edges = landed(dealt.mapInArrow(_build, "u long, v long").distinct(), "embedding-graph")
     lists = edges.groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("near"))  # members of few cells
-    full = landed(own.join(lists, "node", "left").select("node", "x", F.coalesce("near", F.array().cast("array<long>")).alias("near")), "embedding-lists")
+    full = landed(own.join(lists, "node", "left").select("node", "x", "copies", F.coalesce("near", F.array().cast("array<long>")).alias("near")), "embedding-lists")
     member = cells.withColumn("member", F.lit(True))
     beyond = (cells.select(*KEYS, "node").join(edges, F.col("node") == F.col("u")).select(*KEYS, F.col("v").alias("node"))
               .distinct().join(cells.select(*KEYS, "node"), [*KEYS, "node"], "left_anti")
               .withColumn("home", F.lit(False)).withColumn("member", F.lit(False)))
     there = landed(member.select(*KEYS, "node", "home", "member").union(beyond.select(*KEYS, "node", "home", "member")), "embedding-there")
-    links, cells_now = None, there
+    links, degrees, cells_now = None, None, there
     while True:
         dealt = cells_now.join(full, "node").repartition(*KEYS).sortWithinPartitions(*KEYS, "node")
-        found = landed(dealt.mapInArrow(_search(cosine), "x long, y long, label string, dim int, cell string, via long"), "embedding-found")
+        found = landed(dealt.mapInArrow(_search(cosine), "x long, y long, node long, degree long, label string, dim int, cell string, via long"), "embedding-found")
         pairs = found.filter("x is not null").select("x", "y")
-        links = pairs if links is None else links.union(pairs)
+        counted = found.filter("node is not null").select("node", "degree")
+        links, degrees = (pairs, counted) if links is None else (links.union(pairs), degrees.union(counted))
         # what a cell has in range outside of it leads on: its neighbours join the rows, until there are none
         more = landed(found.filter("via is not null").select(*KEYS, F.col("via").alias("u")).join(edges, "u").select(*KEYS, F.col("v").alias("node"))
                       .distinct().join(there.select(*KEYS, "node"), [*KEYS, "node"], "left_anti")
                       .select(*KEYS, "node", F.lit(False).alias("home"), F.lit(False).alias("member")), "embedding-more")
         if more.isEmpty():
-            return landed(links.distinct(), "embedding-links")
+            # a cell that was searched again has found no less than before
+            return landed(links.distinct(), "embedding-links"), landed(degrees.groupBy("node").agg(F.max("degree").alias("degree")), "embedding-degrees")
         there = there.union(more)
         cells_now = there.join(more.select(*KEYS).distinct(), KEYS, "left_semi")
 
@@ -328,14 +356,14 @@ def deduplicate(vectors: DataFrame, key: str = "vec_id", embedding: str = "embed
     component, kept (with a null key: null component, not kept). Equal vectors
     of one label, repeated rows included, link with each other without being
     paired. Vectors of different length do not link. Other columns are not
-    read; an empty table gives an empty one.
+    read; an empty table gives an empty one. The search is approximate: what it
+    found of a sample's links is written beside the other tables of the run, in
+    the folder embedding-audit.
     """
     cls = landed(classes(vectors, key, embedding, label), "embedding-classes")
-    pairs = near_links(cls, cosine)
-    copies = cls.select("node", "copies")
-    both = pairs.union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    degree = (both.join(copies.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node"))
-              .agg(F.sum("copies").alias("others")))
+    pairs, degrees = near_links(cls, cosine)
+    landed(audit(cls, degrees, cosine), "embedding-audit")
+    degree = degrees.withColumnRenamed("degree", "others")
     parts = components(pairs).withColumnRenamed("component", "part")
     known = (cls.select("label", "node", "copies").join(degree, "node", "left").join(parts, "node", "left")
              .select(F.col("node"), F.col("label").alias("c_label"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
@@ -351,18 +379,27 @@ def deduplicate(vectors: DataFrame, key: str = "vec_id", embedding: str = "embed
                          component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
 
 
-def audit(vectors: DataFrame, pairs: DataFrame, cosine: float = COSINE, sample: int = 256) -> tuple[int, int]:
-    """Links found and links there are, of a hash-chosen sample of classes,
-    each compared with all vectors by brute force (the sample is broadcast)."""
-    probe = [(r["node"], r["label"], np.array(r["v"])) for r in vectors.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(sample).collect()]
+def audit(vectors: DataFrame, degrees: DataFrame, cosine: float = COSINE, sample: int = 256) -> DataFrame:
+    """One row: classes sampled, links_found, links_there and recall (null where there are none).
+
+    ``sample`` classes chosen by hash are each compared with all vectors by
+    brute force (the sample, of that fixed size, goes to every task)."""
+    probe: dict[tuple, list] = {}
+    for r in vectors.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(sample).collect():
+        probe.setdefault((r["label"], r["dim"]), []).append((r["node"], r["v"]))
+    probe = {k: (np.array([n for n, _ in x]), np.array([v for _, v in x])) for k, x in probe.items()}
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+        there = {k: np.zeros(len(n), np.int64) for k, (n, _) in probe.items()}
         for batch in batches:
-            rows = [(r["node"], r["label"], np.array(r["v"])) for r in batch.to_pylist()]
-            out = [{"x": min(a, b), "y": max(a, b)} for a, la, va in probe for b, lb, vb in rows
-                   if a != b and la == lb and len(va) == len(vb) and va @ vb >= cosine]
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    truth = vectors.select("node", "label", "v").mapInArrow(brute, "x long, y long").distinct()
-    return truth.join(pairs, ["x", "y"], "left_semi").count(), truth.count()
+            for r in batch.to_pylist():
+                if (k := (r["label"], r["dim"])) in probe:
+                    nodes, v = probe[k]
+                    there[k] += r["copies"] * ((v @ np.array(r["v"]) >= cosine) & (nodes != r["node"]))
+        for k, (nodes, _) in probe.items():
+            yield pa.RecordBatch.from_pydict({"node": nodes, "there": there[k]})
+
+    truth = vectors.select("node", "label", "dim", "v", "copies").mapInArrow(brute, "node long, there long").groupBy("node").agg(F.sum("there").alias("there"))
+    both = truth.join(degrees, "node", "left").agg(
+        F.count(F.lit(1)).alias("sampled"), F.coalesce(F.sum("degree"), F.lit(0)).alias("links_found"), F.coalesce(F.sum("there"), F.lit(0)).alias("links_there"))
+    return both.withColumn("recall", F.col("links_found") / F.nullif("links_there", F.lit(0)))

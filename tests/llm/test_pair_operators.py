@@ -194,8 +194,10 @@ def test_vectors_equal_brute_force(spark):
     for i, r in enumerate(own):
         assert found[r[0]].n_links <= degree[i] and found[r[0]].component_id >= low[root[i]]
     classes = embedding_dedup.classes(vectors, "vec_id", "embedding", "label")
-    hit, there = embedding_dedup.audit(classes, embedding_dedup.near_links(classes), sample=64)
-    assert there > 0 and hit >= 0.9 * there
+    report = embedding_dedup.audit(classes, embedding_dedup.near_links(classes)[1], sample=10**4).first()
+    linked = sum(degree[i] for i, r in enumerate(own) if units[i] and r[0] == min(own[j][0] for j, u in enumerate(units) if u == units[i] and own[j][2] == r[2]))
+    assert report.sampled == classes.count() and 0.9 * report.links_there <= report.links_found <= report.links_there <= linked
+    assert report.links_there > 0 and report.recall == report.links_found / report.links_there
 
 
 def test_cells_that_are_dealt_again(spark, monkeypatch):
@@ -220,7 +222,19 @@ def test_a_cloud_larger_than_its_cells(spark, monkeypatch):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     truth = int(((u @ u.T) >= 0.98).sum()) - len(u)
     assert truth > 400_000
-    assert sum(r.n_links for r in embedding_dedup.deduplicate(docs).collect()) >= 0.99 * truth
+    got = embedding_dedup.deduplicate(docs).collect()
+    degree = ((u @ u.T) >= 0.98).sum(axis=1) - 1
+    assert sum(r.n_links for r in got) >= 0.99 * truth and all(r.n_links <= degree[r.vec_id] for r in got)
+
+
+def test_links_of_a_cloud_are_not_its_pairs(spark):
+    rng = np.random.default_rng(11)
+    v = np.ones(16) + rng.normal(size=(2000, 16)) * 0.01
+    docs = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    links, degrees = embedding_dedup.near_links(embedding_dedup.landed(embedding_dedup.classes(docs, "vec_id", "embedding", "label"), "t"))
+    assert links.count() < 10 * len(v)
+    assert [tuple(r) for r in degrees.groupBy("degree").count().collect()] == [(1999, 2000)]
+    assert components(links).filter("component = 0").count() == 2000
 
 
 PAGES = [(1, "http://a/1", "x" * 100), (2, "http://a/2", "x" * 100), (3, None, "x" * 99), (4, "http://a/4", "x" * 99), (5, "u\r\nv", None),
