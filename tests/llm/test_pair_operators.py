@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from contrail.llm import embedding_dedup, ngram_join, suffix_dedup, warc
@@ -167,6 +168,46 @@ def test_passages_need_no_borders_of_sorted_partitions(spark, monkeypatch):
         assert sorted((r.doc_id, r.start_word, r.end_word) for r in got) == [(i, 1, 56) for i in range(40)]
 
 
+@pytest.mark.parametrize("every", [2, 9, 65_536])
+def test_passages_equal_brute_force_wherever_the_sorted_order_is_cut(spark, monkeypatch, every):
+    """Texts glued from a few pieces share prefixes of every length on both sides; cuts fall inside their k-grams."""
+    monkeypatch.setattr(suffix_dedup, "RANGE", every)
+    rng = random.Random(every)
+    pieces = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(1, 9))) for _ in range(30)]
+    rows = [(i, " ".join(rng.choice(pieces) for _ in range(rng.randrange(25)))) for i in range(250)]
+    rows += [(900 + i, f"{pieces[i % 7]} {pieces[0]} {pieces[1]} {pieces[2]} {pieces[i % 11]} {i}") for i in range(80)]
+    for least in (2, 7, 12):
+        got = collections.defaultdict(set)
+        for r in suffix_dedup.repeated_passages(spark.createDataFrame(rows, DOCS), min_words=least).collect():
+            got[r.doc_id].update(range(r.start_word, r.end_word))
+        assert got == {i: s for i, s in brute_passages(rows, least).items() if s}
+
+
+def test_lengths_carried_over_cuts_equal_those_of_one_range():
+    rng = np.random.default_rng(4)
+    ctx = sorted((int(rng.integers(2)), rng.integers(0, 2, rng.integers(0, 9)).astype(np.uint32).tobytes()) for _ in range(120))
+    h, texts = [x for x, _ in ctx], [c for _, c in ctx]
+
+    def shared(i, j):
+        n = 0
+        for x, y in zip(np.frombuffer(texts[i], np.uint32), np.frombuffer(texts[j], np.uint32)):
+            if x != y:
+                break
+            n += 1
+        return n
+
+    borders = [0, 1, 2, 30, 31, 77, 120]
+    cols = {c: [0] * 120 for c in ("side", "g", "a", "b")}
+    batch = pa.RecordBatch.from_pydict({**cols, "h": h, "ctx": texts, "cut": np.repeat(np.arange(6), np.diff(borders))})
+    rows = [r for out in suffix_dedup._neighbours(iter([batch.slice(0, 50), batch.slice(50)])) for r in out.to_pylist()]
+    carried = {c: x for c, *x in suffix_dedup._carried([r for r in rows if r["edge"] is not None])}
+    for i, r in enumerate(rows):
+        got = r["ahead"] | r["back"]
+        for lengths, to in zip(carried[r["cut"]], (r["to_first"], r["to_last"])):
+            got |= suffix_dedup.clipped(lengths, min(to, 62)) if to >= 0 else 0
+        assert got == sum(1 << n for n in {shared(i, j) for j in range(120) if j != i and h[j] == h[i]})
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     rows, at = [], 0
