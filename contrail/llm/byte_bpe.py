@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from contrail.llm.common import landed
 
-NONE = 2**31 - 1  # no such pair
-ID_BITS = 20      # identifiers are below 2 ** ID_BITS
+ID_BITS = 20            # identifiers, and the places of bytes in a word that is folded, are below 2 ** ID_BITS
+_ID = (1 << ID_BITS) - 1
+NO_RANK = 1 << ID_BITS  # above every rank
 #: Distinct words sent to every task: at most this many, each of at most so many characters.
 FREQUENT_WORDS = 393_216
 FREQUENT_CHARS = 32
@@ -114,45 +115,57 @@ class ByteBpe:
         table, self.p, self.q = two_place_table(pair_ranks(ranks))
         self.pairs = _literal(table, "array<long>")
         self.bytes = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
+        self.first = _literal([ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)], "array<int>")
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def _rank(self, pairs: Column, a: Column, b: Column) -> Column:
+        """Rank of two identifiers side by side (long), NO_RANK if they are no piece."""
         def at(place: Column, k: Column, other: Column) -> Column:
-            return _let(F.get(pairs, place.cast("int")), lambda v: F.when(
-                F.shiftright(v, ID_BITS) == k, v.bitwiseAND((1 << ID_BITS) - 1).cast("int")).otherwise(other))
+            v = F.get(pairs, place.cast("int"))
+            return F.when(F.shiftright(v, ID_BITS) == k, v.bitwiseAND(_ID)).otherwise(other)
 
-        return _let(a.cast("long") * (1 << ID_BITS) + b,
-                    lambda k: at(k % self.p, k, at(k % self.q + self.p, k, F.lit(NONE))))
+        return _let(F.shiftleft(a, ID_BITS).bitwiseOR(b),
+                    lambda k: at(k % self.p, k, at(k % self.q + self.p, k, F.lit(NO_RANK).cast("long"))))
 
     def _fold(self, known: Column, word: Column) -> Column:
-        """Identifiers of one word (array of int). ``known`` has the literals."""
-        pairs, none = known["pairs"], F.array().cast("array<int>")
-
-        def start(ids: Column) -> Column:
-            return F.struct(ids.alias("s"), F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1),
-                                                        lambda a, i: self._rank(pairs, a, F.get(ids, i + 1))).alias("r"))
-
-        def merged(st: Column, low: Column, at: Column) -> Column:  # at: 1-based place of the left piece
-            s, r = st["s"], st["r"]
-            before = F.when(at > 1, F.array(self._rank(pairs, F.get(s, at - 2), low))).otherwise(none)
-            after = F.when(at + 1 < F.size(s), F.array(self._rank(pairs, low, F.get(s, at + 1)))).otherwise(none)
-            return F.struct(
-                _joined(F.slice(s, F.lit(1), at - 1), F.array(low), F.slice(s, at + 2, F.size(s))).alias("s"),
-                _joined(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after,
-                        F.slice(r, at + 2, F.size(r) + 1)).alias("r"))
-
-        def step(st: Column, _: Column) -> Column:
-            return _let(F.coalesce(F.array_min(st["r"]), F.lit(NONE)), lambda low: F.when(low == NONE, st).otherwise(
-                _let(F.array_position(st["r"], low).cast("int"), lambda at: merged(st, low, at))))
+        """Identifiers of one word (array of int). ``known`` has the literals.
+
+        A piece is one number: rank with the piece behind it, place of its
+        first byte, identifier. So the least number is the leftmost pair of
+        lowest rank, and places need no change when pieces merge."""
+        pairs, place_and_id = known["pairs"], (1 << 2 * ID_BITS) - 1
+
+        def packed(rank: Column, place_id: Column) -> Column:
+            return F.shiftleft(rank, 2 * ID_BITS).bitwiseOR(place_id)
+
+        def merged(x: Column, low: Column, at: Column) -> Column:  # at: 1-based place of the left piece
+            new = F.shiftright(low, 2 * ID_BITS)  # the identifier of a piece is its rank
+            after = F.when(at + 1 < F.size(x), self._rank(pairs, new, F.get(x, at + 1).bitwiseAND(_ID))).otherwise(F.lit(NO_RANK).cast("long"))
+            here = packed(after, low.bitwiseAND(place_and_id - _ID).bitwiseOR(new))
+            left = F.get(x, at - 2)
+            before = packed(self._rank(pairs, left.bitwiseAND(_ID), new), left.bitwiseAND(place_and_id))
+            rest = F.slice(x, at + 2, F.size(x))
+            return F.when(at == 1, _joined(F.array(here), rest)).otherwise(_joined(F.slice(x, F.lit(1), at - 2), F.array(before, here), rest))
+
+        def step(x: Column, _: Column) -> Column:
+            return _let(F.array_min(x), lambda low: F.when(low >= NO_RANK << 2 * ID_BITS, x).otherwise(
+                _let(F.array_position(x, low).cast("int"), lambda at: merged(x, low, at))))
+
+        def piece(x: Column, c: Column, i: Column) -> Column:
+            rank = F.coalesce(F.get(known["first"], c * 256 + F.get(x, i + 1)), F.lit(NO_RANK)).cast("long")
+            return packed(rank, F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(F.get(known["bytes"], c).cast("long")))
+
+        def of(x: Column) -> Column:
+            return F.aggregate(F.slice(x, F.lit(2), F.size(x)), F.transform(x, lambda c, i: piece(x, c, i)), step,
+                               lambda end: F.transform(end, lambda e: e.bitwiseAND(_ID).cast("int")))
 
         letters = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")  # one letter per byte
-        ids = F.transform(letters, lambda c: F.get(known["bytes"], F.ascii(c)))
-        return _let(ids, lambda x: F.aggregate(F.slice(x, F.lit(2), F.size(x)), start(x), step, lambda st: st["s"]))
+        return _let(F.transform(letters, F.ascii), of)
 
     def _known(self) -> Column:
-        return F.struct(self.pairs.alias("pairs"), self.bytes.alias("bytes"))
+        return F.struct(self.pairs.alias("pairs"), self.bytes.alias("bytes"), self.first.alias("first"))
 
     def encode_words(self, words: Column) -> Column:
         """Identifiers of each word of an array of words."""
