@@ -91,6 +91,15 @@ def test_trie_of_odd_rows(spark):
     df = spark.createDataFrame(rows, CONV).selectExpr("*", "1 AS k", "2 AS chain", "'z' AS digs", "3 AS part")
     assert tally(trie.prefix_trie(df, rebuild=True).collect()) == plain_trie(rows)
 
+
+def test_heads_of_conversations_below_zero(spark):
+    """-1 takes its head from -20, not from 0; the least id has no base."""
+    rng = random.Random(8)
+    rows = [(c, t, "user", f"{'first' if c == 0 else rng.choice('ab')} turn") for c in range(-60, 45) for t in range(rng.randrange(1, 6))]
+    rows += [(c, t, "user", f"far {t}") for c in (-2**63, -2**63 + 7, -2**63 + 8, 2**63 - 1) for t in range(5)]
+    assert tally(trie.prefix_trie(spark.createDataFrame(rows, CONV), rebuild=True).collect()) == plain_trie(rows)
+
+
 def plain_damage(rows):
     convs = collections.defaultdict(list)
     for c, turn, role, text in rows:
