@@ -166,12 +166,12 @@ def _latest_sql(order: str) -> str:
 
 
 @register("stream_latest", LATEST_SQL)
-def stream_latest(spark: SparkSession, sf_dir: str, files_per_trigger: int = FILES_PER_TRIGGER,
+def stream_latest(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None,
                   order: tuple[str, ...] = ("time", "offset")) -> DataFrame:
     """Keyed latest state over the stream, by event time; the end
     state is the last update per key."""
     src = land_wire_files(spark, sf_dir)
-    enriched = states_from_wire(S.wire_file_stream(spark, src, files_per_trigger)).select(*_LATEST_COLS)
+    enriched = states_from_wire(S.wire_file_stream(spark, src, files_per_trigger or per_trigger(table(spark, sf_dir, "events")))).select(*_LATEST_COLS)
     ups = _end_of(ST.latest_state(enriched, "icao24", order), "latest")
     return latest_per_key(ups, "icao24", ("batch_id",)).drop("batch_id")
 
@@ -197,11 +197,11 @@ def stream_state_table_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("stream_trail", ROLLING_TRAIL_SQL)
-def stream_trail(spark: SparkSession, sf_dir: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+def stream_trail(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
     """T4: rolling 20-point trail state; the end state per key is its last
     emitted trail."""
     src = land_wire_files(spark, sf_dir)
-    enriched = states_from_wire(S.wire_file_stream(spark, src, files_per_trigger))
+    enriched = states_from_wire(S.wire_file_stream(spark, src, files_per_trigger or per_trigger(table(spark, sf_dir, "events"))))
     ups = _end_of(ST.rolling_trail(enriched, 20, "offset"), "trail")
     last = ups.groupBy("icao24").agg(F.max("batch_id").alias("batch_id"))
     return ups.join(last, ["icao24", "batch_id"]).select("icao24", "rn", "lon", "lat")

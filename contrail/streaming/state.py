@@ -3,20 +3,27 @@
 The newest record per key is a grouped maximum: it runs in the JVM and combines
 rows before the shuffle. What a grouping cannot say (the last n points, the
 last kept point, expiry, deletes that come late) is a stateful processor with
-one small value, map or timer per key. Rows of a key that cannot matter are
+one packed value per bucket of keys and one timer (one value per key for the
+last kept point): a call for a key costs more than the work on its rows. Rows of a key that cannot matter are
 dropped before the shuffle, slice by slice, so a hot key sends few of them.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SLICE = 131_072     # rows that a task holds at a time to find the newest of each key
+BUCKETS = 4096      # values that the keys of a stream are held in
+POINT = "<qdd"       # order, longitude, latitude
 
 
 def on_disk_state(spark: SparkSession) -> None:
@@ -36,64 +43,85 @@ def latest_state(stream: DataFrame, key: str = "icao24", order: Sequence[str] =
         *(F.col(key) if c == key else F.col("s")[c].alias(c) for c in src.columns))
 
 
-def last_of_slices(stream: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    """Of every slice of rows a task reads, the ``n`` newest rows per key: all
-    that can be among the ``n`` newest of a micro-batch, and few of a hot key."""
+def last_of_slices(stream: DataFrame, key: str, order: str, n: int, rows: int = SLICE) -> DataFrame:
+    """Of every ``rows`` rows a task reads, the ``n`` newest rows per key: all
+    that can be among the ``n`` newest of a micro-batch, and few of a hot key.
+    What a slice leaves goes into the next one unless it fills half of it."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(stream.schema)
 
+    def newest(part: pa.Table) -> pa.Table:
+        at = pa.table({"key": part[key], "order": part[order], "row": pa.array(np.arange(part.num_rows))})
+        by = pc.sort_indices(at, [("key", "ascending"), ("order", "descending"), ("row", "ascending")]).to_numpy()
+        keys = part[key].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)[by]
+        first = np.concatenate(([True], keys[1:] != keys[:-1]))
+        place = np.arange(len(by))
+        rank = place - np.maximum.accumulate(np.where(first, place, 0))
+        return part.take(pa.array(np.sort(by[rank < n])))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            keys, at = batch.column(key).to_pylist(), batch.column(order).to_pylist()
-            seen: dict = {}
-            keep = []
-            for i in sorted(range(batch.num_rows), key=lambda i: -at[i]):
-                seen[keys[i]] = seen.get(keys[i], 0) + 1
-                if seen[keys[i]] <= n:
-                    keep.append(i)
-            yield batch.take(pa.array(sorted(keep), pa.int64())).cast(schema)
+            held.append(batch.cast(schema))
+            size += batch.num_rows
+            if size < rows:
+                continue
+            left = newest(pa.Table.from_batches(held, schema))
+            if left.num_rows > rows // 2:
+                yield from left.to_batches(max_chunksize=10_000)
+                left = left.slice(0, 0)
+            held, size = left.to_batches(), left.num_rows
+        if size:
+            yield from newest(pa.Table.from_batches(held, schema)).to_batches(max_chunksize=10_000)
 
     return stream.mapInArrow(run, stream.schema)
 
 
 class Trail(StatefulProcessor):
-    """T4: a map of at most ``n`` points by their place; a point that enters is
-    one write, the point it pushes out one removal."""
+    """T4: at most ``n`` points per key, newest first; the keys of a bucket are
+    one value, so a micro-batch costs one read and one write a bucket."""
 
     def __init__(self, n: int):
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.points = handle.getMapState("points", "ord bigint", "lon double, lat double")
+        self.trails = handle.getValueState("trails", "keys array<string>, points array<binary>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = {k[0]: (v[0], v[1]) for k, v in self.points.iterator()}
-        before = set(held)
+        trails = dict(zip(*(self.trails.get() or ((), ()))))
+        came: dict = {}
         for r in rows:
-            held[r["ord"]] = (r["lon"], r["lat"])
-        newest = sorted(held, reverse=True)[:self.n]
-        for ord_ in before.difference(newest):
-            self.points.removeKey((ord_,))
-        for ord_ in newest:
-            if ord_ not in before:
-                self.points.updateValue((ord_,), held[ord_])
-        for i, ord_ in enumerate(newest, 1):
-            yield Row(icao24=key[0], rn=i, lon=held[ord_][0], lat=held[ord_][1], ord=ord_)
+            came.setdefault(r["icao24"], {})[r["ord"]] = (r["ord"], r["lon"], r["lat"])
+        for k, points in came.items():
+            held = {p[0]: p for p in struct.iter_unpack(POINT, trails.get(k, b""))} | points
+            came[k] = [held[ord_] for ord_ in sorted(held, reverse=True)[:self.n]]
+            trails[k] = b"".join(struct.pack(POINT, *p) for p in came[k])
+        if came:
+            self.trails.update((list(trails), [bytes(p) for p in trails.values()]))
+        for k, points in came.items():
+            for i, (ord_, lon, lat) in enumerate(points, 1):
+                yield Row(icao24=k, rn=i, lon=lon, lat=lat, ord=ord_)
 
     def close(self) -> None:
         pass
 
 
-def rolling_trail(stream: DataFrame, n: int = 20, order: str = "offset") -> DataFrame:
+def bucket(key: str, buckets: int) -> Column:
+    """Where the state of a key is held."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def rolling_trail(stream: DataFrame, n: int = 20, order: str = "offset", buckets: int = BUCKETS) -> DataFrame:
     """T4: the last ``n`` positioned observations per aircraft in arrival
     (``order``) order, repeats kept. Emits the whole (bounded) trail of every
     key that changed, one row per point (``rn`` = 1 newest). ``order`` tells
-    the messages of an aircraft apart, as an offset does."""
+    the messages of an aircraft apart, as an offset does. Keys are held in
+    ``buckets`` by their hash; a running stream must keep their number."""
     on_disk_state(stream.sparkSession)
     src = stream.filter(stream["icao24"].isNotNull() & stream["latitude"].isNotNull() & stream["longitude"].isNotNull()).select(
         "icao24", stream[order].alias("ord"), stream["longitude"].alias("lon"), stream["latitude"].alias("lat"))
-    return last_of_slices(src, "icao24", "ord", n).groupBy("icao24").transformWithState(
+    return last_of_slices(src, "icao24", "ord", n).withColumn("bucket", bucket("icao24", buckets)).groupBy("bucket").transformWithState(
         Trail(n), "icao24 string, rn bigint, lon double, lat double, ord bigint", "Update", "None")
 
 

@@ -92,6 +92,35 @@ def test_a_record_from_the_future_does_not_age_the_fleet(spark):
     assert at[25] == set() and len(seen) == got.count() == 10
 
 
+class Calls:
+    """A state handle that counts the calls."""
+
+    def __init__(self):
+        self.made, self.value, self.timers = 0, None, set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.made += name not in ("getValueState", "getMapState")
+            if name == "registerTimer":
+                self.timers.add(args[0])
+            elif name == "deleteTimer":
+                self.timers.remove(args[0])
+            elif name in ("update", "clear"):
+                self.value = args[0] if args else None
+            return self.value if name == "get" else iter(()) if name == "iterator" else self
+        return call
+
+
+def test_a_trail_batch_costs_two_calls_however_many_points():
+    calls, trail = Calls(), ST.Trail(20)
+    trail.init(calls)
+    for batch in range(3):
+        rows = [{"icao24": f"a{a}", "ord": 100 * batch + o, "lon": 1.0 * o, "lat": 2.0} for a in range(30) for o in range(25)]
+        out = list(trail.handleInputRows((7,), iter(rows), None))
+        assert calls.made == 2 * (batch + 1) and len(out) == 30 * 20
+        assert [(r.ord, r.lon) for r in out if r.icao24 == "a3"] == [(100 * batch + o, float(o)) for o in range(24, 4, -1)]
+
+
 @pytest.mark.parametrize("tick,age", [("7 minutes", "10 minutes"), ("10 minutes", "5 minutes")])
 def test_ticks_that_do_not_divide_the_age(spark, tick, age):
     with pytest.raises(ValueError):
@@ -135,6 +164,16 @@ def test_deletes_that_come_late_and_entries_that_expire(spark):
                             ("c", "live"), ("c", "expired"), ("d", "live"), ("e", "live"), ("f", "live")])
 
 
+def test_slices_keep_the_newest_rows_of_every_key(spark):
+    rows = [(f"k{i % 11 if i % 5 else 3}", (i * 7919) % 30_011) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "k string, o bigint").coalesce(1)
+    want = {k: sorted((o for x, o in rows if x == k), reverse=True)[:20] for k in {k for k, _ in rows}}
+    for size, most in ((1, None), (2000, 4000), (131_072, 220)):
+        got = ST.last_of_slices(df, "k", "o", 20, size).collect()
+        assert most is None or len(got) <= most
+        assert {k: sorted((o for x, o in got if x == k), reverse=True)[:20] for k in want} == want
+
+
 def test_no_expiry_before_its_time(spark):
     _, live = changes_of(spark, [[("a", minute(0), 1, False, "a")], [("b", minute(49), 2, False, "b")]])
     assert live == {"a": "a", "b": "b"}   # the clock stands at 29
