@@ -10,6 +10,7 @@ dropped before the shuffle, slice by slice, so a hot key sends few of them.
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator, Sequence
 
@@ -161,37 +162,62 @@ def moved_points(stream: DataFrame, threshold: float = 0.001) -> DataFrame:
 
 
 class Changes(StatefulProcessor):
-    """The newest word on a key: an entry that expires, or the mark of a delete."""
+    """The newest word on each key of a bucket: an entry that expires, or the
+    mark of a delete. A bucket is one value and has one timer, at the earliest
+    expiry in it, so a micro-batch costs a few calls a bucket, not a key."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", "at bigint, seq bigint, gone boolean, expires bigint, entry string")
+        self.newest = handle.getValueState("newest", "timer bigint, packed binary")  # key: [at, seq, gone, expires, entry]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def _held(self) -> tuple[int | None, dict]:
         was = self.newest.get()
-        now = best = None if was is None else (was[0], was[1], was[2], was[3], was[4])
+        return (None, {}) if was is None else (was[0], json.loads(was[1]))
+
+    def _keep(self, timer: int | None, held: dict) -> None:
+        """``timer`` is the one that still stands; an earlier one is replaced,
+        a later one needs none (it finds nothing to expire and is set anew)."""
+        if not held:
+            return self.newest.clear()
+        first = -(-min(e[3] for e in held.values()) // 1000)  # milliseconds, never before its time
+        if timer is None or first < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timer := first)
+        self.newest.update((timer, json.dumps(held, separators=(",", ":")).encode()))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        timer, held = self._held()
+        changed = {}
         for r in rows:
-            if best is None or (r["at"], r["seq"]) >= best[:2]:
-                best = (r["at"], r["seq"], r["gone"], r["expires"], r["entry"])
-        if best != now:
-            if now is not None:
-                self.handle.deleteTimer(-(-now[3] // 1000))
-            self.newest.update(best)
-            self.handle.registerTimer(-(-best[3] // 1000))  # milliseconds, never before its time
-            yield Row(key=key[0], at=best[0], seq=best[1], change="deleted" if best[2] else "live", entry=best[4])
+            best = held.get(r["key"])
+            if best is None or (r["at"], r["seq"]) >= (best[0], best[1]):
+                now = [r["at"], r["seq"], r["gone"], r["expires"], r["entry"]]
+                changed.setdefault(r["key"], best)
+                held[r["key"]] = now
+        changed = {k: held[k] for k, was in changed.items() if held[k] != was}
+        if changed:
+            self._keep(timer, held)
+        for k, e in changed.items():
+            yield Row(key=k, at=e[0], seq=e[1], change="deleted" if e[2] else "live", entry=e[4])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        was = self.newest.get()
-        if was is not None and -(-was[3] // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.newest.clear()
-            yield Row(key=key[0], at=was[0], seq=was[1], change="expired", entry=was[4])
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        timer, held = self._held()
+        if timer != fired:
+            return
+        last = max(fired, timerValues.getCurrentWatermarkInMs())  # all whose own timer would go off now
+        over = {k: e for k, e in held.items() if -(-e[3] // 1000) <= last}
+        self._keep(None, {k: e for k, e in held.items() if k not in over})
+        for k, e in over.items():
+            yield Row(key=k, at=e[0], seq=e[1], change="expired", entry=e[4])
 
     def close(self) -> None:
         pass
 
 
 def keyed_changes(stream: DataFrame, key: Column, at: str, seq: Column, ttl: str, gone: Column | None = None,
-                  late: str = "1 hour") -> DataFrame:
+                  late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """Entries that live ``ttl`` after ``at`` (event time).
 
     One row per change of a key (key, at, seq, change, entry): ``live`` for a
@@ -199,7 +225,8 @@ def keyed_changes(stream: DataFrame, key: Column, at: str, seq: Column, ttl: str
     ``expired`` when the watermark (``late`` behind the newest ``at``) has
     passed its time. A delete stays as a mark until its own time is over, so an
     older entry that arrives after it changes nothing. ``entry`` holds the
-    columns of the row as JSON."""
+    columns of the row as JSON. Keys are held in ``buckets`` by their hash; a
+    running stream must keep their number."""
     on_disk_state(stream.sparkSession)
     cols = stream.columns
     stamp = F.col(at).cast("timestamp")
@@ -207,7 +234,7 @@ def keyed_changes(stream: DataFrame, key: Column, at: str, seq: Column, ttl: str
         key.alias("key"), stamp.alias("clock"), F.unix_micros(stamp).alias("at"), seq.cast("bigint").alias("seq"),
         (F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))).alias("gone"),
         F.unix_micros(stamp + F.expr(f"INTERVAL {ttl}")).alias("expires"), F.to_json(F.struct(*cols)).alias("entry"))
-    return (src.filter("key IS NOT NULL").withWatermark("clock", late).groupBy("key")
+    return (src.filter("key IS NOT NULL").withColumn("bucket", bucket("key", buckets)).withWatermark("clock", late).groupBy("bucket")
             .transformWithState(Changes(), "key string, at bigint, seq bigint, change string, entry string", "Update", "EventTime"))
 
 

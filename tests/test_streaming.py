@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +122,21 @@ def test_a_trail_batch_costs_two_calls_however_many_points():
         assert [(r.ord, r.lon) for r in out if r.icao24 == "a3"] == [(100 * batch + o, float(o)) for o in range(24, 4, -1)]
 
 
+def test_changes_cost_a_few_calls_and_one_timer_a_bucket():
+    calls, changes = Calls(), ST.Changes()
+    changes.init(calls)
+    row = lambda k, at: {"key": f"k{k}", "at": at, "seq": 1, "gone": False, "expires": at + 10_000, "entry": f"e{at}"}
+    assert len(list(changes.handleInputRows((7,), iter([row(k, 1000 * k) for k in range(50, 150)]), None))) == 100
+    assert calls.made == 3 and calls.timers == {60}
+    assert list(changes.handleInputRows((7,), iter([row(50, 1000)]), None)) == []     # older than what is there
+    assert len(list(changes.handleInputRows((7,), iter([row(1, 1000), row(50, 90_000)]), None))) == 2
+    assert calls.made == 8 and calls.timers == {11}
+    timer, clock = SimpleNamespace(getExpiryTimeInMs=lambda: 11), SimpleNamespace(getCurrentWatermarkInMs=lambda: 71)
+    gone = {r.key for r in changes.handleExpiredTimer((7,), clock, timer)}
+    assert gone == {"k1", *(f"k{k}" for k in range(51, 62))}     # 71 itself is over; Spark drops the timer that went off
+    assert calls.timers == {11, 72}
+
+
 @pytest.mark.parametrize("tick,age", [("7 minutes", "10 minutes"), ("10 minutes", "5 minutes")])
 def test_ticks_that_do_not_divide_the_age(spark, tick, age):
     with pytest.raises(ValueError):
@@ -142,9 +158,9 @@ def test_trail_keeps_the_newest_points_whatever_the_batches(spark):
 CHANGE = "id string, at timestamp_ntz, seq bigint, gone boolean, v string"
 
 
-def changes_of(spark, batches, ttl="30 minutes", late="20 minutes"):
+def changes_of(spark, batches, ttl="30 minutes", late="20 minutes", **how):
     stream = fed(spark, batches, CHANGE)
-    out = streams_q._end_of(ST.keyed_changes(stream, F.lower("id"), "at", F.col("seq"), ttl, F.col("gone"), late), "changes")
+    out = streams_q._end_of(ST.keyed_changes(stream, F.lower("id"), "at", F.col("seq"), ttl, F.col("gone"), late, **how), "changes")
     return out, {r.id: r.v for r in ST.entries(out, CHANGE).collect()}
 
 
@@ -164,6 +180,18 @@ def test_deletes_that_come_late_and_entries_that_expire(spark):
                             ("c", "live"), ("c", "expired"), ("d", "live"), ("e", "live"), ("f", "live")])
 
 
+def test_buckets_change_nothing(spark):
+    """Keys that share a bucket, or do not: the same changes in the same micro-batches, also at the very end of a life."""
+    batches = [[(f"k{k}", minute(k % 9), k, False, f"v{k}") for k in range(40)],
+               [(f"K{k}", minute(10), 50 + k, k % 2 == 0, f"w{k}") for k in range(0, 40, 3)],
+               [("far", minute(50 + 5), 99, False, "clock at 35")], [("far", minute(58), 100, False, "clock at 38")], [("far", minute(61), 101, False, "clock at 41")]]
+    one, many = (changes_of(spark, batches, buckets=b) for b in (1, 1024))
+    assert spark_rows(one[0]) == spark_rows(many[0]) and one[1] == many[1] == {"far": "clock at 41"}
+    rows = [[(f"a{i % 7}", i * 3 + b, float(i), float(b)) for i in range(300)] for b in range(3)]
+    ups = [streams_q._end_of(ST.rolling_trail(fed(spark, rows, "icao24 string, offset bigint, longitude double, latitude double"), 20, buckets=b), "trail") for b in (1, 1024)]
+    assert spark_rows(ups[0]) == spark_rows(ups[1]) and ups[0].count() == 3 * 7 * 20
+
+
 def test_slices_keep_the_newest_rows_of_every_key(spark):
     rows = [(f"k{i % 11 if i % 5 else 3}", (i * 7919) % 30_011) for i in range(30_000)]
     df = spark.createDataFrame(rows, "k string, o bigint").coalesce(1)
