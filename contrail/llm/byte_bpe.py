@@ -3,8 +3,10 @@
 Words (matches of the tokenizer's split pattern) are arrays of byte pieces,
 each held as its identifier, which is its rank. A Spark fold over such an array
 merges the adjacent pair of lowest rank, leftmost first, as often as the word
-has bytes. The rank map is a literal: an array in which a pair of identifiers
-is at one of two places (Spark would search a map value from its start).
+has bytes. The rank map is an array in which a pair of identifiers is at one of
+two places (Spark would search a map value from its start). It is a scalar
+subquery on a table of one row: as a literal it would be written out, megabytes
+of text, in each description of a plan, and the driver keeps those.
 
 Only distinct words are folded. The most frequent ones of all texts (at most
 FREQUENT_WORDS, counted in one aggregated pass) are folded once and sent to
@@ -20,13 +22,12 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.llm.common import landed
@@ -48,11 +49,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _literal(value, kind: str) -> Column:
-    """A large constant: JSON text that the optimiser folds into one literal."""
-    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
-
-
 def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
     """Rank of every pair of pieces whose bytes together are a piece, by the
     two identifiers in one number."""
@@ -110,12 +106,15 @@ def _joined(*parts: Column) -> Column:
 class ByteBpe:
     """Encoder and decoder as column expressions for one rank file."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         self.pattern = "(?U)" + pattern  # (?U): white space as in Unicode
         table, self.p, self.q = two_place_table(pair_ranks(ranks))
-        self.pairs = _literal(table, "array<long>")
-        self.bytes = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
-        self.first = _literal([ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)], "array<int>")
+        constants = {
+            "pairs": (table, pa.int64()),
+            "bytes": ([ranks[bytes([b])] for b in range(256)], pa.int32()),
+            "first": ([ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)], pa.int32()),
+        }
+        self.constants = spark.createDataFrame(pa.table({k: pa.array([v], pa.list_(kind)) for k, (v, kind) in constants.items()}))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -130,7 +129,7 @@ class ByteBpe:
                     lambda k: at(k % self.p, k, at(k % self.q + self.p, k, F.lit(NO_RANK).cast("long"))))
 
     def _fold(self, known: Column, word: Column) -> Column:
-        """Identifiers of one word (array of int). ``known`` has the literals.
+        """Identifiers of one word (array of int). ``known`` has the constants.
 
         A piece is one number: rank with the piece behind it, place of its
         first byte, identifier. So the least number is the leftmost pair of
@@ -164,12 +163,14 @@ class ByteBpe:
         letters = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")  # one letter per byte
         return _let(F.transform(letters, F.ascii), of)
 
-    def _known(self) -> Column:
-        return F.struct(self.pairs.alias("pairs"), self.bytes.alias("bytes"), self.first.alias("first"))
+    def with_encoded(self, rows: DataFrame, name: str, words: Column) -> DataFrame:
+        """``rows`` with the identifiers of each word of an array of words as column ``name``.
 
-    def encode_words(self, words: Column) -> Column:
-        """Identifiers of each word of an array of words."""
-        return _let(self._known(), lambda k: F.transform(words, lambda w: self._fold(k, w)))
+        A subquery may not be written inside a function over arrays, so it gets
+        a column of its own; used once, it is put in its place by the optimiser."""
+        known = F.struct(*[self.constants.select(c).scalar().alias(c) for c in self.constants.columns])
+        return (rows.withColumn("bpe_known", known)
+                .withColumn(name, _let(F.col("bpe_known"), lambda k: F.transform(words, lambda w: self._fold(k, w)))).drop("bpe_known"))
 
     def frequent(self, texts: DataFrame, column: str, most: int) -> pa.Table:
         """word, ids of the most frequent words of all texts: whole classes of
@@ -185,7 +186,7 @@ class ByteBpe:
             least = r["degree"]
         top = counts.filter(F.lit(False) if least is None else F.col("degree") >= least).select("word")
         parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return top.repartition(parts, "word").select("word", self.encode_words(F.array("word"))[0].alias("ids")).toArrow()
+        return self.with_encoded(top.repartition(parts, "word"), "ids", F.array("word")).select("word", F.col("ids")[0].alias("ids")).toArrow()
 
 
 def merged_piece(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -324,7 +325,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, key: str = "
     ``frequent`` bounds the words sent to every task.
     """
     ranks = read_ranks(rank_file)
-    bpe = ByteBpe(ranks, pattern)
+    bpe = ByteBpe(docs.sparkSession, ranks, pattern)
     known = bpe.frequent(docs.select(docs[text].alias("t")), "t", frequent).combine_chunks()
     ids = known.column("ids").combine_chunks() if len(known) else pa.array([], pa.list_(pa.int32()))
     sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -340,7 +341,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, key: str = "
     ddl = f"keys array<{kind}>, sizes array<int>, codes array<int>, rare array<string>, long array<string>"
     # landed, so that a task has one Python worker at a time
     slices = landed(rows.mapInArrow(_sliced(shared, _arrow(_struct(ddl))), ddl), "bpe-slices")
-    folded = slices.select("keys", "sizes", "codes", "long", bpe.encode_words(F.col("rare")).alias("folded"))
+    folded = bpe.with_encoded(slices, "folded", F.col("rare")).drop("rare")
     ddl = f"key {kind}, token_ids array<int>, decoded binary"
     return folded.mapInArrow(_assembled(known_ids, _arrow(_struct(ddl))), ddl).withColumnRenamed("key", key)
 

@@ -82,6 +82,15 @@ def test_bpe_of_a_very_long_word_and_text_keys(spark):
     assert {r[0]: (list(r[1]), bytes(r[2])) for r in got} == {i: (lib.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows}
 
 
+def test_bpe_ranks_are_not_written_out_in_plans(docs, capsys):
+    """The driver keeps descriptions of plans; nor is the rank map a column of the rows, copied for each."""
+    coded = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    capsys.readouterr()
+    coded.explain()
+    plan = capsys.readouterr().out
+    assert "Subquery" in plan and len(plan) < 100_000 and "bpe_known" not in plan
+
+
 def test_two_place_table_finds_every_entry():
     entries = {(i * 7919) << byte_bpe.ID_BITS | i: i for i in range(5000)}
     table, p, q = byte_bpe.two_place_table(entries)
