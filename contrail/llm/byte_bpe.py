@@ -1,7 +1,8 @@
 """Operator 2: byte-level BPE encoding and decoding.
 
 Words (matches of the tokenizer's split pattern) are arrays of byte pieces,
-each held as its identifier, which is its rank. A Spark fold over such an array
+each held as its identifier, which is its rank (written by numpy for the words
+of a slice at a time). A Spark fold over such an array
 merges the adjacent pair of lowest rank, leftmost first, as often as the word
 has bytes. The rank map is an array in which a pair of identifiers is at one of
 two places (Spark would search a map value from its start). It is a scalar
@@ -36,9 +37,10 @@ ID_BITS = 20            # identifiers, and the places of bytes in a word that is
 _ID = (1 << ID_BITS) - 1
 NO_RANK = 1 << ID_BITS  # above every rank
 #: Distinct words sent to every task: at most this many, each of at most so many characters.
-FREQUENT_WORDS = 393_216
+FREQUENT_WORDS = 524_288
 FREQUENT_CHARS = 32
-SLICE_BYTES = 1 << 20
+#: A slice looks its words up in a table of the frequent ones that is made anew for it.
+SLICE_BYTES = 1 << 21
 LONG_BYTES = 512
 STEPS_PER_DOUBLING = 8  # classes of word counts, for the choice of the frequent ones
 
@@ -109,12 +111,9 @@ class ByteBpe:
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         self.pattern = "(?U)" + pattern  # (?U): white space as in Unicode
         table, self.p, self.q = two_place_table(pair_ranks(ranks))
-        constants = {
-            "pairs": (table, pa.int64()),
-            "bytes": ([ranks[bytes([b])] for b in range(256)], pa.int32()),
-            "first": ([ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)], pa.int32()),
-        }
-        self.constants = spark.createDataFrame(pa.table({k: pa.array([v], pa.list_(kind)) for k, (v, kind) in constants.items()}))
+        self.pairs = spark.createDataFrame(pa.table({"pairs": pa.array([table], pa.list_(pa.int64()))}))
+        self.letters = (np.array([ranks[bytes([b])] for b in range(256)], np.int64),
+                        np.array([ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)], np.int64))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -128,13 +127,9 @@ class ByteBpe:
         return _let(F.shiftleft(a, ID_BITS).bitwiseOR(b),
                     lambda k: at(k % self.p, k, at(k % self.q + self.p, k, F.lit(NO_RANK).cast("long"))))
 
-    def _fold(self, known: Column, word: Column) -> Column:
-        """Identifiers of one word (array of int). ``known`` has the constants.
-
-        A piece is one number: rank with the piece behind it, place of its
-        first byte, identifier. So the least number is the leftmost pair of
-        lowest rank, and places need no change when pieces merge."""
-        pairs, place_and_id = known["pairs"], (1 << 2 * ID_BITS) - 1
+    def _fold(self, pairs: Column, word: Column) -> Column:
+        """Identifiers (array of int) of one word, given as its ``byte_pieces``."""
+        place_and_id = (1 << 2 * ID_BITS) - 1
 
         def packed(rank: Column, place_id: Column) -> Column:
             return F.shiftleft(rank, 2 * ID_BITS).bitwiseOR(place_id)
@@ -152,25 +147,16 @@ class ByteBpe:
             return _let(F.array_min(x), lambda low: F.when(low >= NO_RANK << 2 * ID_BITS, x).otherwise(
                 _let(F.array_position(x, low).cast("int"), lambda at: merged(x, low, at))))
 
-        def piece(x: Column, c: Column, i: Column) -> Column:
-            rank = F.coalesce(F.get(known["first"], c * 256 + F.get(x, i + 1)), F.lit(NO_RANK)).cast("long")
-            return packed(rank, F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(F.get(known["bytes"], c).cast("long")))
-
-        def of(x: Column) -> Column:
-            return F.aggregate(F.slice(x, F.lit(2), F.size(x)), F.transform(x, lambda c, i: piece(x, c, i)), step,
-                               lambda end: F.transform(end, lambda e: e.bitwiseAND(_ID).cast("int")))
-
-        letters = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")  # one letter per byte
-        return _let(F.transform(letters, F.ascii), of)
+        return F.aggregate(F.slice(word, F.lit(2), F.size(word)), word, step,
+                           lambda end: F.transform(end, lambda e: e.bitwiseAND(_ID).cast("int")))
 
     def with_encoded(self, rows: DataFrame, name: str, words: Column) -> DataFrame:
-        """``rows`` with the identifiers of each word of an array of words as column ``name``.
+        """``rows`` with the identifiers of each word of an array of words, as ``byte_pieces``, as column ``name``.
 
         A subquery may not be written inside a function over arrays, so it gets
         a column of its own; used once, it is put in its place by the optimiser."""
-        known = F.struct(*[self.constants.select(c).scalar().alias(c) for c in self.constants.columns])
-        return (rows.withColumn("bpe_known", known)
-                .withColumn(name, _let(F.col("bpe_known"), lambda k: F.transform(words, lambda w: self._fold(k, w)))).drop("bpe_known"))
+        return (rows.withColumn("bpe_known", self.pairs.scalar())
+                .withColumn(name, _let(F.col("bpe_known"), lambda pairs: F.transform(words, lambda w: self._fold(pairs, w)))).drop("bpe_known"))
 
     def frequent(self, texts: DataFrame, column: str, most: int) -> pa.Table:
         """word, ids of the most frequent words of all texts: whole classes of
@@ -186,7 +172,32 @@ class ByteBpe:
             least = r["degree"]
         top = counts.filter(F.lit(False) if least is None else F.col("degree") >= least).select("word")
         parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return self.with_encoded(top.repartition(parts, "word"), "ids", F.array("word")).select("word", F.col("ids")[0].alias("ids")).toArrow()
+        letters = self.letters
+
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), byte_pieces(batch.column(0), letters)], ["word", "pieces"])
+
+        top = top.repartition(parts, "word").mapInArrow(pieces, "word string, pieces array<long>")
+        return self.with_encoded(top, "ids", F.array("pieces")).select("word", F.col("ids")[0].alias("ids")).toArrow()
+
+
+def byte_pieces(words: pa.Array, letters: tuple[np.ndarray, np.ndarray]) -> pa.ListArray:
+    """The bytes of each word as pieces, one number each: rank with the piece
+    behind it, place of its first byte, identifier. So the least number is the
+    leftmost pair of lowest rank, and places need no change when pieces merge.
+    ``letters`` has the identifier of each byte and the rank of each two bytes."""
+    ids, first = letters
+    words = words.cast(pa.binary())
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets or b"", np.int32)[words.offset:words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    value = np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]].astype(np.int64)
+    ends = ends - ends[0]
+    rank = np.full(len(value), NO_RANK, np.int64)
+    rank[:-1] = first[value[:-1] << 8 | value[1:]]
+    rank[ends[1:][np.diff(ends) > 0] - 1] = NO_RANK  # the last of a word has none behind it
+    place = np.arange(len(value)) - np.repeat(ends[:-1], np.diff(ends))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rank << 2 * ID_BITS | place << ID_BITS | ids[value]))
 
 
 def merged_piece(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -213,11 +224,12 @@ def merged_piece(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def _sliced(shared, schema: pa.Schema):
     """Rows (key, words) to one row a slice: its keys, the number of words of
-    each, a code for each word, and the distinct words that are not known yet.
-    Code c >= 0 is frequent word c, -1 - i the i-th of rare and then long."""
+    each, a code for each word, and the distinct words that are not known yet
+    (the rare ones as ``byte_pieces``). Code c >= 0 is frequent word c, -1 - i
+    the i-th of rare and then long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())  # gives memory back when a slice is done
-        known = shared.value
+        known, letters = shared.value
 
         def told(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             keys = pa.concat_arrays([p.column(0) for p in parts])
@@ -232,7 +244,7 @@ def _sliced(shared, schema: pa.Schema):
             code[new] = -1 - np.arange(len(new))
             codes = code[each.indices.to_numpy(zero_copy_only=False)] if len(each) else code[:0]
             rare, long = (words.take(pa.array(x)) for x in np.split(new, [int((~large).sum())]))
-            values = (keys, sizes, pa.array(codes, pa.int32()), rare, long)
+            values = (keys, sizes, pa.array(codes, pa.int32()), byte_pieces(rare, letters), long)
             return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(v)], v).cast(f.type) for f, v in zip(schema, values)], schema=schema)
 
         parts, size = [], 0
@@ -266,7 +278,8 @@ def _assembled(shared, schema: pa.Schema):
                 own_starts = len(ids) + np.cumsum(own_sizes) - own_sizes
                 code = codes.to_numpy(zero_copy_only=False)
                 own = code < 0
-                begin, size = starts[np.where(own, 0, code)] if len(starts) else np.zeros(len(code), np.int64), np.empty(len(code), np.int64)
+                begin = (starts[np.where(own, 0, code)] if len(starts) else np.zeros(len(code))).astype(np.int64)
+                size = np.empty(len(code), np.int64)
                 begin[own], size[own] = own_starts[-1 - code[own]], own_sizes[-1 - code[own]]
                 size[~own] = sizes[code[~own]]
                 ends = np.cumsum(size)
@@ -328,17 +341,17 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, key: str = "
     bpe = ByteBpe(docs.sparkSession, ranks, pattern)
     known = bpe.frequent(docs.select(docs[text].alias("t")), "t", frequent).combine_chunks()
     ids = known.column("ids").combine_chunks() if len(known) else pa.array([], pa.list_(pa.int32()))
-    sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int32)
     words = known.column("word").combine_chunks().cast(pa.string()) if len(known) else pa.array([], pa.string())
     # at most ``frequent`` words of FREQUENT_CHARS characters, and the vocabulary
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = docs.sparkSession.sparkContext.broadcast((words, bpe.letters))
     known_ids = docs.sparkSession.sparkContext.broadcast(
-        (np.cumsum(sizes) - sizes, sizes, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ranks))
+        ((np.cumsum(sizes) - sizes).astype(np.int32), sizes, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ranks))
     del known, ids, words
     pa.default_memory_pool().release_unused()
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), bpe.words(docs[text]).alias("words"))
-    ddl = f"keys array<{kind}>, sizes array<int>, codes array<int>, rare array<string>, long array<string>"
+    ddl = f"keys array<{kind}>, sizes array<int>, codes array<int>, rare array<array<long>>, long array<string>"
     # landed, so that a task has one Python worker at a time
     slices = landed(rows.mapInArrow(_sliced(shared, _arrow(_struct(ddl))), ddl), "bpe-slices")
     folded = bpe.with_encoded(slices, "folded", F.col("rare")).drop("rare")

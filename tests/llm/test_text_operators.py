@@ -91,6 +91,23 @@ def test_bpe_ranks_are_not_written_out_in_plans(docs, capsys):
     assert "Subquery" in plan and len(plan) < 100_000 and "bpe_known" not in plan
 
 
+def test_bpe_words_reach_the_fold_as_byte_pieces(docs, capsys):
+    """One array per slice, written by numpy; no expression per byte takes words apart."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    bpe = byte_bpe.ByteBpe(docs.sparkSession, ranks, public_tokenizers.PATTERN)
+    for words in (["the", "", "é\u0000z", "x"], ["", "ab"], ["ab", ""], ["", ""], []):
+        want = []
+        for w in map(str.encode, words):
+            after = [ranks.get(w[i:i + 2], byte_bpe.NO_RANK) if i + 1 < len(w) else byte_bpe.NO_RANK for i in range(len(w))]
+            want.append([(r << 2 * byte_bpe.ID_BITS) + (i << byte_bpe.ID_BITS) + ranks[w[i:i + 1]] for i, r in enumerate(after)])
+        given = byte_bpe.pa.array(words, byte_bpe.pa.string())
+        assert byte_bpe.byte_pieces(given, bpe.letters).to_pylist() == want
+        assert byte_bpe.byte_pieces(given[1:], bpe.letters).to_pylist() == want[1:]
+    capsys.readouterr()
+    byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).explain()
+    assert "ascii(" not in capsys.readouterr().out
+
+
 def test_two_place_table_finds_every_entry():
     entries = {(i * 7919) << byte_bpe.ID_BITS | i: i for i in range(5000)}
     table, p, q = byte_bpe.two_place_table(entries)
