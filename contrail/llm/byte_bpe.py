@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm.common import landed
+from contrail.llm.common import in_arrow, landed
 
 ID_BITS = 20            # identifiers, and the places of bytes in a word that is folded, are below 2 ** ID_BITS
 _ID = (1 << ID_BITS) - 1
@@ -178,7 +178,7 @@ class ByteBpe:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), byte_pieces(batch.column(0), letters)], ["word", "pieces"])
 
-        top = top.repartition(parts, "word").mapInArrow(pieces, "word string, pieces array<long>")
+        top = in_arrow(top.repartition(parts, "word"), pieces, "word string, pieces array<long>")
         return self.with_encoded(top, "ids", F.array("pieces")).select("word", F.col("ids")[0].alias("ids")).toArrow()
 
 
@@ -325,7 +325,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids")
             col = batch.column(batch.schema.get_field_index(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns, joined_pieces(pieces, col)], schema=schema)
 
-    return encoded.mapInArrow(run, out)
+    return in_arrow(encoded, run, out)
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text",
@@ -353,10 +353,10 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, key: str = "
     rows = docs.select(docs[key].alias("key"), bpe.words(docs[text]).alias("words"))
     ddl = f"keys array<{kind}>, sizes array<int>, codes array<int>, rare array<array<long>>, long array<string>"
     # landed, so that a task has one Python worker at a time
-    slices = landed(rows.mapInArrow(_sliced(shared, _arrow(_struct(ddl))), ddl), "bpe-slices")
+    slices = landed(in_arrow(rows, _sliced(shared, _arrow(_struct(ddl))), ddl), "bpe-slices")
     folded = bpe.with_encoded(slices, "folded", F.col("rare")).drop("rare")
     ddl = f"key {kind}, token_ids array<int>, decoded binary"
-    return folded.mapInArrow(_assembled(known_ids, _arrow(_struct(ddl))), ddl).withColumnRenamed("key", key)
+    return in_arrow(folded, _assembled(known_ids, _arrow(_struct(ddl))), ddl).withColumnRenamed("key", key)
 
 
 def _struct(ddl: str):

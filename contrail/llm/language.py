@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contrail.llm.common import ROWS_AT_ONCE, by_rows
+from contrail.llm.common import ROWS_AT_ONCE, by_rows, in_arrow
 
 SAMPLE_DOCS = 12_800
 DOCS_PER_LANG = 200
@@ -341,7 +341,7 @@ def identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
                     keep = [bool(t) and any(map(str.isalpha, t)) for t in texts]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def segments(text: str, labeller: Labeller) -> Iterator[tuple[str, str, float]]:
